@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from kinweave.llm.bpe import op1_bpe
+from kinweave.llm.exact import OP6_SQL, op6_exact_dedup
+from kinweave.llm.mixing import op5_mixing
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_bpe": op1_bpe, "op5_mixing": op5_mixing, "op6_exact_dedup": op6_exact_dedup}
+ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL}

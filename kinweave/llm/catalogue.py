@@ -5,6 +5,14 @@ from __future__ import annotations
 from kinweave.llm.bpe import op1_bpe
 from kinweave.llm.exact import OP6_SQL, op6_exact_dedup
 from kinweave.llm.mixing import op5_mixing
+from kinweave.llm.pii import op10_pii
+from kinweave.llm.urlfilter import OP3_SQL, op3_url_filter
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_mixing": op5_mixing, "op6_exact_dedup": op6_exact_dedup}
-ORACLE: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_url_filter": op3_url_filter,
+    "op5_mixing": op5_mixing,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op10_pii": op10_pii,
+}
+ORACLE: dict[str, str] = {"op3_url_filter": OP3_SQL, "op6_exact_dedup": OP6_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kinweave.llm.bpe import op1_bpe
 from kinweave.llm.exact import OP6_SQL, op6_exact_dedup
+from kinweave.llm.jaccard import op4_ngram_jaccard
 from kinweave.llm.mixing import op5_mixing
 from kinweave.llm.pii import op10_pii
 from kinweave.llm.urlfilter import OP3_SQL, op3_url_filter
@@ -11,6 +12,7 @@ from kinweave.llm.urlfilter import OP3_SQL, op3_url_filter
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_url_filter": op3_url_filter,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_pii": op10_pii,

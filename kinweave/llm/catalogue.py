@@ -5,16 +5,20 @@ from __future__ import annotations
 from kinweave.llm.bpe import op1_bpe
 from kinweave.llm.exact import OP6_SQL, op6_exact_dedup
 from kinweave.llm.jaccard import op4_ngram_jaccard
+from kinweave.llm.langid import op7_language_id
 from kinweave.llm.mixing import op5_mixing
 from kinweave.llm.pii import op10_pii
 from kinweave.llm.urlfilter import OP3_SQL, op3_url_filter
+from kinweave.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_warc": op2_warc,
     "op3_url_filter": op3_url_filter,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op10_pii": op10_pii,
 }
-ORACLE: dict[str, str] = {"op3_url_filter": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_exact_dedup": OP6_SQL}

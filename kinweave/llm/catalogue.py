@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from kinweave.llm.bpe import op1_bpe
 from kinweave.llm.exact import OP6_SQL, op6_exact_dedup
+from kinweave.llm.hnsw import op8_hnsw
 from kinweave.llm.jaccard import op4_ngram_jaccard
 from kinweave.llm.langid import op7_language_id
 from kinweave.llm.mixing import op5_mixing
 from kinweave.llm.pii import op10_pii
+from kinweave.llm.tokencount import op9_token_counts
 from kinweave.llm.urlfilter import OP3_SQL, op3_url_filter
 from kinweave.llm.warc import OP2_SQL, op2_warc
 
@@ -19,6 +21,8 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_id": op7_language_id,
+    "op8_hnsw": op8_hnsw,
+    "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
 }
 ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_exact_dedup": OP6_SQL}

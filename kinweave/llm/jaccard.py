@@ -260,7 +260,7 @@ def open_block(queries: list[np.ndarray], members: list[np.ndarray], percent: in
 def _opened(rows: DataFrame, percent: int) -> DataFrame:
     """Edges between queries and members of a block. ``rows``: block, chunk, side (0 member, 1 query), cls, root, s."""
 
-    def run(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m, q = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if not len(m) or not len(q):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
@@ -271,7 +271,7 @@ def _opened(rows: DataFrame, percent: int) -> DataFrame:
         out = pd.DataFrame({"a": q.cls.to_numpy()[qi], "b": m.cls.to_numpy()[mi], "root": m.root.to_numpy()[mi]})
         return out.drop_duplicates(["a", "root"])[["a", "b"]]
 
-    return rows.groupBy("block", "chunk").applyInPandas(lambda k, p: run(k, p), "a bigint, b bigint")
+    return rows.groupBy("block", "chunk").applyInPandas(run, "a bigint, b bigint")
 
 
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -23,8 +23,10 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -201,7 +203,7 @@ class Splitter:
 
 
 class _Words(dict):
-    """word -> (number of ids, ids joined by commas, label bytes); the older half goes when it is full."""
+    """word -> (ids joined by commas, label bytes, number of ids, ids as int32 bytes); the older half goes when it is full."""
 
     def __init__(self, automaton: MergeAutomaton):
         self.automaton, self.old = automaton, {}
@@ -209,7 +211,7 @@ class _Words(dict):
     def __missing__(self, word: str):
         if (hit := self.old.get(word)) is None:
             ids = self.automaton.encode(word.encode())
-            hit = ",".join(map(str, ids)), self.automaton.decode(ids), len(ids)
+            hit = ",".join(map(str, ids)), self.automaton.decode(ids), len(ids), array("i", ids).tobytes()
         if len(word) <= CACHE_WORD_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.old = dict(self)
@@ -234,33 +236,34 @@ class Codec:
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.splitter, self.words = Splitter(), _Words(self.automaton)
 
-    def pieces(self, text: str) -> list[tuple[str, bytes, int]]:
-        """(ids joined by commas, label bytes, number of ids) for each word of the text."""
+    def pieces(self, text: str) -> list[tuple[str, bytes, int, bytes]]:
+        """What ``_Words`` holds, for each word of the text."""
         words, split = self.words, self.splitter.split
         if self._special is None or not self._special.search(text):
             return [words[w] for w in split(text)]
         out = []
         for part in self._special.split(text):
             if part in self.special:
-                out.append((str(self.special[part]), part.encode(), 1))
+                i = self.special[part]
+                out.append((str(i), part.encode(), 1, array("i", [i]).tobytes()))
             elif part:
                 out += [words[w] for w in split(part)]
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, _, _ in self.pieces(text or "") for i in ids.split(",")]
+        return list(memoryview(b"".join([p[3] for p in self.pieces(text or "")])).cast("i"))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.label[i] for i in ids]).decode("utf-8", "replace")
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text."""
+    def digest(self, text: str | None) -> tuple[int, str, str, bytes]:
+        """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text, the ids as int32 bytes."""
         if not text:
             none = hashlib.sha256(b"").hexdigest()
-            return 0, none, none
-        ids, labels, counts = zip(*self.pieces(text), strict=True)
+            return 0, none, none, b""
+        ids, labels, counts, raw = zip(*self.pieces(text), strict=True)
         data = b"".join(labels)
-        return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest()
+        return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest(), b"".join(raw)
 
 
 @cache
@@ -269,21 +272,24 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 for every row; no shuffle, a task holds one Arrow batch."""
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 for every row, and the ids themselves if wanted; no shuffle, a task holds one Arrow batch."""
+    fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for b in batches:
-            rows = [own.digest(t.as_py()) for t in b.column(1)]
-            n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                n, sha, decoded, raw = zip(*(own.digest(t.as_py()) for t in b.column(1)), strict=True)
+                out = [b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(decoded, pa.string())]
+                if ids:
+                    flat = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(raw))])
+                    out.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(n)], pa.int32()), flat))
+                yield pa.RecordBatch.from_arrays(out, fields)
+
+    kinds = [docs.schema[id_col].dataType.simpleString(), "bigint", "string", "string", "array<int>"]
+    return docs.select(id_col, text_col).mapInArrow(run, ", ".join(map(" ".join, zip(fields, kinds, strict=False))))
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:

@@ -1,10 +1,642 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    raise NotImplementedError
+from kinweave.checkpoint import written
+from kinweave.functions.similarity import jaro_winkler_udf, token_set_udf, token_sort_udf
+from kinweave.operators import audit, blocking, evaluation, features, models, refine, scoring, selection
+from kinweave.operators.records import normalize_records, rich_records
+from kinweave.plans import linkage, sql
+from kinweave.plans.adapter import Tables, tables
+from kinweave.plans.profiles import PROFILES
+from kinweave.sources import readers
+from kinweave.sources.writers import wide
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def register(name: str, sql_text: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql_text is not None:
+            ORACLE[name] = sql.query(sql_text)
+        return f
+
+    return add
+
+
+def _joined(*names: str) -> list:
+    return [F.array_join(n, " ").alias(n) for n in names]
+
+
+def _joined_sql(*names: str) -> str:
+    return ", ".join(f"array_to_string({n}, ' ') AS {n}" for n in names)
+
+
+class _Work:
+    """The stages that several queries begin with; each is a lazy plan."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.t: Tables = tables(spark, sf_dir)
+
+    def records(self) -> tuple[DataFrame, DataFrame]:
+        return normalize_records(self.t.s1), normalize_records(self.t.targets)
+
+    def candidates(self) -> DataFrame:
+        return blocking.candidates(*self.records())
+
+    def pairs(self) -> DataFrame:
+        a, b = (written(x) for x in self.records())
+        return features.pairs_of(blocking.candidates(a, b).select("s1_id", "t_id"), a, b)
+
+    def scored(self) -> DataFrame:
+        rows = features.features14(self.pairs(), cosines=False)
+        return rows.select("s1_id", "t_id", F.col("combined_jaccard").alias("score"))
+
+    def predicted(self) -> DataFrame:
+        return selection.margin_cap(self.scored(), 0.5, 0.1, 3)
+
+
+# ---- scans ----
+
+
+@register("er_scan_country", "SELECT entity_id, business_name, business_address, country FROM ent WHERE trim(country) = 'France'")
+def scan_country(spark, sf_dir):
+    every = tables(spark, sf_dir)
+    return every.s1.unionByName(every.targets).where(F.trim("country") == "France").drop("ord")
+
+
+@register("er_row_range", "SELECT entity_id, country FROM ent ORDER BY ord LIMIT 100 OFFSET 50")
+def row_range(spark, sf_dir):
+    every = tables(spark, sf_dir)
+    return readers.row_range(every.s1.unionByName(every.targets), 50, 100, by="ord").select("entity_id", "country")
+
+
+@register("er_semi_scan", "SELECT entity_id, business_name FROM targets WHERE entity_id IN (SELECT t_id FROM truth)")
+def semi_scan(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return readers.needed(t.targets, t.truth.select(F.col("t_id").alias("entity_id"))).select("entity_id", "business_name")
+
+
+# ---- normalisation ----
+
+
+@register(
+    "er_normalize_records",
+    f"SELECT entity_id, country, norm_name, norm_address, {_joined_sql('name_tokens', 'address_tokens', 'address_numbers')}, is_address_empty FROM rec",
+)
+def normalize(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    r = normalize_records(t.s1.unionByName(t.targets))
+    return r.select("entity_id", "country", "norm_name", "norm_address", *_joined("name_tokens", "address_tokens", "address_numbers"), "is_address_empty")
+
+
+_RICH = ["nums", "pins", "addr_tokens", "stems"]
+
+
+@register(
+    "er_numbers_geo_tokens",
+    "SELECT entity_id, norm_name, norm_addr, core_brand, geo, no_space, is_addr_empty, is_indic, is_generic, "
+    + ", ".join(f"array_to_string(list_sort(list_distinct({n})), ' ') AS {n}" for n in _RICH)
+    + " FROM rich",
+)
+def rich(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    r = rich_records(t.s1.unionByName(t.targets), "champion")
+    lists = [F.array_join(F.array_sort(F.array_distinct(n)), " ").alias(n) for n in _RICH]
+    return r.select("entity_id", "norm_name", "norm_addr", "core_brand", "geo", "no_space", "is_addr_empty", "is_indic", "is_generic", *lists)
+
+
+def _normal_profile(profile: str) -> Query:
+    def run(spark, sf_dir):
+        t = tables(spark, sf_dir)
+        r = rich_records(t.s1.unionByName(t.targets), profile)
+        return r.select("entity_id", "norm_name", "norm_addr", "core_brand", "geo", "no_space", *_joined("nums", "addr_tokens"))
+
+    return run
+
+
+for _p in ("v2", "production", "turbo", "v5", "train"):
+    QUERIES[f"er_rich_records_{_p}"] = _normal_profile(_p)
+
+
+# ---- blocking ----
+
+
+@register("er_blocking_keys", "SELECT country, entity_id, key_type, key FROM keys")
+def keys(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return blocking.blocking_keys(normalize_records(t.s1.unionByName(t.targets)))
+
+
+@register(
+    "er_key_histogram",
+    "SELECT country, key_type, count(*) AS keys, CAST(sum(n) AS BIGINT) AS postings, max(n) AS longest FROM (SELECT country, key_type, key, count(*) AS n FROM keys GROUP BY ALL) GROUP BY ALL",
+)
+def histogram(spark, sf_dir):
+    return blocking.key_histogram(keys(spark, sf_dir))
+
+
+@register("er_candidates_topk", "SELECT s1_id, t_id, jaccard, rank FROM cands")
+def candidates(spark, sf_dir):
+    return _Work(spark, sf_dir).candidates()
+
+
+@register(
+    "er_blocking_recall",
+    """SELECT true_pairs, captured, true_pairs - captured AS missed, CASE WHEN true_pairs = 0 THEN 1.0 ELSE captured / true_pairs END AS recall, avg_candidates, max_candidates
+FROM (SELECT count(*) AS true_pairs, count(c.t_id) AS captured FROM truth t LEFT JOIN cands c ON c.s1_id = t.s1_id AND c.t_id = t.t_id),
+     (SELECT avg(coalesce(n, 0)) AS avg_candidates, max(coalesce(n, 0)) AS max_candidates FROM s1 LEFT JOIN (SELECT s1_id, count(*) AS n FROM cands GROUP BY s1_id) c ON c.s1_id = s1.entity_id)""",
+)
+def recall(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return blocking.candidate_recall(w.t.s1, w.t.truth, written(w.candidates()))
+
+
+def _gated(profile: str) -> Query:
+    def run(spark, sf_dir):
+        t = tables(spark, sf_dir)
+        p = PROFILES[profile]
+        a, b = (written(rich_records(x, p.records)) for x in (t.s1, t.targets))
+        return blocking.gated_candidates(a, b, blocking.GATES[p.gate])
+
+    return run
+
+
+for _p in ("v2", "v3", "v4", "production", "turbo", "v5", "champion", "refined"):
+    QUERIES[f"er_gated_candidates_{_p}"] = _gated(_p)
+
+
+# ---- features ----
+
+
+@register("er_features14", sql.FEATURES14)
+def features14(spark, sf_dir):
+    return features.features14(_Work(spark, sf_dir).pairs())
+
+
+@register("er_features17", sql.FEATURES17)
+def features17(spark, sf_dir):
+    return features.features17(_Work(spark, sf_dir).pairs())
+
+
+ORACLE["er_features14"], ORACLE["er_features17"] = sql.FEATURES14, sql.FEATURES17
+
+
+@register(
+    "er_jaro_winkler",
+    "SELECT c.s1_id, c.t_id, round(jaro_winkler_similarity(a.norm_name, b.norm_name), 6) AS jaro FROM cands c JOIN rec a ON a.entity_id = c.s1_id JOIN rec b ON b.entity_id = c.t_id WHERE a.norm_name <> '' AND b.norm_name <> ''",
+)
+def jaro(spark, sf_dir):
+    p = _Work(spark, sf_dir).pairs().where("a_norm_name <> '' AND b_norm_name <> ''")
+    return p.select("s1_id", "t_id", F.round(jaro_winkler_udf("a_norm_name", "b_norm_name"), 6).alias("jaro"))
+
+
+@register("er_token_ratios")
+def ratios(spark, sf_dir):
+    p = _Work(spark, sf_dir).pairs()
+    return p.select("s1_id", "t_id", token_sort_udf("a_norm_name", "b_norm_name").alias("token_sort"), token_set_udf("a_norm_name", "b_norm_name").alias("token_set"))
+
+
+def _vector(more: bool) -> Query:
+    def run(spark, sf_dir):
+        t = tables(spark, sf_dir)
+        a, b = (written(rich_records(x, "champion")) for x in (t.s1, t.targets))
+        cands = blocking.gated_candidates(a, b, blocking.GATES["champion"])
+        return features.features19(features.with_ratios(features.pairs_of(cands, a, b)), more)
+
+    return run
+
+
+QUERIES["er_features19"], QUERIES["er_features22"] = _vector(False), _vector(True)
+
+# ---- scorers ----
+
+
+def _tier_logic(profile: str) -> Query:
+    """The profile's tiers over ratios that SQL has too: Jaro-Winkler of names in percent, Jaccard of address words in percent."""
+
+    def run(spark, sf_dir):
+        p = _Work(spark, sf_dir).pairs()
+        p = p.withColumn("jw", jaro_winkler_udf("a_norm_name", "b_norm_name")).where("a_norm_name <> '' AND b_norm_name <> ''")
+        adr = 100 * blocking.token_jaccard(F.col("a_address_tokens"), F.col("b_address_tokens"))
+        has = (F.size("a_address_numbers") > 0) & (F.size("b_address_numbers") > 0)
+        overlap = F.coalesce(F.arrays_overlap("a_address_numbers", "b_address_numbers"), F.lit(False))
+        b = F.round(100 * F.col("jw"), 4)
+        score, auto = scoring.tier_score(
+            scoring.PROFILES[profile], b, b / 100, F.round(adr, 4), overlap, has, F.col("b_is_address_empty"), F.lit(False), F.lit(False)
+        )
+        return p.select("s1_id", "t_id", F.round(score, 6).alias("score"), auto.alias("is_auto"))
+
+    return run
+
+
+_RATIOS = """SELECT c.s1_id, c.t_id, round(100 * jaro_winkler_similarity(a.norm_name, b.norm_name), 4) AS b,
+  round(100 * CASE WHEN len(a.address_tokens) = 0 OR len(b.address_tokens) = 0 THEN 0.0 ELSE len(list_intersect(a.address_tokens, b.address_tokens)) / len(list_distinct(list_concat(a.address_tokens, b.address_tokens))) END, 4) AS a,
+  len(a.address_numbers) > 0 AND len(b.address_numbers) > 0 AS has, list_has_any(a.address_numbers, b.address_numbers) AS ov, b.is_address_empty AS e
+FROM cands c JOIN rec a ON a.entity_id = c.s1_id JOIN rec b ON b.entity_id = c.t_id WHERE a.norm_name <> '' AND b.norm_name <> ''"""
+_TIER_SQL = {
+    "v2": """CASE WHEN e THEN CASE WHEN b >= 85 THEN 0.92 + b / 1000 ELSE 0 END WHEN has AND NOT ov AND b < 95 THEN 0
+      WHEN a >= 80 AND (ov OR NOT has) THEN 0.88 + a / 1000 WHEN b >= 70 AND a >= 50 THEN 0.90 + (0.5 * b + 0.5 * a) / 1000
+      WHEN b >= 55 AND a >= 68 THEN 0.88 + (0.4 * b + 0.6 * a) / 1000 WHEN b >= 88 THEN 0.85 + b / 1000 ELSE 0 END""",
+    "production": """CASE WHEN e THEN CASE WHEN b >= 85 THEN 0.92 + b / 1000 ELSE 0 END WHEN has AND NOT ov AND b < 95 THEN 0
+      WHEN b < 50 AND NOT (has AND ov) THEN 0 WHEN b >= 70 AND a >= 50 THEN 0.90 + (0.5 * b + 0.5 * a) / 1000
+      WHEN b >= 55 AND a >= 68 THEN 0.88 + (0.4 * b + 0.6 * a) / 1000 WHEN has AND ov AND a >= 80 THEN 0.88 + a / 1000 WHEN b >= 88 THEN 0.85 + b / 1000 ELSE 0 END""",
+    "v5": """CASE WHEN e THEN CASE WHEN b >= 88 THEN 0.92 + b / 1000 ELSE 0 END WHEN has AND NOT ov AND b < 95 THEN 0
+      WHEN b >= 70 AND a >= 50 THEN 0.90 + (0.5 * b + 0.5 * a) / 1000 WHEN b >= 52 AND a >= 68 THEN 0.88 + (0.4 * b + 0.6 * a) / 1000
+      WHEN has AND ov AND a >= 80 AND b >= 30 THEN 0.88 + a / 1000 WHEN b >= 90 AND a >= 40 THEN 0.86 + b / 1000 ELSE 0 END""",
+}
+_AUTO_SQL = {"v2": "NOT e AND NOT (has AND NOT ov AND b < 95) AND a >= 80 AND (ov OR NOT has)", "production": "false", "v5": "false"}
+for _p, _case in _TIER_SQL.items():
+    register(f"er_tier_logic_{_p}", f"SELECT s1_id, t_id, round(CAST({_case} AS DOUBLE), 6) AS score, {_AUTO_SQL[_p]} AS is_auto FROM ({_RATIOS})")(_tier_logic(_p))
+
+
+def _rules(profile: str) -> Query:
+    def run(spark, sf_dir):
+        t = tables(spark, sf_dir)
+        p = PROFILES[profile]
+        a, b = (written(rich_records(x, p.records)) for x in (t.s1, t.targets))
+        cands = blocking.gated_candidates(a, b, blocking.GATES[p.gate])
+        return scoring.rule_scores(features.pairs_of(cands, a, b), p.scorer)
+
+    return run
+
+
+for _p in ("v2", "v3", "v4", "production", "turbo", "v5", "fixed", "optimal", "refined"):
+    QUERIES[f"er_rule_tiers_{_p}"] = _rules(_p)
+
+
+def _trained(kind: str, **overrides) -> Query:
+    def run(spark, sf_dir):
+        w = _Work(spark, sf_dir)
+        rows = written(features.features14(w.pairs()))
+        data = written(models.limit_negatives(models.labelled(rows, w.t.truth)))
+        return models.MatchClassifier(features.FEATURES14, kind, overrides=overrides).fit(data).score(rows)
+
+    return run
+
+
+QUERIES["er_gbdt_scores"] = _trained("gbdt", maxIter=20)
+QUERIES["er_logreg_scores"] = _trained("logreg")
+
+# ---- selection ----
+
+
+@register("er_threshold_select", "SELECT s1_id, t_id, score FROM scored WHERE score >= 0.7")
+def threshold_select(spark, sf_dir):
+    return selection.threshold(_Work(spark, sf_dir).scored(), 0.7)
+
+
+@register("er_margin_cap_select", "SELECT s1_id, t_id, score, rank FROM pred")
+def margin_cap(spark, sf_dir):
+    return _Work(spark, sf_dir).predicted()
+
+
+@register(
+    "er_auto_margin_select",
+    """SELECT s1_id, t_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, t_id[1:2] ORDER BY score DESC, t_id) AS rank
+FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) AS top FROM scored) WHERE score >= 0.4 AND (top - score <= 0.05 OR score >= 0.6)) WHERE rank <= 4""",
+)
+def auto_margin(spark, sf_dir):
+    return selection.margin_cap(_Work(spark, sf_dir).scored().withColumn("is_auto", F.col("score") >= 0.6), 0.4, 0.05, 4, auto=True)
+
+
+@register(
+    "er_singleton_guard",
+    """SELECT s1_id, t_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, t_id[1:2] ORDER BY score DESC, t_id) AS rank
+FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) AS top FROM scored) WHERE top >= 0.6 AND score >= 0.5 AND top - score <= 0.08) WHERE rank <= 2""",
+)
+def singleton_guard(spark, sf_dir):
+    return selection.singleton_guard(_Work(spark, sf_dir).scored(), 0.6, 0.5, 0.08, 2)
+
+
+@register("er_topk_jaccard", "SELECT s1_id, t_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, t_id) AS rank FROM scored) WHERE rank <= 5")
+def top_k(spark, sf_dir):
+    return selection.top_k(_Work(spark, sf_dir).scored(), 5)
+
+
+_COUNTS = """SELECT {k} s.entity_id, coalesce(t.n, 0) AS n_true, coalesce(p.n, 0) AS n_pred, coalesce(p.h, 0) AS n_hit
+FROM {every} LEFT JOIN (SELECT s1_id, count(*) AS n FROM truth GROUP BY s1_id) t ON t.s1_id = s.entity_id
+LEFT JOIN (SELECT {pk} q.s1_id, count(*) AS n, count(u.t_id) AS h FROM {pred} q LEFT JOIN truth u ON u.s1_id = q.s1_id AND u.t_id = q.t_id GROUP BY ALL) p ON p.s1_id = s.entity_id {on}"""
+_P = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN n_true = 0 OR n_pred = 0 OR n_hit = 0 THEN 0.0 ELSE n_hit / n_pred END"
+_R = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN n_true = 0 OR n_pred = 0 OR n_hit = 0 THEN 0.0 ELSE n_hit / n_true END"
+_F = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN n_true = 0 OR n_pred = 0 OR n_hit = 0 THEN 0.0 ELSE 1.25 * (n_hit / n_pred) * (n_hit / n_true) / (0.25 * (n_hit / n_pred) + n_hit / n_true) END"
+_COUNTED = _COUNTS.format(k="", every="s1 s", pk="", pred="pred", on="")
+_TAUS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85]
+_round = lambda df, *keep: df.select(*keep, *[F.round(c, 9).alias(c) for c in df.columns if c not in keep])
+
+
+@register(
+    "er_threshold_sweep",
+    f"SELECT tau, round(avg({_P}), 9) AS macro_precision, round(avg({_R}), 9) AS macro_recall, round(avg({_F}), 9) AS macro_f05 FROM ("
+    + _COUNTS.format(
+        k="s.tau,", every=f"(SELECT entity_id, CAST(unnest({_TAUS}) AS DOUBLE) AS tau FROM s1) s", pk="q.tau,",
+        pred=f"(SELECT s1_id, t_id, tau FROM scored, (SELECT CAST(unnest({_TAUS}) AS DOUBLE) AS tau) WHERE score >= tau)", on="AND p.tau = s.tau",
+    )
+    + ") GROUP BY tau",
+)
+def threshold_sweep(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return _round(selection.threshold_sweep(w.scored(), w.t.truth, w.t.s1, _TAUS), "tau")
+
+
+_MINS, _MARGINS, _CAPS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8], [0.02, 0.04, 0.06, 0.08, 0.1, 0.2], [1, 2, 3, 4]
+
+
+@register(
+    "er_grid_sweep",
+    f"SELECT min_score, margin, cap, round(avg({_P}), 9) AS macro_precision, round(avg({_R}), 9) AS macro_recall, round(avg({_F}), 9) AS macro_f05 FROM ("
+    + _COUNTS.format(
+        k="s.min_score, s.margin, s.cap,", pk="q.min_score, q.margin, q.cap,", on="AND p.min_score = s.min_score AND p.margin = s.margin AND p.cap = s.cap",
+        every=f"""(SELECT entity_id, min_score, margin, cap FROM s1, (SELECT CAST(unnest({_MINS}) AS DOUBLE) AS min_score), (SELECT CAST(unnest({_MARGINS}) AS DOUBLE) AS margin),
+          (SELECT CAST(unnest({_CAPS}) AS INTEGER) AS cap)) s""",
+        pred=f"""(SELECT * FROM (SELECT s1_id, t_id, min_score, margin, row_number() OVER (PARTITION BY s1_id, min_score, margin, t_id[1:2] ORDER BY score DESC, t_id) AS r
+          FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) AS top FROM scored), (SELECT CAST(unnest({_MINS}) AS DOUBLE) AS min_score), (SELECT CAST(unnest({_MARGINS}) AS DOUBLE) AS margin)
+          WHERE score >= min_score AND top - score <= margin), (SELECT CAST(unnest({_CAPS}) AS INTEGER) AS cap) WHERE r <= cap)""",
+    )
+    + ") GROUP BY ALL",
+)
+def grid_sweep(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return _round(selection.grid_sweep(w.scored(), w.t.truth, w.t.s1, _MINS, _MARGINS, _CAPS), "min_score", "margin", "cap")
+
+
+@register("er_unique_assignment")
+def unique(spark, sf_dir):
+    return selection.unique_assignment(_Work(spark, sf_dir).scored(), 0.4, 0.2, 3)
+
+
+# ---- refinement: the match table is the selection, the other run the selection at a higher threshold ----
+
+
+def _matches(w: _Work) -> DataFrame:
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("score"), "t_id")) - 1
+    return written(w.predicted().select("s1_id", "t_id", place.alias("idx")))
+
+
+def _facts(w: _Work) -> DataFrame:
+    return refine.address_facts(w.t.s1.unionByName(w.t.targets))
+
+
+sql.cte("matches", "SELECT s1_id, t_id, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, t_id) - 1 AS idx FROM pred")
+sql.cte("other_run", "SELECT s1_id, t_id FROM scored WHERE score >= 0.6")
+_JOINED = "FROM matches m JOIN rich a ON a.entity_id = m.s1_id JOIN rich b ON b.entity_id = m.t_id"
+_KEEP = "NOT (len(a.nums) > 0 AND len(b.nums) > 0 AND NOT list_has_any(a.nums, b.nums)) AND NOT (len(a.pins) > 0 AND len(b.pins) > 0 AND NOT list_has_any(a.pins, b.pins))"
+sql.cte(
+    "reranked",
+    f"""SELECT m.s1_id, m.t_id, m.idx, 100 - 5 * m.idx + CASE WHEN o.t_id IS NOT NULL THEN 50 ELSE 0 END + CASE WHEN list_has_any(a.nums, b.nums) THEN 30 ELSE 0 END
+  + CASE WHEN list_has_any(a.pins, b.pins) THEN 20 ELSE 0 END AS score {_JOINED} LEFT JOIN other_run o ON o.s1_id = m.s1_id AND o.t_id = m.t_id""",
+)
+
+
+@register("er_conflict_prune", f"SELECT m.s1_id, m.t_id, m.idx {_JOINED} WHERE {_KEEP}")
+def prune(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return refine.prune(_matches(w), _facts(w))
+
+
+@register("er_consensus_rerank", "SELECT s1_id, t_id, idx, score FROM reranked")
+def rerank(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return refine.rerank(_matches(w), _facts(w), selection.threshold(w.scored(), 0.6))
+
+
+@register(
+    "er_conditional_third",
+    """SELECT s1_id, t_id, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, idx, t_id) - 1 AS idx, score
+FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, t_id[1:2] ORDER BY score DESC, idx, t_id) AS r FROM reranked) WHERE r <= 2 OR r = 3 AND score >= 120""",
+)
+def third(spark, sf_dir):
+    return refine.cap(rerank(spark, sf_dir), 2, 120)
+
+
+@register(
+    "er_unassigned",
+    "SELECT entity_id FROM targets WHERE entity_id NOT IN (SELECT t_id FROM pred)",
+)
+def unassigned(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return refine.unassigned(w.t.targets, w.predicted()).select("entity_id")
+
+
+@register("er_address_rescue")
+def rescue(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return refine.rescue(w.t.s1, w.t.targets, _matches(w).limit(0))
+
+
+# ---- evaluation and audit ----
+
+
+@register(
+    "er_entity_fbeta",
+    f"SELECT entity_id AS s1_id, n_true, n_pred, n_hit, {_P} AS precision, {_R} AS recall, round({_F}, 12) AS f_beta FROM ({_COUNTED})",
+)
+def fbeta(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return evaluation.entity_scores(w.t.s1, w.predicted(), w.t.truth).withColumn("f_beta", F.round("f_beta", 12))
+
+
+_METRICS = "entities macro_precision macro_recall macro_f05 singleton_score single_f05 multi_f05 singletons singles multis".split()
+sql.cte("entity_f", f"SELECT entity_id, n_true, {_P} AS p, {_R} AS r, {_F} AS f FROM ({_COUNTED})")
+_MACRO = """count(*) AS entities, round(avg(p), 9) AS macro_precision, round(avg(r), 9) AS macro_recall, round(avg(f), 9) AS macro_f05,
+  round(coalesce(avg(f) FILTER (n_true = 0), 0.0), 9) AS singleton_score, round(coalesce(avg(f) FILTER (n_true = 1), 0.0), 9) AS single_f05, round(coalesce(avg(f) FILTER (n_true > 1), 0.0), 9) AS multi_f05,
+  count(*) FILTER (n_true = 0) AS singletons, count(*) FILTER (n_true = 1) AS singles, count(*) FILTER (n_true > 1) AS multis"""
+
+
+@register("er_macro_metrics", f"SELECT {_MACRO} FROM entity_f")
+def macro(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return _round(evaluation.macro_metrics(w.t.s1, w.predicted(), w.t.truth), "entities", "singletons", "singles", "multis")
+
+
+@register("er_metrics_by_country", f"SELECT country, {_MACRO} FROM entity_f JOIN s1 USING (entity_id) GROUP BY country")
+def macro_country(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return _round(evaluation.macro_metrics(w.t.s1, w.predicted(), w.t.truth, by=["country"]), "country", "entities", "singletons", "singles", "multis")
+
+
+sql.cte(
+    "errors",
+    """SELECT coalesce(p.s1_id, t.s1_id) AS s1_id, coalesce(p.t_id, t.t_id) AS t_id, p.t_id IS NOT NULL AS p, t.t_id IS NOT NULL AS t
+FROM pred p FULL JOIN truth t ON p.s1_id = t.s1_id AND p.t_id = t.t_id""",
+)
+
+
+@register(
+    "er_error_classes",
+    """SELECT CASE WHEN p AND t THEN 'TP' WHEN p THEN 'FP' ELSE 'FN' END AS kind,
+  CASE WHEN p AND t THEN 'correct' WHEN p THEN 'false match' WHEN c.t_id IS NOT NULL THEN 'classifier failure' ELSE 'blocking failure' END AS reason, count(*) AS n
+FROM errors e LEFT JOIN cands c ON c.s1_id = e.s1_id AND c.t_id = e.t_id GROUP BY ALL
+UNION ALL SELECT 'S', CASE WHEN q.s1_id IS NULL THEN 'correct singleton' ELSE 'incorrect singleton' END, count(*)
+FROM s1 s LEFT JOIN (SELECT DISTINCT s1_id FROM pred) q ON q.s1_id = s.entity_id WHERE s.entity_id NOT IN (SELECT s1_id FROM truth) GROUP BY ALL""",
+)
+def errors(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return evaluation.error_classes(written(w.predicted()), w.t.truth, w.candidates(), w.t.s1)
+
+
+@register(
+    "er_gap",
+    """SELECT count(*) AS true_pairs, count(c.t_id) AS captured, count(p.t_id) AS predicted FROM truth t
+LEFT JOIN cands c ON c.s1_id = t.s1_id AND c.t_id = t.t_id LEFT JOIN pred p ON p.s1_id = t.s1_id AND p.t_id = t.t_id""",
+)
+def gap(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return evaluation.gap(written(w.predicted()), w.t.truth, w.candidates())
+
+
+_PROFILE = """SELECT '{s}' AS source, count(*) AS n_rows, count(entity_id) - count(DISTINCT entity_id) AS duplicate_ids, count(*) FILTER (entity_id NOT LIKE '{s}-%') AS bad_prefix,
+  count(*) FILTER (trim(business_name) = '') AS empty_names, count(*) FILTER (trim(business_address) = '') AS empty_addresses, count(*) FILTER (trim(country) = '') AS empty_countries,
+  count(DISTINCT country) AS countries, round(avg(length(business_name)), 9) AS avg_name_length, CAST(median(length(business_name)) AS DOUBLE) AS median_name_length,
+  min(length(business_name)) AS min_name_length, max(length(business_name)) AS max_name_length,
+  round(avg(len(list_filter(string_split(business_name, ' '), lambda t: t <> ''))), 9) AS avg_name_words,
+  round(avg(length(business_address)), 9) AS avg_address_length, round(avg(len(list_filter(string_split(business_address, ' '), lambda t: t <> ''))), 9) AS avg_address_words
+FROM ent WHERE entity_id LIKE '{s}-%'"""
+
+
+@register("er_source_profile", " UNION ALL ".join(_PROFILE.format(s=s) for s in ("S1", "S2", "S3")))
+def source_profile(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    parts = [audit.source_profile(t.s1, "S1"), *[audit.source_profile(t.targets.where(F.col("entity_id").startswith(f"{s}-")), s) for s in ("S2", "S3")]]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select(*[F.round(c, 9).alias(c) if c.startswith("avg_") else F.col(c) for c in out.columns])
+
+
+@register("er_country_counts", "SELECT country, count(*) AS n FROM ent GROUP BY country")
+def country_counts(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return audit.country_counts(t.s1.unionByName(t.targets))
+
+
+sql.cte(
+    "per_s1",
+    "SELECT entity_id, count(t_id) AS n, count(t_id) FILTER (t_id LIKE 'S2-%') AS n2, count(t_id) FILTER (t_id LIKE 'S3-%') AS n3 FROM s1 LEFT JOIN truth ON s1_id = entity_id GROUP BY entity_id",
+)
+
+
+@register(
+    "er_truth_profile",
+    """SELECT count(*) AS entities, count(*) FILTER (n = 0) AS singletons, count(*) FILTER (n = 1) AS singles, count(*) FILTER (n > 1) AS multis,
+  count(*) FILTER (n2 > 0 AND n3 = 0) AS s2_only, count(*) FILTER (n3 > 0 AND n2 = 0) AS s3_only, count(*) FILTER (n2 > 0 AND n3 > 0) AS "both",
+  CAST(sum(n) AS BIGINT) AS pairs, max(n) AS most, (SELECT count(DISTINCT t_id) FROM truth) AS distinct_targets FROM per_s1""",
+)
+def truth_profile(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return audit.truth_profile(t.truth, t.s1)
+
+
+@register("er_match_histogram", "SELECT n AS matches, count(*) AS entities FROM per_s1 GROUP BY n")
+def match_histogram(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return audit.match_histogram(t.truth, t.s1)
+
+
+_NOISE = "FROM pred p JOIN ent a ON a.entity_id = p.s1_id JOIN ent b ON b.entity_id = p.t_id"
+
+
+@register(
+    "er_match_noise",
+    f"""SELECT count(*) AS pairs, count(*) FILTER (a.country <> b.country) AS cross_country, round(100 * avg(CAST(a.business_name = b.business_name AS DOUBLE)), 9) AS exact_name_pct,
+  round(100 * avg(CAST(lower(a.business_name) = lower(b.business_name) AS DOUBLE)), 9) AS same_name_pct, round(100 * avg(CAST(a.business_address = b.business_address AS DOUBLE)), 9) AS exact_address_pct {_NOISE}""",
+)
+def match_noise(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return _round(audit.match_noise(w.predicted(), w.t.s1, w.t.targets), "pairs", "cross_country")
+
+
+@register(
+    "er_noise_examples",
+    f"""SELECT p.s1_id, p.t_id AS target_id, a.country, a.business_name AS s1_name, b.business_name AS target_name, a.business_address AS s1_address, b.business_address AS target_address,
+  a.business_name = b.business_name AS exact_name, lower(a.business_name) = lower(b.business_name) AS same_name, a.business_address = b.business_address AS exact_address
+{_NOISE} ORDER BY p.s1_id, p.t_id LIMIT 50""",
+)
+def noise_examples(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return audit.noise_examples(w.predicted(), w.t.s1, w.t.targets)
+
+
+_WIDE = "SELECT entity_id AS source1_entity_id, coalesce(l, '') AS matched_entity_ids FROM s1 LEFT JOIN (SELECT s1_id, string_agg(t_id, ',' ORDER BY idx, t_id) AS l FROM matches GROUP BY s1_id) ON s1_id = entity_id"
+
+
+@register("er_results_wide", _WIDE)
+def results_wide(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return wide(w.t.s1.drop("ord"), _matches(w))
+
+
+sql.cte("good", _WIDE)
+sql.cte(
+    "broken",
+    """SELECT source1_entity_id, CASE WHEN k % 11 = 1 THEN matched_entity_ids || ',S2-1,S2-1' WHEN k % 13 = 1 THEN 'S1-3' WHEN k % 17 = 1 THEN 'X9-1,S2-99999999' ELSE matched_entity_ids END AS matched_entity_ids
+FROM (SELECT *, CAST(source1_entity_id[4:] AS BIGINT) AS k FROM good) WHERE k % 19 <> 1 UNION ALL SELECT * FROM good WHERE CAST(source1_entity_id[4:] AS BIGINT) % 23 = 1 UNION ALL SELECT 'S1-foreign', ''""",
+)
+sql.cte("broken_ids", "SELECT source1_entity_id AS s, list_filter(list_transform(string_split(matched_entity_ids, ','), lambda x: trim(x)), lambda x: x <> '') AS ids FROM broken")
+sql.cte("broken_each", "SELECT s, unnest(ids) AS t FROM broken_ids")
+sql.cte(
+    "violations",
+    """SELECT 'duplicate_row' AS rule, 'error' AS severity, s AS offender FROM broken_ids GROUP BY s HAVING count(*) > 1
+UNION ALL SELECT 'duplicate_id_in_list', 'error', s FROM broken_ids WHERE len(ids) <> len(list_distinct(ids))
+UNION ALL SELECT 'self_match', 'error', t FROM broken_each WHERE t LIKE 'S1-%'
+UNION ALL SELECT 'bad_prefix', 'error', t FROM broken_each WHERE t[1:3] NOT IN ('S1-', 'S2-', 'S3-')
+UNION ALL SELECT 'missing_s1', 'error', entity_id FROM s1 WHERE entity_id NOT IN (SELECT s FROM broken_ids)
+UNION ALL SELECT 'foreign_s1', 'error', s FROM broken_ids WHERE s NOT IN (SELECT entity_id FROM s1)
+UNION ALL SELECT 'unknown_id', 'error', t FROM broken_each WHERE t[1:3] IN ('S2-', 'S3-') AND t NOT IN (SELECT entity_id FROM targets)
+UNION ALL SELECT 'match_not_candidate', 'warning', s || '/' || t FROM broken_each WHERE (s, t) NOT IN (SELECT (s1_id, t_id) FROM cands)""",
+)
+
+
+@register(
+    "er_validate_results",
+    """SELECT rule, severity, count(*) AS n, array_to_string(list_sort(list_distinct(list(offender)))[1:5], ',') AS examples FROM violations GROUP BY rule, severity""",
+)
+def validate(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    good = wide(w.t.s1.drop("ord"), _matches(w)).withColumn("k", F.substring("source1_entity_id", 4, 30).cast("bigint"))
+    k, ids = F.col("k"), F.col("matched_entity_ids")
+    bad = F.when(k % 11 == 1, F.concat(ids, F.lit(",S2-1,S2-1"))).when(k % 13 == 1, "S1-3").when(k % 17 == 1, "X9-1,S2-99999999").otherwise(ids)
+    broken = good.where(k % 19 != 1).withColumn("matched_entity_ids", bad).unionByName(good.where(k % 23 == 1)).drop("k")
+    broken = written(broken.unionByName(spark.createDataFrame([("S1-foreign", "")], broken.schema)))
+    cands = wide(w.t.s1.drop("ord"), w.candidates(), "candidate_entity_ids", order="rank")
+    return audit.validate(broken, w.t.s1, cands, w.t.targets)
+
+
+# ---- end to end ----
+
+
+def _linked(profile: str) -> Query:
+    def run(spark, sf_dir):
+        t = tables(spark, sf_dir)
+        return linkage.rule_linkage(t.s1, t.targets, profile)[1]
+
+    return run
+
+
+for _p in ("v4", "v5", "refined"):
+    QUERIES[f"er_linkage_{_p}"] = _linked(_p)
+
+
+@register("er_linkage_champion")
+def champion(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return linkage.champion(t.s1, t.targets, t.truth, maxIter=20)[1]
+
+
+@register("er_linkage_refined_table")
+def refined_table(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return linkage.refined(_matches(w), w.t.s1, w.t.targets, selection.threshold(w.scored(), 0.6))
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
+    """Matches of the modular plan: normalise, block, compare, select."""
+    return _Work(spark, sf_dir).predicted()

@@ -45,23 +45,29 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def _counted(grams: Column) -> Column:
-    """Distinct n-grams with their numbers."""
-    return F.transform(F.array_distinct(grams), lambda g: F.struct(g.alias("g"), F.size(F.filter(grams, lambda x: x == g)).alias("n")))
+def with_grams(records: DataFrame, *columns: str) -> DataFrame:
+    """Records with ``<column>_grams``, the distinct padded 3-grams of a text with their numbers, and ``<column>_len``, the vector's length.
 
+    Made once for each record, in steps: an expression used several times is its own projection.
+    """
+    for c in columns:
+        records = records.withColumn("_g", X.ngrams(F.col(c)))
+        counted = F.transform(F.array_distinct("_g"), lambda g: F.struct(g.alias("g"), F.size(F.filter("_g", lambda x: x == g)).alias("n")))
+        records = records.withColumn(f"{c}_grams", counted).drop("_g")
+        total = F.aggregate(f"{c}_grams", F.lit(0.0), lambda s, e: s + e["n"] * e["n"])
+        records = records.withColumn(f"{c}_len", F.sqrt(total))
+    return records
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of padded 3-gram counts, 0 where nothing is shared (F-1)."""
-    x, y = _counted(X.ngrams(a)), _counted(X.ngrams(b))
-    zero = F.lit(0.0)
-    norm = lambda v: F.sqrt(F.aggregate(v, zero, lambda s, e: s + e["n"] * e["n"]))
-    by = F.map_from_entries(y)
-    dot = F.aggregate(x, zero, lambda s, e: s + e["n"] * F.coalesce(F.element_at(by, e["g"]), F.lit(0)))
-    return F.when(dot > 0, dot / (norm(x) * norm(y))).otherwise(0.0)
+
+def cosine(column: str) -> Column:
+    """Cosine of two records' 3-gram counts, 0 where nothing is shared (F-1)."""
+    by = F.map_from_entries(f"b_{column}_grams")
+    dot = F.aggregate(f"a_{column}_grams", F.lit(0.0), lambda s, e: s + e["n"] * F.coalesce(F.element_at(by, e["g"]), F.lit(0)))
+    return F.when(F.col(f"a_{column}_len") * F.col(f"b_{column}_len") > 0, dot / (F.col(f"a_{column}_len") * F.col(f"b_{column}_len"))).otherwise(0.0)
 
 
 def features14(pairs: DataFrame, cosines: bool = True) -> DataFrame:
-    """s1_id, t_id and the 14 features (F-2, F-13). Text n-grams of a record are counted where it is used."""
+    """s1_id, t_id and the 14 features (F-2, F-13). With ``cosines`` the records have gone through ``with_grams`` for both texts."""
     an, bn, aa, ba = F.col("a_norm_name"), F.col("b_norm_name"), F.col("a_norm_address"), F.col("b_norm_address")
     at, bt = F.col("a_name_tokens"), F.col("b_name_tokens")
     empty = (ba == "") | F.col("b_is_address_empty")
@@ -72,13 +78,13 @@ def features14(pairs: DataFrame, cosines: bool = True) -> DataFrame:
         "name_exact": _flag((an != "") & (an == bn)),
         "name_jaccard": name_jaccard,
         "name_recall": F.when(distinct > 0, F.size(F.array_intersect(at, bt)) / distinct).otherwise(0.0),
-        "name_char_cosine": cosine(an, bn) if cosines else F.lit(None).cast("double"),
+        "name_char_cosine": cosine("norm_name") if cosines else F.lit(None).cast("double"),
         "name_pfx_match": _flag((F.length(an) >= 4) & (F.substring(an, 1, 4) == F.substring(bn, 1, 4))),
         "name_len_diff": F.abs(F.length(an) - F.length(bn)).cast("double"),
         "name_token_diff": F.abs(F.size(at) - F.size(bt)).cast("double"),
         "addr_exact": _flag(~empty & (aa != "") & (aa == ba)),
         "addr_jaccard": addr_jaccard,
-        "addr_char_cosine": F.when(empty, 0.0).otherwise(cosine(aa, ba)) if cosines else F.lit(None).cast("double"),
+        "addr_char_cosine": F.when(empty, 0.0).otherwise(cosine("norm_address")) if cosines else F.lit(None).cast("double"),
         "addr_num_match": _flag(F.arrays_overlap("a_address_numbers", "b_address_numbers")),
         "is_addr_empty": _flag(empty),
         "country_match": _flag(F.col("a_country") == F.col("b_country")),

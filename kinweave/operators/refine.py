@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.checkpoint import written
 from kinweave.functions import text as X
 from kinweave.operators.blocking import address_index
 
@@ -111,6 +112,7 @@ def rescue(s1: DataFrame, targets: DataFrame, matches: DataFrame, least: int = 1
                     break
         return pd.DataFrame(out, columns=["s1_id", "t_id"])
 
-    odd = clash.where("clash")
-    walked = index.join(odd, keys).groupBy(*keys).cogroup(free.join(odd, keys).groupBy(*keys)).applyInPandas(walk, "s1_id string, t_id string")
+    odd = clash.where("clash").select(*keys)
+    left, right = written(index.join(odd, keys)), written(free.join(odd, keys))
+    walked = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(walk, "s1_id string, t_id string")
     return given.select("s1_id", "t_id").unionByName(walked)

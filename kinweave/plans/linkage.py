@@ -30,7 +30,7 @@ class ERPipeline:
 
     def pairs(self, s1: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(candidates, features)."""
-        a, b = written(normalize_records(s1)), written(normalize_records(targets))
+        a, b = (written(features.with_grams(normalize_records(x), "norm_name", "norm_address")) for x in (s1, targets))
         cands = written(blocking.candidates(a, b, top=self.max_candidates))
         make = features.features17 if self.hard_negatives else features.features14
         return cands, make(features.pairs_of(cands.select("s1_id", "t_id"), a, b))

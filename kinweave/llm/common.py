@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,31 @@ def ascii_lower(col):
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(slow)
 
 
+def bitmap(place: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the values in the one column of ``place``, all below ``bits``; OR-ed in the cluster, so the driver gets ``bits`` at most."""
+    v = F.col("v")
+    words = place.toDF("v").groupBy(F.shiftright(v, 15).alias("w")).agg(F.bitmap_construct_agg(v.bitwiseAND(32767)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in words.toLocalIterator():
+        out[r["w"] * 4096 : (r["w"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def test_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def in_bitmap(bits: np.ndarray, spark: SparkSession):
+    """A function of a bigint column: whether its value is in the bitmap."""
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def known(at: pd.Series) -> pd.Series:
+        return pd.Series(test_bits(shared.value, at.to_numpy()))
+
+    return known
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): each node that has an edge, with the smallest node it can reach.
 

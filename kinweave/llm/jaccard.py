@@ -8,12 +8,14 @@ set in one range are one part. Linked sets differ in at most d shingles, and K >
 linked sets have equal parts, while a passage that many documents share makes no equal
 part by itself: it is cut up among other shingles. A set that fits two levels, because
 larger partners fall into the next one, has parts in both. Empty parts count only for
-sets with so many of them that they could be the only equal ones.
+sets with so many of them that they could be the only equal ones. So a set knows how many
+of its parts any linked set has too, at least (``need``).
 
 1. Sets: shingles are hashed in the scan; a row keeps the size, the class (digest of the
    set: equal sets are one class) and the parts. Shingles are not kept.
-2. Groups: a part that several classes have points to its smallest class, the leader;
-   a class belongs to the group of its smallest leader. Both are pre-aggregated minima.
+2. Groups: parts that one class has are dropped, then classes with fewer shared parts
+   than their need. A part that several classes have points to its smallest class, the
+   leader; a class belongs to the group of its smallest leader. All are pre-aggregated.
 3. Star: shingle sets are made again for the classes with a shared part only, and each
    class is compared with its leaders. Most copies are connected after this step, in
    work linear in the size of a group.
@@ -41,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import components, table, written
+from kinweave.llm.common import bitmap, components, table, test_bits, written
 
 BLOCK = 1024
 #: shingles of a block, and of the queries that meet it in one task
@@ -104,33 +106,30 @@ class Levels:
 
     def parts(self, level: int) -> int:
         d = self.differ(2 ** (level + 1) - 1, 2 ** (level + 1) - 1)
-        return d + 1 + d // 32 + (d > 3)
+        return d + 1 + d // 8 + (d > 3)
 
     def of(self, n: int) -> list[int]:
         low = n.bit_length() - 1
         return list(range(low, self.largest(n).bit_length()))
 
-    def need(self, level: int, a: int, b: int) -> int:
-        """So many parts are equal, at least, if sets of these sizes link."""
-        return self.parts(level) - self.differ(a, b)
-
 
 def parts(s: np.ndarray, levels: Levels) -> tuple[np.ndarray, int]:
-    """The parts of a sorted shingle set, over its levels, and the least number of parts that aren't empty in a level."""
-    out, n, least = [], len(s), len(s)
+    """The parts of a sorted shingle set, over its levels, and how many of them a linked set has too, at least."""
+    out, n, need = [], len(s), len(s)
     mixed = _mix(s + _U(0x632BE59BD9B4E019))
     for level in levels.of(n):
         k = levels.parts(level)
         place = (s >> _U(32)) * _U(k) >> _U(32)
         starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        least = min(least, len(starts))
+        d = levels.differ(n, min(levels.largest(n), 2 ** (level + 1) - 1))
+        need = min(need, len(starts) - d)
         sums = np.add.reduceat(mixed, starts)
         own = place[starts] + _U(level << 40)
         out.append(_mix(sums ^ _mix(own)))
-        if k - len(starts) >= levels.need(level, n, min(levels.largest(n), 2 ** (level + 1) - 1)):
+        if k - len(starts) >= k - d:
             empty = np.setdiff1d(np.arange(k, dtype=_U), place[starts])
             out.append(_mix(_mix(empty + _U(level << 40)) ^ _U(0x5851F42D4C957F2D)))
-    return np.concatenate(out), least
+    return np.concatenate(out), max(1, need)
 
 
 def set_class(s: np.ndarray) -> int:
@@ -142,13 +141,13 @@ def _as_bytes(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
 
 
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, class (null for the empty set), parts, the least number of parts in a level."""
+    """doc_id, size, class (null for the empty set), parts, how many of them a linked set has at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, levels = _Hashes(), Levels(percent)
         seen: set[int] = set()  # classes whose parts this task has given already
         for b in batches:
-            size, cls, own, least = [], [], [], []
+            size, cls, own, need = [], [], [], []
             for t in _as_bytes(b, 1):
                 s = shingles(t, n, hashes)
                 c = set_class(s) if len(s) else None
@@ -156,43 +155,47 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 cls.append(c)
                 if c is None or c in seen:
                     own.append(None)
-                    least.append(None)
+                    need.append(None)
                 else:
                     p, k = parts(s, levels)
                     own.append(p.view(np.int64))
-                    least.append(k)
+                    need.append(k)
                     if len(seen) < 1_000_000:
                         seen.add(c)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(least, pa.int64())],
-                ["doc_id", "size", "cls", "parts", "least"],
+                [b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(need, pa.int64())],
+                ["doc_id", "size", "cls", "parts", "need"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size bigint, cls bigint, parts array<bigint>, least bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size bigint, cls bigint, parts array<bigint>, need bigint")
 
 
-def _filter(values: DataFrame) -> np.ndarray:
-    """A bitmap of hashed values of the one column of ``values``, OR-ed in the cluster, at most FILTER_BITS bits."""
-    value = F.pmod(F.xxhash64(values.columns[0]), F.lit(FILTER_BITS))
-    words = values.select(value.alias("v")).groupBy(F.shiftright("v", 15).alias("w")).agg(
-        F.bitmap_construct_agg(F.col("v").bitwiseAND(32767)).alias("bits")
-    )
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in words.toLocalIterator():
-        out[r["w"] * 4096 : (r["w"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+def _posts(sets: DataFrame, leaders: DataFrame) -> DataFrame:
+    """cls, part of the parts that ``leaders`` (part) holds, and of a few that its filter lets pass: most parts never travel again."""
+    bits = sets.sparkSession.sparkContext.broadcast(bitmap(leaders.select(F.col("part").bitwiseAND(FILTER_BITS - 1)), FILTER_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(1)
+            flat = own.flatten().to_numpy(zero_copy_only=False)
+            cls = np.repeat(b.column(0).to_numpy(zero_copy_only=False), own.value_lengths().to_numpy(zero_copy_only=False))
+            at = flat & (FILTER_BITS - 1)
+            ok = test_bits(bits.value, at)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[ok], pa.int64()), pa.array(flat[ok], pa.int64())], ["cls", "part"])
+
+    return sets.where("parts is not null").select("cls", "parts").mapInArrow(run, "cls bigint, part bigint")
 
 
 def _shingled(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """cls, s (sorted shingles as bytes) of the documents that ``wanted`` (doc_id) holds, and of a few that its filter lets pass."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))), FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _Hashes(), set()
         for b in batches:
             at = b.column(2).to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+            b = b.filter(pa.array(test_bits(bits.value, at)))
             cls, own = [], []
             for t in _as_bytes(b, 1):
                 s = shingles(t, n, hashes)
@@ -279,11 +282,16 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     levels = Levels(percent)
     sets = written(_sets(docs, n, percent), "sets")
     classes = written(
-        sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("least").alias("parts")), "classes"
+        sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("need").alias("need")), "classes"
     )
     posts = sets.where("parts is not null").select("cls", F.explode("parts").alias("part"))
-    leaders = posts.groupBy("part").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("part", "leader")
-    shared = written(posts.join(leaders, "part").distinct(), "shared")
+    several = lambda df: df.groupBy("part").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("part", "leader")
+    leaders = written(several(posts), "leaders")
+    shared = written(_posts(sets, leaders).join(leaders.select("part"), "part").distinct(), "shared")
+    # the whole corpus as one group: a class with fewer shared parts than a linked set has links with nothing
+    alive = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).join(classes, "cls").where("n >= need").select("cls")
+    shared = written(shared.join(alive, "cls"), "alive")
+    shared = written(shared.join(several(shared), "part"), "led")
 
     star = shared.where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()
     near = written(shared.groupBy("cls").agg(F.min("leader").alias("home")), "near")
@@ -295,7 +303,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     # what the star left open
     rooted = near.join(roots, near.cls == roots.node, "left").select("cls", "home", F.coalesce("root", "cls").alias("root"))
-    rooted = written(rooted.join(classes.select("cls", "size", "parts"), "cls"), "rooted")
+    rooted = written(rooted.join(classes.select("cls", "size", "need"), "cls"), "rooted")
     post = shared.select("part", "cls").join(rooted, "cls")
     mixed = post.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("part")
     post = written(post.join(mixed, "part"), "open")
@@ -312,15 +320,13 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     )
     fits = (F.col("least") * percent <= F.col("size") * 100) & (F.col("size") * percent <= F.col("most") * 100)
     bound = (
-        post.select("part", "cls", "root", "size", "parts")
+        post.select("part", "cls", "root", "size", "need")
         .join(matrix, "part")
         .where(fits & (F.col("low") < F.col("root")))  # a pair is compared from the side of the larger root
         .groupBy("cls", "block")
-        .agg(F.count(F.lit(1)).alias("overlap"), F.max("most").alias("most"), F.max("size").alias("size"), F.max("parts").alias("parts"))
+        .agg(F.count(F.lit(1)).alias("overlap"), F.max("size").alias("size"), F.max("need").alias("need"))
     )
-    # in the level that two linked sets share, all but d of a set's parts are equal to the other's
-    d = F.floor((F.col("size") + F.least("most", F.floor(F.col("size") * 100 / percent))) * (100 - percent) / (100 + percent))
-    open_ = written(bound.where(F.col("overlap") >= F.greatest(F.lit(1), F.col("parts") - d)).select("cls", "block", "size"), "opened")
+    open_ = written(bound.where("overlap >= need").select("cls", "block", "size"), "opened")
 
     chunks = open_.groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / TOKENS)).alias("chunks"))
     asks = open_.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))

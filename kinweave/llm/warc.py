@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import shared_dir, table, written
+from kinweave.llm.common import bitmap, in_bitmap, shared_dir, table, written
 
 REVISIT_BYTES = 1000
 RECORDS_EACH = 2000
+#: bits of the filter that knows revisits, 8 MiB
+BITS = 1 << 26
 END = b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[0-9]\r?\n")
 MEMBER = b"\x1f\x8b\x08"
@@ -132,8 +134,13 @@ def records(pages: DataFrame) -> DataFrame:
     seen = written(seen, "digests")
     first = seen.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     again = seen.join(first, "sha").where("page_id <> refers_to").select("page_id", "sha", "refers_to").distinct()
-    own = pages.select("page_id", "url", html.alias("html")).withColumn("sha", F.sha2("html", 256))
-    both = own.join(again, ["page_id", "sha"], "left")
+    # a row that the bitmap of revisits doesn't know is a response, and its payload never travels
+    place = F.pmod(F.xxhash64("page_id", "sha"), F.lit(BITS))
+    again = written(again, "revisits")
+    maybe = in_bitmap(bitmap(again.select(place), BITS), pages.sparkSession)
+    own = pages.select("page_id", "url", html.alias("html")).withColumn("sha", F.sha2("html", 256)).withColumn("maybe", maybe(place))
+    sure = own.where("not maybe").withColumn("refers_to", F.lit(None).cast("bigint"))
+    both = own.where("maybe").join(again, ["page_id", "sha"], "left").unionByName(sure)
     revisit = F.col("refers_to").isNotNull()
     n = F.octet_length("html").cast("string")
     url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))

@@ -51,6 +51,17 @@ def ascii_lower(col):
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(slow)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where ``df`` has such columns already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bitmap(place: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of the values in the one column of ``place``, all below ``bits``; OR-ed in the cluster, so the driver gets ``bits`` at most."""
     v = F.col("v")

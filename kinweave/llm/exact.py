@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import ascii_lower, table, written
+from kinweave.llm.common import ascii_lower, fresh, table, written
 
 #: the directory has at most 2**MAX_DEPTH entries: 65,536 rows of 24 bytes
 MAX_DEPTH = 16
@@ -107,12 +107,13 @@ def survivors(docs: DataFrame, **options) -> DataFrame:
     keep = groups.where("kept").select("doc_id", "text_sha256")
     again = not keep.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty()
     sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
-    keep = keep.distinct().select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    out = docs.withColumn("_own", sha)
-    out = out.join(keep, out["doc_id"].eqNullSafe(keep["_id"]) & (out["_own"] == keep["_sha"]), "left_semi")
+    own, left, right = fresh(docs, "own", "id", "digest")
+    keep = keep.distinct().select(F.col("doc_id").alias(left), F.col("text_sha256").alias(right))
+    out = docs.withColumn(own, sha)
+    out = out.join(keep, F.col("doc_id").eqNullSafe(F.col(left)) & (F.col(own) == F.col(right)), "left_semi")
     if again:
-        out = out.dropDuplicates(["doc_id", "_own"])
-    return out.drop("_own")
+        out = out.dropDuplicates(["doc_id", own])
+    return out.drop(own)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

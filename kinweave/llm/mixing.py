@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import WORD, table, written
+from kinweave.llm.common import WORD, fresh, table, written
 
 MIN_SLOTS, SLOTS_EACH, BUCKET_ROWS = 1 << 17, 32, 20_000
 
@@ -114,14 +114,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for each full time that a document is taken, and its leading words where it is cut."""
-    took = mix(docs, **options).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).where("_taken > 0")
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), (F.col("_taken") % F.col("_size")).cast("int"))
-    full = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    part = F.when(F.col("_taken") % F.col("_size") > 0, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    times = F.concat(F.when(full > 0, F.sequence(F.lit(1), full)).otherwise(F.array().cast("array<int>")), part)
-    out = docs.join(took.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_time", F.explode(times))
-    text = F.when(F.col("_time") < 0, F.array_join(words, " ")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    own, size, taken, time = fresh(docs, "id", "size", "taken", "time")
+    took = mix(docs, **options).groupBy("doc_id").agg(F.max("size").alias(size), F.max("taken").alias(taken)).where(F.col(taken) > 0)
+    rest = (F.col(taken) % F.col(size)).cast("int")
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest)
+    full, none = F.floor(F.col(taken) / F.col(size)).cast("int"), F.array().cast("array<int>")
+    times = F.concat(F.when(full > 0, F.sequence(F.lit(1), full)).otherwise(none), F.when(rest > 0, F.array(F.lit(-1))).otherwise(none))
+    out = docs.join(took.withColumnRenamed("doc_id", own), F.col("doc_id").eqNullSafe(F.col(own))).withColumn(time, F.explode(times))
+    out = out.withColumn("text", F.when(F.col(time) < 0, F.array_join(words, " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

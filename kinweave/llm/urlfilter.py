@@ -54,18 +54,23 @@ def keys(host: Column, path: Column, labels: int, lengths: Sequence[int]) -> Col
     return F.transform(ranked, lambda x: x["k"])
 
 
-def _positions(h1: np.ndarray, h2: np.ndarray, bits: int, hashes: int):
+def _positions(h1: np.ndarray, h2: np.ndarray, bits: int, hashes: int, level: int):
+    """Places in a level's filter. Every level hashes anew, else keys that meet in one would meet in all."""
+    salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    x = (h1 ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) + h2
     for i in range(hashes):
-        yield (h1 + np.uint64(i) * (h2 | np.uint64(1))) % np.uint64(bits)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        yield (x >> np.uint64(20)) % np.uint64(bits)
 
 
 class Level:
-    def __init__(self, words: np.ndarray, bits: int, hashes: int):
-        self.words, self.bits, self.hashes = words, bits, hashes
+    def __init__(self, words: np.ndarray, bits: int, hashes: int, number: int):
+        self.words, self.bits, self.hashes, self.number = words, bits, hashes, number
 
     def has(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         ok = np.ones(len(h1), bool)
-        for p in _positions(h1, h2, self.bits, self.hashes):
+        for p in _positions(h1, h2, self.bits, self.hashes, self.number):
             ok &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
         return ok
 
@@ -89,21 +94,21 @@ def _hashed(keys: DataFrame) -> DataFrame:
     return keys.select(F.xxhash64(F.lit(11), "key").alias("h1"), F.xxhash64(F.lit(23), "key").alias("h2"))
 
 
-def _level(hashed: DataFrame, n: int, hashes: int) -> Level:
+def _level(hashed: DataFrame, n: int, hashes: int, number: int) -> Level:
     """A Bloom filter of ``n`` hashed keys; words are made in the cluster and OR-ed before they travel."""
     bits = int(min(MAX_BITS, max(64, math.ceil(n * hashes * 1.4427 / 64) * 64)))
 
     def words(batches: Iterable[pd.DataFrame]):
         for b in batches:
             h1, h2 = b["h1"].to_numpy().view(np.uint64), b["h2"].to_numpy().view(np.uint64)
-            for p in _positions(h1, h2, bits, hashes):
+            for p in _positions(h1, h2, bits, hashes, number):
                 yield pd.DataFrame({"word": (p >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (p & np.uint64(63))).view(np.int64)})
 
     got = hashed.mapInPandas(words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).collect()
     out = np.zeros(bits // 64, np.uint64)
     for r in got:
         out[r["word"]] = np.int64(r["bit"]).astype(np.uint64)
-    return Level(out, bits, hashes)
+    return Level(out, bits, hashes, number)
 
 
 def build(listed: DataFrame, universe: DataFrame, max_levels: int = 64) -> Cascade:
@@ -118,7 +123,7 @@ def build(listed: DataFrame, universe: DataFrame, max_levels: int = 64) -> Casca
     while n:
         if len(levels) == max_levels:
             raise RuntimeError("the cascade doesn't end: keys with equal hashes")
-        level = _level(held, n, hashes)
+        level = _level(held, n, hashes, len(levels))
         levels.append(level)
         hashes = 2 + len(levels) % 2
 

@@ -66,6 +66,8 @@ def parse(data: bytes, at: int) -> Record:
     stop = data.find(END, m.end() - 2)
     if stop < 0:
         raise _Bad("no end of headers")
+    if VERSION.search(data, m.end(), stop):
+        raise _Bad("a version line in the headers")
     headers = {}
     for line in data[m.end() : stop].split(b"\r\n"):
         if line:

@@ -119,13 +119,16 @@ def _normal_profile(profile: str) -> Query:
     def run(spark, sf_dir):
         t = tables(spark, sf_dir)
         r = rich_records(t.s1.unionByName(t.targets), profile)
-        return r.select("entity_id", "norm_name", "norm_addr", "core_brand", "geo", "no_space", *_joined("nums", "addr_tokens"))
+        lists = [F.array_join(F.array_sort(F.array_distinct(n)), " ").alias(n) for n in ("nums", "addr_tokens")]
+        return r.select("entity_id", "norm_name", "norm_addr", "core_brand", "geo", "no_space", *lists)
 
     return run
 
 
 for _p in ("v2", "production", "turbo", "v5", "train"):
     QUERIES[f"er_rich_records_{_p}"] = _normal_profile(_p)
+    if _p != "turbo":  # its texts keep accents, beside which RE2 sees word boundaries
+        ORACLE[f"er_rich_records_{_p}"] = sql.query(sql.rich(_p))
 
 
 # ---- blocking ----

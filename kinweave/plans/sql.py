@@ -177,3 +177,38 @@ cte(
   replace(core_brand, ' ', '') AS no_space, norm_addr IN {one_of(X.NULL_ADDRESSES)} AS is_addr_empty, regexp_matches(raw_name, '[^\\x00-\\x7F]') AS is_indic,
   core_brand IN {one_of(X.GENERIC_WORDS)} OR length(core_brand) <= 2 AS is_generic FROM rich1""",
 )
+
+
+def rich(profile: str) -> str:
+    """The rich records of a profile, lists sorted and joined."""
+    new = profile in ("v5", "train")
+    rules = {"v2": (X.FRANCE, X.US_INDIA, X.US_INDIA), "production": (X.FRANCE, [*X.INDIA, *X.INDIA_STATE_NAMES], X.US), "v5": (X.FRANCE, X.INDIA, X.US)}.get(profile)
+
+    def normal(expr: str) -> str:
+        if rules is None:
+            return spaces(rx(expr, (X.TLD, "")))
+        return "CASE country " + " ".join(f"WHEN '{c}' THEN {cleaner(expr, r)}" for c, r in zip(("France", "India"), rules, strict=False)) + f" ELSE {cleaner(expr, rules[2])} END"
+
+    b = chr(92) + "b"
+    words_of = X.LEGAL_WORDS if new else X.TRADE_WORDS
+    patterns = [(p, " ") for p in X.SUFFIX_PATTERNS] if profile == "v2" else [(f"{b}({'|'.join(words_of)}){b}", " ")]
+    brand = f"trim(regexp_replace({rx('norm_name', *patterns)}, ' +', ' ', 'g'))"
+    whole = "regexp_extract_all(replace(raw_addr, 'ß', 'z'), '\\b\\d+\\b')"
+    runs = lambda src, n: f"list_filter(list_transform(regexp_extract_all({src}, '\\d+'), lambda x: ltrim(x, '0')), lambda x: x <> '' AND length(x) <= {n})"
+    nums = {
+        "v2": f"list_transform({whole}, lambda x: regexp_replace(x, '^0+(.)', '\\1'))",
+        "production": f"list_transform(list_filter(list_transform({whole}, lambda x: try_cast(x AS BIGINT)), lambda x: x < 100000000), lambda x: CAST(x AS VARCHAR))",
+        "v5": runs("raw_addr", 8),
+        "train": runs(rx("raw_addr", (_SECTOR, " ")), 6),
+    }[profile]
+    first = f"coalesce(list_filter({words('norm_addr')}, lambda t: t IN {_STATES})[1], '')"
+    last = f"coalesce(upper(list_filter(list_reverse({words('norm_addr')}), lambda t: t IN {_STATES})[1]), '')"
+    france = "WHEN country = 'France' THEN regexp_extract(replace(raw_addr, 'ß', 'z'), '\\b(\\d{5})\\b', 1)[1:2]" if profile == "v5" else ""
+    geo = f"CASE WHEN norm_addr = '' THEN '' WHEN country = 'US' THEN {last} WHEN country = 'India' THEN {_INDIA} {france} ELSE '' END" if new else first
+    long, stop = (4, X.STOP_ADDRESS_LONG) if new else (3, X.STOP_ADDRESS)
+    tokens = f"list_filter({words('norm_addr')}, lambda t: length(t) >= {long} AND NOT regexp_full_match(t, '\\d+') AND t NOT IN {one_of(stop)})"
+    joined = lambda x: f"array_to_string(list_sort(list_distinct({x})), ' ')"
+    kept = brand if profile == "train" else f"CASE WHEN {brand} = '' THEN norm_name ELSE {brand} END"
+    return f"""SELECT entity_id, norm_name, norm_addr, core_brand, {geo} AS geo, replace({"core_brand" if new else "norm_name"}, ' ', '') AS no_space,
+  {joined(nums)} AS nums, {joined(tokens)} AS addr_tokens
+FROM (SELECT *, {kept} AS core_brand FROM (SELECT entity_id, country, business_address AS raw_addr, {normal(_N)} AS norm_name, {normal(_A)} AS norm_addr FROM ent))"""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import WORD, fresh, table, written
 
-MIN_SLOTS, SLOTS_EACH, BUCKET_ROWS = 1 << 17, 32, 20_000
+MIN_SLOTS, SLOTS_EACH, BUCKET_ROWS = 1 << 17, 32, 1000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: float) -> list[float]:

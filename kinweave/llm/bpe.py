@@ -36,7 +36,7 @@ from kinweave.llm.common import table
 
 NEVER = 1 << 30
 #: words that a worker keeps before the older half goes
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: longer words are encoded anew each time, so that the cache's bytes are bounded
 CACHE_WORD_CHARS = 64
 
@@ -121,6 +121,8 @@ class MergeAutomaton:
         u = out[0]
         for t in out[1:]:  # about half of all words are done by longest labels alone
             if (known := arcs.get(u << 20 | t)) is None:
+                if len(arcs) > 200_000:
+                    arcs.clear()
                 known = arcs[u << 20 | t] = self.arc(u, t)
             if not known:
                 break
@@ -136,7 +138,7 @@ class MergeAutomaton:
             if ok and u >= 0:
                 key = u << 20 | t
                 if (known := arcs.get(key)) is None:
-                    if len(arcs) > 400_000:
+                    if len(arcs) > 200_000:
                         arcs.clear()
                     known = arcs[key] = self.arc(u, t)
                 ok = known

@@ -66,7 +66,7 @@ class _Hashes(dict):
     """word -> hash, for the words met so far; emptied when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 50_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) < 64:

@@ -20,10 +20,11 @@ same answer; a null id is neither held out nor learned from; extra columns are i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ DIMS = 1 << 17
 ORDERS = 4
 SAMPLE = 1600
 LANDMARKS = 256
+UNKNOWN = "und"
 RIDGE = 1e-3
 SHARPNESS = 3.0
 CHUNK = 1 << 20  # characters of a text hashed at once
@@ -136,34 +138,39 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return fit([np.frombuffer(bytes(r["p"]), np.int32) for r in got], [r["lang"] for r in got])
 
 
+def predict(model: Model | None, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
+    """Languages and scores; 256 texts make one product."""
+    presence, lang, score, at, places = Presence(), [], [], [], []
+
+    def flush() -> None:
+        if at:
+            f = SHARPNESS * model.scores(places)
+            p = np.exp(f - f.max(1, keepdims=True))
+            best = f.argmax(1)
+            for i, k, s in zip(at, best, p[np.arange(len(at)), best] / p.sum(1), strict=True):
+                lang[i], score[i] = model.languages[k], float(s)
+        at.clear()
+        places.clear()
+
+    for i, t in enumerate(texts):
+        lang.append(UNKNOWN)
+        score.append(0.0)
+        if model is not None and has_letter(t):
+            at.append(i)
+            places.append(presence(t))
+            if len(at) == 256:
+                flush()
+    flush()
+    return lang, score
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, presence = shared.value, Presence()
         for b in batches:
-            lang, score = ["und"] * b.num_rows, [0.0] * b.num_rows
-            at, places = [], []
-
-            def flush(lang=lang, score=score, at=at, places=places):
-                if at:
-                    f = SHARPNESS * own.scores(places)
-                    p = np.exp(f - f.max(1, keepdims=True))
-                    best = f.argmax(1)
-                    p = p[np.arange(len(at)), best] / p.sum(1)
-                    for i, k, s in zip(at, best, p, strict=True):
-                        lang[i], score[i] = own.languages[k], float(s)
-                at.clear()
-                places.clear()
-
-            for i, t in enumerate(b.column(1)):
-                if own is not None and has_letter(t := t.as_py()):
-                    at.append(i)
-                    places.append(presence(t))
-                    if len(at) == 256:
-                        flush()
-            flush()
+            lang, score = predict(shared.value, (t.as_py() for t in b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -172,14 +179,14 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` in which some language is found, with their columns. No shuffle: rows are kept or dropped in the scan."""
+    """The rows of ``docs`` for which the model names a language, with their columns. No shuffle: rows are kept or dropped in the scan."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def found(text):
-        return text.map(lambda t: shared.value is not None and has_letter(t)).astype(bool)
+    @F.pandas_udf("string")
+    def language(text: pd.Series) -> pd.Series:
+        return pd.Series(predict(shared.value, text)[0], dtype=object)
 
-    return docs.where(found("text"))
+    return docs.where(language("text") != UNKNOWN)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

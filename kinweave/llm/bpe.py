@@ -32,7 +32,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm.common import table
+from kinweave.llm.common import arrow_map, table
 
 NEVER = 1 << 30
 #: words that a worker keeps before the older half goes
@@ -291,7 +291,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(out, fields)
 
     kinds = [docs.schema[id_col].dataType.simpleString(), "bigint", "string", "string", "array<int>"]
-    return docs.select(id_col, text_col).mapInArrow(run, ", ".join(map(" ".join, zip(fields, kinds, strict=False))))
+    return arrow_map(docs.select(id_col, text_col), run, ", ".join(map(" ".join, zip(fields, kinds, strict=False))))
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: What separates words: the blank and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: rows of an Arrow batch
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,20 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most ``BATCH_ROWS`` rows, so that texts on both sides of a Python worker's pipe stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` over bounded batches."""
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def drop_tree(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bitmap, components, table, test_bits, written
+from kinweave.llm.common import arrow_map, bitmap, components, table, test_bits, written
 
 BLOCK = 1024
 #: shingles of a block, and of the queries that meet it in one task
@@ -168,7 +168,7 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size bigint, cls bigint, parts array<bigint>, need bigint")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, size bigint, cls bigint, parts array<bigint>, need bigint")
 
 
 def _posts(sets: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def _posts(sets: DataFrame, leaders: DataFrame) -> DataFrame:
             ok = test_bits(bits.value, at)
             yield pa.RecordBatch.from_arrays([pa.array(cls[ok], pa.int64()), pa.array(flat[ok], pa.int64())], ["cls", "part"])
 
-    return sets.where("parts is not null").select("cls", "parts").mapInArrow(run, "cls bigint, part bigint")
+    return arrow_map(sets.where("parts is not null").select("cls", "parts"), run, "cls bigint, part bigint")
 
 
 def _shingled(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _shingled(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(own, pa.binary())], ["cls", "s"])
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")
-    return docs.select("doc_id", "text", place).mapInArrow(run, "cls bigint, s binary")
+    return arrow_map(docs.select("doc_id", "text", place), run, "cls bigint, s binary")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -228,7 +228,7 @@ def _star(pairs: DataFrame, percent: int) -> DataFrame:
             keep = [_linked(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    return arrow_map(pairs, run, "a bigint, b bigint")
 
 
 def open_block(queries: list[np.ndarray], members: list[np.ndarray], percent: int) -> np.ndarray:

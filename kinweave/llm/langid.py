@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import table
+from kinweave.llm.common import arrow_map, bounded_batches, table
 
 DIMS = 1 << 17
 ORDERS = 4
@@ -131,7 +131,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own, pa.binary())], ["lang", "place", "p"])
             yield out.filter(out.column(2).is_valid())
 
-    got = picked.mapInArrow(run, "lang string, place bigint, p binary").collect()
+    got = arrow_map(picked, run, "lang string, place bigint, p binary").collect()
     got = sorted(got, key=lambda r: (r["place"], r["lang"], bytes(r["p"])))[: 2 * sample]
     if not got:
         return None
@@ -175,11 +175,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(_held_out(), F.lit(False)).alias("held_out")
-    return docs.select("doc_id", "text", held).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return arrow_map(docs.select("doc_id", "text", held), run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` for which the model names a language, with their columns. No shuffle: rows are kept or dropped in the scan."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")

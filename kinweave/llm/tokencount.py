@@ -25,7 +25,7 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm.common import table
+from kinweave.llm.common import arrow_map, table
 
 NODES = 400_000
 WORDS = 400_000
@@ -143,7 +143,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_words bigint, n_tokens bigint")
+    return arrow_map(docs.select(id_col, text_col), run, f"doc_id {kind}, n_words bigint, n_tokens bigint")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from kinweave.llm.common import arrow_map, table
 
 NEVER = 1 << 30
 #: words that a worker keeps before the older half goes
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 #: longer words are encoded anew each time, so that the cache's bytes are bounded
 CACHE_WORD_CHARS = 64
 
@@ -205,17 +205,17 @@ class Splitter:
 
 
 class _Words(dict):
-    """word -> (ids joined by commas, label bytes, number of ids, ids as int32 bytes); the older half goes when it is full."""
+    """word -> its ids as int32 bytes; the older half goes when it is full."""
 
     def __init__(self, automaton: MergeAutomaton):
         self.automaton, self.old = automaton, {}
 
-    def __missing__(self, word: str):
+    def __missing__(self, word: str) -> bytes:
         if (hit := self.old.get(word)) is None:
-            ids = self.automaton.encode(word.encode())
-            hit = ",".join(map(str, ids)), self.automaton.decode(ids), len(ids), array("i", ids).tobytes()
+            hit = array("i", self.automaton.encode(word.encode())).tobytes()
         if len(word) <= CACHE_WORD_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.old = {}
                 self.old = dict(self)
                 self.clear()
             self[word] = hit
@@ -235,37 +235,31 @@ class Codec:
         self.automaton = MergeAutomaton(vocab, [(raw(a), raw(b)) for a, b in pairs])
         self.special = special
         self.label = self.automaton.label | {i: t.encode() for t, i in special.items()}
+        self.numerals = {i: str(i) for i in self.label}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.splitter, self.words = Splitter(), _Words(self.automaton)
 
-    def pieces(self, text: str) -> list[tuple[str, bytes, int, bytes]]:
-        """What ``_Words`` holds, for each word of the text."""
-        words, split = self.words, self.splitter.split
-        if self._special is None or not self._special.search(text):
-            return [words[w] for w in split(text)]
-        out = []
-        for part in self._special.split(text):
-            if part in self.special:
-                i = self.special[part]
-                out.append((str(i), part.encode(), 1, array("i", [i]).tobytes()))
-            elif part:
-                out += [words[w] for w in split(part)]
-        return out
-
     def encode(self, text: str | None) -> list[int]:
-        return list(memoryview(b"".join([p[3] for p in self.pieces(text or "")])).cast("i"))
+        words, split, text = self.words, self.splitter.split, text or ""
+        if self._special is None or not self._special.search(text):
+            raw = b"".join(map(words.__getitem__, split(text)))
+        else:
+            raw = bytearray()
+            for part in self._special.split(text):
+                if part in self.special:
+                    raw += array("i", [self.special[part]]).tobytes()
+                elif part:
+                    raw += b"".join(map(words.__getitem__, split(part)))
+        return memoryview(raw).cast("i").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join([self.label[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
     def digest(self, text: str | None) -> tuple[int, str, str, bytes]:
         """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text, the ids as int32 bytes."""
-        if not text:
-            none = hashlib.sha256(b"").hexdigest()
-            return 0, none, none, b""
-        ids, labels, counts, raw = zip(*self.pieces(text), strict=True)
-        data = b"".join(labels)
-        return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest(), b"".join(raw)
+        ids = self.encode(text)
+        listed, spelt = ",".join(map(self.numerals.__getitem__, ids)), self.decode(ids)
+        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(spelt.encode()).hexdigest(), array("i", ids).tobytes()
 
 
 @cache

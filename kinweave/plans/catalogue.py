@@ -279,17 +279,17 @@ for _p in ("v2", "v3", "v4", "production", "turbo", "v5", "fixed", "optimal", "r
     QUERIES[f"er_rule_tiers_{_p}"] = _rules(_p)
 
 
-def _trained(kind: str, **overrides) -> Query:
+def _trained(kind: str) -> Query:
     def run(spark, sf_dir):
         w = _Work(spark, sf_dir)
         rows = written(features.features14(w.pairs(grams=True)))
-        data = written(models.limit_negatives(models.labelled(rows, w.t.truth)))
-        return models.MatchClassifier(features.FEATURES14, kind, overrides=overrides).fit(data).score(rows)
+        data = written(models.labelled(rows, w.t.truth))
+        return models.MatchClassifier(features.FEATURES14, kind).fit(data).score(rows)
 
     return run
 
 
-QUERIES["er_gbdt_scores"] = _trained("gbdt", maxIter=20)
+QUERIES["er_gbdt_scores"] = _trained("gbdt")
 QUERIES["er_logreg_scores"] = _trained("logreg")
 
 # ---- selection ----
@@ -634,7 +634,7 @@ for _p in ("v4", "v5", "refined"):
 @register("er_linkage_champion")
 def champion(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return linkage.champion(t.s1, t.targets, t.truth, maxIter=20)[1]
+    return linkage.champion(t.s1, t.targets, t.truth)[1]
 
 
 @register("er_linkage_refined_table")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import audit, blocking, evaluation, features, models, refine, scoring, selection
 from kinweave.operators.records import normalize_records, rich_records
-from kinweave.plans import linkage
+from kinweave.plans import catalogue, linkage
 from kinweave.schema import ENTITY
 from kinweave.sources import readers, writers
 
@@ -200,3 +200,23 @@ def test_stream(spark, tmp_path):
     q = link.start(spark.readStream.schema(ENTITY).parquet(str(tmp_path / "in")), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert ids(spark.read.parquet(str(tmp_path / "out"))) == [("S1-999", "S2-001"), ("S1-999", "S3-003")]
+
+
+@pytest.mark.parametrize("query, kind", [("er_gbdt_scores", "gbdt"), ("er_logreg_scores", "logreg"), ("er_linkage_champion", "champion")])
+def test_registered_scorers_train_on_the_whole_job(spark, monkeypatch, query, kind):
+    class Seen(Exception):
+        pass
+
+    def fit(self, data):
+        raise Seen(self.kind, self.overrides, data.count())
+
+    asked = []
+    limit = models.limit_negatives
+    monkeypatch.setattr(models.MatchClassifier, "fit", fit)
+    monkeypatch.setattr(models, "limit_negatives", lambda rows, *a: asked.append(a) or limit(rows, *a))
+    with pytest.raises(Seen) as e:
+        catalogue.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert e.value.args[:2] == (kind, {})  # the settings of the profile, all rounds
+    assert bool(asked) == (kind == "champion")
+    if kind != "champion":
+        assert e.value.args[2] == catalogue._Work(spark, "/root/testdata/sf0.001").candidates().count()

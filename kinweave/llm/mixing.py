@@ -8,6 +8,11 @@ reversed numbers of an interval, made without a search. Slots are ranked in each
 rank r takes block r modulo the number of blocks, and the last taken block ends at the
 word where the target is met. A slot or two that rounding leaves short close the line.
 
+The slots are the mix's order: ``slots`` has a place (slot, first word on the line) for
+each time that a row is taken, and ``mixed_documents`` gives it as a column on request. A
+document of several blocks stays whole, at the slot of the block it begins in. How many
+words are taken of a document depends on the order of the line alone, not on the slots.
+
 Bounds. Slots: 2**17, or 32 for each source where that is more; block length follows
 from it. The driver gets one row for each source. Positions on the line come from sums
 in hash buckets and sums of buckets, so a source with a third of all rows is many tasks.
@@ -47,7 +52,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: f
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source for every row of ``docs`` (doc_id, text, source)."""
+    """doc_id, size, source_size, target, taken, source, row, slots for every row of ``docs`` (doc_id, text, source)."""
     spark = docs.sparkSession
     sized = docs.select(
         "doc_id",
@@ -86,6 +91,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     lap = F.floor(F.col("rank") / F.col("blocks"))
     taken_blocks = ranked.select(
         "s",
+        "slot",
         (F.col("rank") % F.col("blocks")).alias("block"),
         F.when(lap < F.col("laps"), F.col("source_size")).otherwise(F.col("rest")).alias("until"),
     )
@@ -106,26 +112,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     first, last = F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)
     cuts = line.where("size > 0").select("row", "s", "start", "end", F.explode(F.sequence(first, last)).alias("block"))
     begin, stop = F.greatest("start", F.col("block") * block), F.least("end", (F.col("block") + 1) * block, "until")
-    taken = cuts.join(taken_blocks, ["s", "block"]).groupBy("row").agg(F.sum(F.greatest(F.lit(0), stop - begin)).alias("taken"))
+    read = cuts.join(taken_blocks, ["s", "block"]).withColumn("words", F.greatest(F.lit(0), stop - begin))
+    place = F.struct("slot", F.col("start").alias("at"))
+    begun = F.when((F.col("block") == F.floor(F.col("start") / block)) & (F.col("words") > 0), place)
+    taken = read.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(begun)).alias("slots"))
     return known.join(taken, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", "row"
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", "row", "slots"
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row for each full time that a document is taken, and its leading words where it is cut."""
-    own, size, taken, time = fresh(docs, "id", "size", "taken", "time")
-    took = mix(docs, **options).groupBy("doc_id").agg(F.max("size").alias(size), F.max("taken").alias(taken)).where(F.col(taken) > 0)
+def mixed_documents(docs: DataFrame, order: str | None = None, **options) -> DataFrame:
+    """The mix as documents: a row for each full time that a document is taken, and its leading words where it is cut.
+
+    ``order`` names a column to add: the place in the mix, by which the rows are to be sorted.
+    """
+    own, size, taken, time, slots, nth = fresh(docs, "id", "size", "taken", "time", "slots", "nth")
+    took = mix(docs, **options).groupBy("doc_id").agg(F.max("size").alias(size), F.max("taken").alias(taken), F.max("slots").alias(slots)).where(F.col(taken) > 0)
     rest = (F.col(taken) % F.col(size)).cast("int")
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest)
     full, none = F.floor(F.col(taken) / F.col(size)).cast("int"), F.array().cast("array<int>")
     times = F.concat(F.when(full > 0, F.sequence(F.lit(1), full)).otherwise(none), F.when(rest > 0, F.array(F.lit(-1))).otherwise(none))
-    out = docs.join(took.withColumnRenamed("doc_id", own), F.col("doc_id").eqNullSafe(F.col(own))).withColumn(time, F.explode(times))
+    out = docs.join(took.withColumnRenamed("doc_id", own), F.col("doc_id").eqNullSafe(F.col(own))).select("*", F.posexplode(times).alias(nth, time))
     out = out.withColumn("text", F.when(F.col(time) < 0, F.array_join(words, " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(*docs.columns, *([F.col(slots)[F.col(nth)].alias(order)] if order else []))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("row", "source")
+    return mix(table(spark, sf_dir, "documents")).drop("row", "source", "slots")

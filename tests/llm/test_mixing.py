@@ -55,3 +55,18 @@ def test_documents(spark):
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
         assert dict((i, t) for i, t, *_ in rows)[r.doc_id].startswith(r.text)
     assert words == {k: v for k, v in taken.items() if v}
+
+
+def test_the_order_is_that_of_the_schedule(spark):
+    rows = [(i, "w " * 40, "en", "xyz"[i % 3]) for i in range(300)]
+    d = docs(spark, rows)
+    out = mixing.mixed_documents(d, order="place")
+    assert out.columns == [*d.columns, "place"]
+    got = sorted(out.collect(), key=lambda r: r.place)
+    assert len(got) > 300 and all(r.place for r in got)
+    share = {s: sum(r.source == s for r in got) / len(got) for s in "xyz"}
+    for n in (len(got) // 4, len(got) // 2):  # any leading part has the shares of the whole
+        assert all(abs(sum(r.source == s for r in got[:n]) / n - share[s]) < 0.1 for s in "xyz")
+    for r in mixing.mix(d).collect():
+        assert len(r.slots or []) == -(-r.taken // r.size)
+        assert all(0 <= p.slot for p in r.slots or [])

@@ -5,7 +5,8 @@ read again as the next one's ``docs``, so a stage's lineage is a table that all
 can read, and a stage can be run again from there.
 
 1. ``language``: documents in which no language can be found (null, or no letter) go. The
-   model is trained on a bounded sample of the labelled documents.
+   model is trained on a bounded sample of the labelled documents; its class and score reject
+   nothing, and without labelled documents those with letters stay.
 2. ``exact``: of documents that are equal after lower-casing A-Z the one with the largest id stays.
 3. ``near``: of documents connected by Jaccard similarity of at least 0.8 on five-word
    shingles the one with the smallest id stays.

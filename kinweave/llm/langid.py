@@ -179,15 +179,21 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` for which the model names a language, with their columns. No shuffle: rows are kept or dropped in the scan."""
+    """The rows of ``docs`` whose text has a letter, with their columns. No shuffle: rows are kept or dropped in the scan.
+
+    The model is asked for each, but its class and score reject nothing: it names a language
+    for every text with a letter. Without a model such texts stay as well.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def language(text: pd.Series) -> pd.Series:
-        return pd.Series(predict(shared.value, text)[0], dtype=object)
+    @F.pandas_udf("boolean")
+    def kept(text: pd.Series) -> pd.Series:
+        if shared.value is None:
+            return pd.Series([has_letter(t) for t in text], dtype=bool)
+        return pd.Series([x != UNKNOWN for x in predict(shared.value, text)[0]], dtype=bool)
 
-    return docs.where(language("text") != UNKNOWN)
+    return docs.where(kept("text"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

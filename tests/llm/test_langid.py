@@ -58,3 +58,10 @@ def test_odd_rows(spark):
     assert langid.train(docs(spark, ODD).limit(0)) is None
     kept = langid.accepted(docs(spark, ODD), model)
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 5, 6, 6, 7, 8, 9] and kept.columns == docs(spark, ODD).columns
+
+
+def test_without_a_model_texts_with_letters_stay(spark):
+    d = docs(spark, [(i, t, None, s) for i, t, _, s in ODD])
+    assert langid.train(d) is None
+    kept = langid.accepted(d, langid.train(d))
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 5, 6, 6, 7, 8, 9]

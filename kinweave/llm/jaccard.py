@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow_map, bitmap, components, table, test_bits, written
+from kinweave.llm.common import arrow_map, bitmap, components, fresh, table, test_bits, written
 
 BLOCK = 1024
 #: shingles of a block, and of the queries that meet it in one task
@@ -141,7 +141,7 @@ def _as_bytes(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
 
 
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, class (null for the empty set), parts, how many of them a linked set has at least."""
+    """doc_id, digest of the text, size, class (null for the empty set), parts, how many of them a linked set has at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, levels = _Hashes(), Levels(percent)
@@ -163,12 +163,12 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     if len(seen) < 1_000_000:
                         seen.add(c)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(need, pa.int64())],
-                ["doc_id", "size", "cls", "parts", "need"],
+                [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(need, pa.int64())],
+                ["doc_id", "digest", "size", "cls", "parts", "need"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, size bigint, cls bigint, parts array<bigint>, need bigint")
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")), run, f"doc_id {kind}, digest bigint, size bigint, cls bigint, parts array<bigint>, need bigint")
 
 
 def _posts(sets: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -279,10 +279,15 @@ def _opened(rows: DataFrame, percent: int) -> DataFrame:
 
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    return _components(docs, n, percent).select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, digest, size, first for every row: ``first`` is the component's smallest (id is null, doc_id, digest), null for the empty set."""
     levels = Levels(percent)
     sets = written(_sets(docs, n, percent), "sets")
     classes = written(
-        sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("need").alias("need")), "classes"
+        sets.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("rep"), F.max("size").alias("size"), F.max("need").alias("need")), "classes"
     )
     posts = sets.where("parts is not null").select("cls", F.explode("parts").alias("part"))
     several = lambda df: df.groupBy("part").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("part", "leader")
@@ -295,7 +300,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     star = shared.where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()
     near = written(shared.groupBy("cls").agg(F.min("leader").alias("home")), "near")
-    wanted = near.join(classes, "cls").select(F.col("rep").alias("doc_id"))
+    wanted = near.join(classes, "cls").select("rep.doc_id")
     made = written(_shingled(docs, wanted, n).join(near, "cls", "left_semi").groupBy("cls").agg(F.first("s").alias("s")), "shingles")
     with_sets = star.join(made.withColumnRenamed("cls", "a"), "a").join(made.select(F.col("cls").alias("b"), F.col("s").alias("t")), "b")
     edges = written(_star(with_sets.select("a", "b", "s", "t"), percent), "star")
@@ -338,16 +343,23 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     last = components(edges.union(more))
     named = classes.join(last, classes.cls == last.node, "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(names, "root").select("cls", "component_id")
-    return sets.join(named, "cls", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    names = named.groupBy("root").agg(F.min("rep").alias("first"))
+    named = named.join(names, "root").select("cls", "first")
+    return sets.join(named, "cls", "left").select("doc_id", "digest", "size", "first")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component that with the smallest id."""
-    found = near_components(docs, n, percent)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows of ``docs`` that stay: of each component that with the smallest id.
+
+    A null id comes after all others; of rows with the smallest id, or with null only, that
+    with the smallest digest of its text stays. Rows that repeat id and text stay or go together.
+    """
+    found = _components(docs, n, percent)
+    own, left, right = fresh(docs, "own", "id", "digest")
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    gone = found.where(F.col("first").isNotNull() & ~first).select(F.col("doc_id").alias(left), F.col("digest").alias(right)).distinct()
+    out = docs.withColumn(own, F.xxhash64("text"))
+    return out.join(gone, F.col("doc_id").eqNullSafe(F.col(left)) & (F.col(own) == F.col(right)), "left_anti").drop(own)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

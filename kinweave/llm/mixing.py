@@ -52,12 +52,13 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: f
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, row, slots for every row of ``docs`` (doc_id, text, source)."""
+    """doc_id, size, source_size, target, taken, source, row, digest, slots for every row of ``docs`` (doc_id, text, source)."""
     spark = docs.sparkSession
     sized = docs.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        F.xxhash64("text").alias("digest"),
     ).withColumn("ord", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
     # row ids are made once and written, so every later read sees the same ones
     sized = written(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
@@ -117,22 +118,35 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     begun = F.when((F.col("block") == F.floor(F.col("start") / block)) & (F.col("words") > 0), place)
     taken = read.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(begun)).alias("slots"))
     return known.join(taken, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", "row", "slots"
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", "row", "digest", "slots"
     )
 
 
 def mixed_documents(docs: DataFrame, order: str | None = None, **options) -> DataFrame:
     """The mix as documents: a row for each full time that a document is taken, and its leading words where it is cut.
 
-    ``order`` names a column to add: the place in the mix, by which the rows are to be sorted.
+    Rows are found by id, digest of the text and source; those that repeat all three are
+    documents of their own. ``order`` names a column to add: the place in the mix, by which
+    the rows are to be sorted.
     """
-    own, size, taken, time, slots, nth = fresh(docs, "id", "size", "taken", "time", "slots", "nth")
-    took = mix(docs, **options).groupBy("doc_id").agg(F.max("size").alias(size), F.max("taken").alias(taken), F.max("slots").alias(slots)).where(F.col(taken) > 0)
+    keys = ["doc_id", "digest", "source"]
+    own, digest, source, size, taken, time, slots, nth, twin, copy = fresh(docs, "id", "digest", "own_source", "size", "taken", "time", "slots", "nth", "twin", "copy")
+    took = written(mix(docs, **options).where("taken > 0").select(*keys, "size", "taken", *(["slots"] if order else [])), "took")
+    renamed = dict(zip([*keys, "size", "taken", "slots"], [own, digest, source, size, taken, slots], strict=True))
+    again = not took.groupBy(*keys).count().where("count > 1").isEmpty()
+    took = took.withColumnsRenamed(renamed)
+    text = docs.withColumn(twin, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(twin) == F.col(digest)) & F.col("source").eqNullSafe(F.col(source))
+    if again:  # rows that repeat id, text and source are numbered on both sides
+        left, right = fresh(text, copy, copy + "_of")
+        text = text.withColumn(left, F.row_number().over(Window.partitionBy("doc_id", twin, "source").orderBy(F.xxhash64(*docs.columns))))
+        took = took.withColumn(right, F.row_number().over(Window.partitionBy(own, digest, source).orderBy(F.desc(taken))))
+        same = same & (F.col(left) == F.col(right))
     rest = (F.col(taken) % F.col(size)).cast("int")
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest)
     full, none = F.floor(F.col(taken) / F.col(size)).cast("int"), F.array().cast("array<int>")
     times = F.concat(F.when(full > 0, F.sequence(F.lit(1), full)).otherwise(none), F.when(rest > 0, F.array(F.lit(-1))).otherwise(none))
-    out = docs.join(took.withColumnRenamed("doc_id", own), F.col("doc_id").eqNullSafe(F.col(own))).select("*", F.posexplode(times).alias(nth, time))
+    out = text.join(took, same).select("*", F.posexplode(times).alias(nth, time))
     out = out.withColumn("text", F.when(F.col(time) < 0, F.array_join(words, " ")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -140,4 +154,4 @@ def mixed_documents(docs: DataFrame, order: str | None = None, **options) -> Dat
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("row", "source", "slots")
+    return mix(table(spark, sf_dir, "documents")).drop("row", "source", "digest", "slots")

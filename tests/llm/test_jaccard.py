@@ -90,3 +90,15 @@ def test_an_open_block_is_exact():
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert got[i, j] == jaccard._linked(a, b, 50)
+
+
+def test_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*words[:58], f"x{k}", f"y{k}"])
+    rows = [(1, near(1)), (2, near(2)), (2, "a text of its own with seven words"), (1, near(3)), (None, near(4)), (None, "another text that is near to nothing")]
+    rows += [(None, "v " + near(k).replace("w", "z")) for k in (5, 6)]
+    d = docs(spark, [(i, t, "en", "a") for i, t in rows])
+    kept = jaccard.one_of_each(d, 4, 80).collect()
+    texts = sorted((r.doc_id or 0, r.text[:8]) for r in kept)
+    assert texts == [(0, "another "), (0, "v z0 z1 "), (1, "w0 w1 w2"), (2, "a text o")]
+    assert sorted(map(str, kept)) == sorted(map(str, jaccard.one_of_each(d.repartition(3), 4, 80).collect()))

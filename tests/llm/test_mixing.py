@@ -70,3 +70,20 @@ def test_the_order_is_that_of_the_schedule(spark):
     for r in mixing.mix(d).collect():
         assert len(r.slots or []) == -(-r.taken // r.size)
         assert all(0 <= p.slot for p in r.slots or [])
+
+
+def test_documents_of_repeated_and_null_ids(spark):
+    rows = [(i // 2 if i % 5 else None, f"a{i} " * (3 + i % 4), "en", "xyz"[i % 3]) for i in range(40)] + [(7, "same text", "en", "x")] * 3
+    d = docs(spark, rows)
+    want = sum(r.taken for r in mixing.mix(d).collect())
+    out = mixing.mixed_documents(d, order="place").collect()
+    assert sum(len(r.text.split()) for r in out) == want and all(r.place for r in out)
+    each = {}
+    for r in mixing.mix(d).collect():
+        each[r.doc_id, r.digest] = each.get((r.doc_id, r.digest), 0) + r.taken
+    digest = {(r.doc_id, r.text.split()[0]): r.digest for r in d.selectExpr("doc_id", "text", "xxhash64(text) digest").collect()}
+    got = {}
+    for r in out:
+        k = r.doc_id, digest[r.doc_id, r.text.split()[0]]
+        got[k] = got.get(k, 0) + len(r.text.split())
+    assert got == {k: v for k, v in each.items() if v}

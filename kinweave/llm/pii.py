@@ -3,7 +3,8 @@
 Base spans (email, ip, card, phone) always stay; their rules are in ``base_spans``. The
 method adds spans of other shapes when their score reaches ``THRESHOLD``:
 
-* ``iban``: country, check digits and account, confirmed by mod-97 (0.9);
+* ``iban``: country, check digits and account, confirmed by mod-97 (0.9); a candidate that
+  fails is tried again without its last words, as the pattern may have taken in what follows;
 * ``card``: 13 to 15 digits that pass Luhn (0.4), only beside a word like "card" (+0.3);
 * ``phone``: national numbers of 9 to 11 digits in groups (0.3), only beside a word like "phone" (+0.4);
 * ``ssn``: 3-2-4 digits (0.4), only beside a word like "ssn" (+0.4).
@@ -70,6 +71,19 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and rest == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """The longest valid prefix of each candidate that ends with a word; the search goes on behind it, or at the next word if none is valid."""
+    out, m = [], IBAN.search(text)
+    while m:
+        start, end = m.span()
+        while end > start and not mod97(text[start:end]):
+            end = max(start, text.rfind(" ", start, end))
+        if end > start:
+            out.append((start, end))
+        m = IBAN.search(text, end if end > start else start + 1)
+    return out
+
+
 def _digits(s: str) -> str:
     return "".join([c for c in s if "0" <= c <= "9"])
 
@@ -109,9 +123,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     proposed: list[tuple[str, int, int, float]] = []
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            proposed.append(("iban", *m.span(), 0.9))
+    for span in ibans(text):
+        proposed.append(("iban", *span, 0.9))
     for m in SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9":
             proposed.append(("ssn", *m.span(), 0.4))

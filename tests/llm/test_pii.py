@@ -52,3 +52,13 @@ def test_table(spark):
     assert len(rows) == 4 and [r[1] for r in rows].count(1) == 2
     assert pii.pii(df.limit(0)).collect() == []
     assert {r.masked for r in pii.masked(df).collect()} == {"<email>", None, ""}
+
+
+def test_ibans_before_other_words():
+    spans = lambda t: pii.find(t)[5]
+    assert spans("ES9121000418450200051332 EUR") == "iban:0:24"
+    assert spans("to BE68 5390 0754 7034 BIC") == "iban:3:22"
+    assert spans("BE68539007547034 2024") == "iban:0:16"
+    assert spans("BE68 5390 0754 7034 NO93 8601 1117 947") == "iban:0:19,iban:20:38"
+    assert spans("AB12 CDEF GHIJ BE68 5390 0754 7034") == "iban:15:34"
+    assert spans("BE69 5390 0754 7034 BIC") == ""

@@ -1,20 +1,29 @@
 """BPE encoding and decoding by an automaton compiled from the merge list.
 
-The automaton's states are "the last token read"; its arcs are tokens. It is built
-by one gadget for each merge (u, v) -> w, in order of rank:
-
-* wherever a path u v exists, an arc w is added beside it that ends in a *copy* of
-  the state behind v (``right``, ``birth``: copy of which state, taken when);
-* the state behind u loses its arc v (``cut``: which arc, lost when).
-
-Copies share their original's arcs as of the time of copying, so the automaton
-stays as small as the merge list. What it accepts is exactly the set of BPE
-tokenisations: for a byte string there is one accepted path. Encoding walks it with
-that table; decoding emits the labels of the arcs.
-
-Input cases. Null text counts as empty: no tokens, digests of the empty string.
-Any text length works (the walk is linear); repeated rows and ties don't matter,
-as each row is mapped by itself; extra columns are ignored.
+The automaton's states are "the last token read"; its arcs are tokens. It is built by one
+gadget for each merge (u, v) -> w, in order of rank:
+
+* wherever a path u v exists, an arc w is added beside it that ends in a *copy* of the
+  state behind v (``right``: copy of which state, ``birth``: taken when);
+* the state behind u loses its arc v (``cuts``: at which rank).
+
+A copy shares its original's arcs as of the time of copying, so the compiled automaton is
+as small as the merge list. It is flat arrays, made once by the driver and broadcast: the
+transitions (trie state, byte) -> trie state of the labels, the label of each trie state,
+and the gadgets. Arcs (state, token) are worked out from the gadgets when first met and
+kept in a direct-mapped table. What it accepts is exactly the set of BPE tokenisations:
+for every byte string there is one accepted path.
+
+Encoding takes all new words of a batch at once. Trie transitions give every arc that the
+bytes could take; then, from the first byte on, the state behind each byte is the one whose
+arc leads there from a state already known. No place is visited twice and nothing is ever
+taken back, so the walk is linear in the bytes times the labels that end at one byte.
+Decoding emits the labels of the arcs.
+
+Input cases. Null text counts as empty: no tokens, digests of the empty string. Any text
+length works; texts are taken in slices of ``SLICE_CHARS`` characters in all, which bounds
+a worker's memory by that or by one text. Repeated rows and ties don't matter, as each row
+is mapped by itself; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,22 +32,29 @@ import hashlib
 import json
 import re
 import unicodedata
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
-from itertools import accumulate
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinweave.llm.common import arrow_map, table
 
 NEVER = 1 << 30
-#: words that a worker keeps before the older half goes
-CACHE_WORDS = 150_000
-#: longer words are encoded anew each time, so that the cache's bytes are bounded
+#: words that a worker keeps with their ids; beyond, it starts anew
+CACHE_WORDS = 30_000
+#: nor does it keep anything beside a word longer than this
 CACHE_WORD_CHARS = 64
+#: characters of the texts that are encoded together
+SLICE_CHARS = 1 << 19
+#: bytes of words that are walked together
+WALK_BYTES = 1 << 20
+#: places of the table of arcs
+ARCS = 1 << 18
+
+_U = np.uint64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,118 +64,205 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Flat:
+    """A map of non-negative integers to int32, as an open-addressing table: lookups of whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = 64 - max(4, (2 * len(keys) - 1).bit_length() if len(keys) else 4)
+        size = 1 << (64 - self.shift)
+        self.keys, self.values, self.mask = np.full(size, -1, np.int64), np.full(size, -1, np.int32), size - 1
+        at = self._place(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            spots, first = np.unique(at[left], return_index=True)
+            free = self.keys[spots] < 0
+            won = left[first[free]]
+            self.keys[at[won]], self.values[at[won]] = keys[won], values[won]
+            rest = np.ones(len(keys), bool)
+            rest[won] = False
+            left = left[rest[left]]
+            taken = self.keys[at[left]] >= 0
+            at[left[taken]] = (at[left[taken]] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(self.shift)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for keys that aren't there."""
+        at = self._place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], np.int32(-1))
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            held = self.keys[at[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return out
+
+
 class MergeAutomaton:
     """See the module. ``vocab``: token (as bytes) to id; ``merges``: pairs of tokens, by rank."""
 
-    def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
-        self.label = {i: t for t, i in vocab.items()}
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.birth = {i: -1 for t, i in vocab.items() if len(t) == 1}
-        self.cut: dict[tuple[int, int], int] = {}
+    def __init__(self, vocab: dict[bytes, int], merges: Sequence[tuple[bytes, bytes]]):
+        top = max(vocab.values(), default=0) + 1
+        self._gadgets(vocab, merges, top)
+        #: of the ids that some path can have: the label, and the rank of the gadget that made the arc (-1: a byte)
+        self.birth = {i: int(self.born[i]) for i in vocab.values() if self.born[i] < NEVER}
+        self.label = {i: t for t, i in vocab.items() if i in self.birth}
+        self._labels()
+        self._forget()
+
+    def _gadgets(self, vocab: dict[bytes, int], merges: Sequence[tuple[bytes, bytes]], top: int) -> None:
+        left, right, birth, cuts = [-1] * top, [-1] * top, [NEVER] * top, {}
+        for t, i in vocab.items():
+            if len(t) == 1:
+                birth[i] = -1
+
+        def arc(u: int, v: int, time: int) -> bool:
+            while True:
+                if cuts.get((u, v), NEVER) < time:
+                    return False
+                if birth[u] > birth[v]:
+                    time, u = birth[u], right[u]
+                elif birth[v] >= 0:
+                    time, v = birth[v] + 1, left[v]
+                else:
+                    return True
+
         for rank, (x, y) in enumerate(merges):
             u, v, w = vocab[x], vocab[y], vocab[x + y]
-            if u not in self.birth or v not in self.birth or w in self.birth or not self.arc(u, v, rank):
+            if birth[u] == NEVER or birth[v] == NEVER or birth[w] < NEVER or not arc(u, v, rank):
                 continue  # no path u v at this time: the gadget adds nothing
-            self.left[w], self.right[w], self.birth[w] = u, v, rank
-            self.cut[u, v] = rank
-        #: every prefix of a label; a whole label has its id, others -1
-        self.trie: dict[bytes, int] = {}
-        for i in self.birth:
-            t = self.label[i]
-            for k in range(1, len(t)):
-                self.trie.setdefault(t[:k], -1)
-            self.trie[t] = i
-        self.size = {i: len(self.label[i]) for i in self.birth}
-        #: the longest label that is a proper prefix of this one
-        self.shorter = {}
-        for i in self.birth:
-            t = self.label[i]
-            self.shorter[i] = next((p for k in range(len(t) - 1, 0, -1) if (p := self.trie[t[:k]]) >= 0), -1)
-        self._arcs: dict[int, bool] = {}
-        self.matcher = ahocorasick.Automaton()
-        for i in self.birth:
-            self.matcher.add_word(self.label[i].decode("latin-1"), i)
-        self.matcher.make_automaton()
-
-    def arc(self, u: int, v: int, time: int = NEVER) -> bool:
-        """Whether the state behind u had an arc v when merges below ``time`` were in."""
-        birth, cut = self.birth, self.cut
-        while True:
-            lost = cut.get((u, v))
-            if lost is not None and lost < time:
-                return False
-            bu, bv = birth[u], birth[v]
-            if bu > bv:
-                time, u = bu, self.right[u]
-            elif bv >= 0:
-                time, v = bv + 1, self.left[v]
-            else:
-                return True
-
-    def longest(self, word: bytes, i: int) -> int:
-        """The longest label that the word has at i."""
-        trie, best, j = self.trie, -1, i + 1
-        n = len(word)
-        while j <= n and (t := trie.get(word[i:j])) is not None:
-            if t >= 0:
-                best = t
-            j += 1
-        return best
+            left[w], right[w], birth[w], cuts[u, v] = u, v, rank, rank
+        self.left, self.right, self.born = (np.array(x, np.int32) for x in (left, right, birth))
+        self.cuts = Flat(np.array([u << 32 | v for u, v in cuts], np.int64), np.array(list(cuts.values()), np.int32))
+
+    def _labels(self) -> None:
+        labels = self.label
+        nodes: dict[bytes, int] = {b"": 0}
+        edges: dict[int, int] = {}
+        of = {}
+        for i, t in labels.items():
+            for k in range(1, len(t) + 1):
+                if t[:k] not in nodes:
+                    nodes[t[:k]] = len(nodes)
+                    edges[nodes[t[: k - 1]] << 8 | t[k - 1]] = nodes[t[:k]]
+            of[nodes[t]] = i
+        self.token = np.full(len(nodes), -1, np.int32)
+        self.token[list(of)] = list(of.values())
+        self.first = np.full(256, -1, np.int32)
+        for b in range(256):
+            self.first[b] = edges.get(b, -1)
+        self.next = Flat(np.array(list(edges), np.int64), np.array(list(edges.values()), np.int32))
+        self.longest = max(map(len, labels.values()), default=1)
+
+    def _forget(self) -> None:
+        self.arc_keys, self.arc_is = np.full(ARCS, -1, np.int64), np.zeros(ARCS, bool)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("arc_") and k not in ("birth", "label")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
+
+    def compiled(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether the states behind ``u`` have arcs ``v``, from the gadgets."""
+        out, open_ = np.zeros(len(u), bool), np.arange(len(u))
+        u, v, time = u.astype(np.int64), v.astype(np.int64), np.full(len(u), NEVER, np.int64)
+        while len(open_):
+            cut = self.cuts.get(u << 32 | v)
+            lost = (cut >= 0) & (cut < time)
+            bu, bv = self.born[u], self.born[v]
+            done = ~lost & (bu <= bv) & (bv < 0)
+            out[open_[done]] = True
+            go = ~(lost | done)
+            open_, u, v, bu, bv = open_[go], u[go], v[go], bu[go], bv[go]
+            up = bu > bv  # the younger side is a copy or a gadget's arc: look at what it was made of
+            time = np.where(up, bu, bv + 1).astype(np.int64)
+            u, v = np.where(up, self.right[u], u), np.where(up, v, self.left[v])
+        return out
+
+    def arcs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The same by the table of arcs, which is filled on the way."""
+        key = u.astype(np.int64) << 32 | v
+        at = ((key.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(64 - ARCS.bit_length() + 1)).astype(np.int64)
+        new = np.flatnonzero(self.arc_keys[at] != key)
+        out = self.arc_is[at]
+        if len(new):
+            out[new] = found = self.compiled(u[new], v[new])
+            self.arc_keys[at[new]] = key[new]
+            # places that two new arcs share keep the last one written: the same order for both arrays
+            self.arc_is[at[new]] = found
+        return out
+
+    def arc(self, u: int, v: int) -> bool:
+        return bool(self.arcs(np.array([u]), np.array([v]))[0])
+
+    def walk(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has."""
+        size = np.array([len(w) for w in words], np.int64)
+        if not len(size) or not size.sum():
+            return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(size)
+        base = ends - size
+        word = np.repeat(np.arange(len(size)), size)
+        # every arc that the bytes could take: (its first byte, its length, its token)
+        at, node = np.arange(len(data)), self.first[data]
+        found = []
+        stop = ends[word]
+        for k in range(1, self.longest + 1):
+            ok = node >= 0
+            at, node = at[ok], node[ok]
+            token = self.token[node]
+            hit = token >= 0
+            found.append((at[hit], np.full(hit.sum(), k, np.int64), token[hit]))
+            on = at + k < stop[at]
+            at, node = at[on], node[on].astype(np.int64)
+            if not len(at):
+                break
+            node = self.next.get(node << 8 | data[at + k])
+        start, length, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        behind = start - base[word[start]] + length  # bytes of the word up to the arc's end
+        order = np.argsort(behind, kind="stable")
+        start, length, token, behind = start[order], length[order], token[order], behind[order]
+        steps = np.searchsorted(behind, np.arange(1, size.max() + 2))
+        # state, length of its arc and number of arcs, at the last byte of each arc; a word's first byte has no state before it
+        state, back, count = np.full(len(data), -1, np.int32), np.zeros(len(data), np.int32), np.zeros(len(data), np.int32)
+        begins = start == base[word[start]]
+        for k in range(len(steps) - 1):
+            own = slice(steps[k], steps[k + 1])
+            s, n, t, from_start = start[own], length[own], token[own], begins[own]
+            u = np.where(from_start, -1, state[s - 1])
+            mid = np.flatnonzero(u >= 0)
+            ok = from_start.copy()
+            if len(mid):
+                ok[mid] = self.arcs(u[mid], t[mid])
+            # a whole label is its own path, other arcs from the start are only part of one if the rest accepts them
+            e = (s + n - 1)[ok]
+            state[e], back[e] = t[ok], n[ok]
+            count[e] = np.where(from_start[ok], 1, count[np.maximum(s[ok] - 1, 0)] + 1)
+        has = size > 0
+        last = (ends - 1)[has]
+        counts = np.zeros(len(size), np.int64)
+        counts[has] = count[last]
+        if not counts[has].all():
+            raise ValueError("a byte has no token")
+        into = (np.cumsum(counts) - 1)[has]
+        out = np.empty(counts.sum(), np.int32)
+        at, first = last, base[has]
+        while len(at):
+            out[into] = state[at]
+            at = at - back[at]
+            on = at >= first
+            at, first, into = at[on], first[on], into[on] - 1
+        return out, counts
 
     def encode(self, word: bytes) -> list[int]:
-        """The ids of one pre-split word.
-
-        The one accepted path: longest arcs are tried first, a place from which no arc
-        leads on is never entered twice, so the walk is linear in the word's length
-        times the labels that start at one place.
-        """
-        if (t := self.trie.get(word, -1)) >= 0:
-            return [t]
-        n, size, arcs, shorter = len(word), self.size, self._arcs, self.shorter
-        out = [t for _, t in self.matcher.iter_long(word.decode("latin-1"))]
-        u = out[0]
-        for t in out[1:]:  # about half of all words are done by longest labels alone
-            if (known := arcs.get(u << 20 | t)) is None:
-                if len(arcs) > 200_000:
-                    arcs.clear()
-                known = arcs[u << 20 | t] = self.arc(u, t)
-            if not known:
-                break
-            u = t
-        else:
-            return out
-        out = []
-        dead: set[int] = set()
-        i, u, t = 0, -1, self.longest(word, 0)
-        while True:
-            j = i + size[t]
-            ok = j not in dead
-            if ok and u >= 0:
-                key = u << 20 | t
-                if (known := arcs.get(key)) is None:
-                    if len(arcs) > 200_000:
-                        arcs.clear()
-                    known = arcs[key] = self.arc(u, t)
-                ok = known
-            if ok:
-                out.append(t)
-                if j == n:
-                    return out
-                i, u = j, t
-                t = self.longest(word, i)
-                continue
-            t = shorter[t]
-            while t < 0:  # no arc leads on from here
-                dead.add(i)
-                t = out.pop()
-                i -= size[t]
-                u = out[-1] if out else -1
-                t = shorter[t]
-
-    def decode(self, ids: list[int]) -> bytes:
-        label = self.label
-        return b"".join([label[i] for i in ids])
+        return self.walk([word])[0].tolist()
 
 
 #: how byte-level BPE splits a text into words, and the same over Latin blocks only, where `re` is twice as fast
@@ -185,12 +288,13 @@ class Splitter:
             import regex
             from tokenizers import pre_tokenizers
 
-            new, runs = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"], []
-            for c in new:
-                if runs and runs[-1][1] == c - 1:
-                    runs[-1][1] = c
-                else:
-                    runs.append([c, c])
+            runs: list[list[int]] = []
+            for c in range(0x110000):
+                if unicodedata.category(chr(c)) == "Cn":
+                    if runs and runs[-1][1] == c - 1:
+                        runs[-1][1] = c
+                    else:
+                        runs.append([c, c])
             unsure = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
             self._wide = regex.compile(SPLIT), unsure, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         return self._wide
@@ -204,22 +308,50 @@ class Splitter:
         return words.findall(text)
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of all runs, one run after another."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 class _Words(dict):
-    """word -> its ids as int32 bytes; the older half goes when it is full."""
+    """word -> its number. New words wait in ``new`` until ``settle`` walks them all at once."""
 
     def __init__(self, automaton: MergeAutomaton):
-        self.automaton, self.old = automaton, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if (hit := self.old.get(word)) is None:
-            hit = array("i", self.automaton.encode(word.encode())).tobytes()
-        if len(word) <= CACHE_WORD_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.old = {}
-                self.old = dict(self)
-                self.clear()
-            self[word] = hit
-        return hit
+        self.automaton = automaton
+        self.start()
+
+    def start(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.long = False
+        self.ids, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def settle(self) -> None:
+        if not self.new:
+            return
+        self.long |= max(map(len, self.new)) > CACHE_WORD_CHARS
+        parts, sizes, lo, held = [self.ids], [self.size], 0, 0
+        raw = [w.encode() for w in self.new]
+        for hi, w in enumerate(raw, 1):
+            held += len(w)
+            if held >= WALK_BYTES or hi == len(raw):
+                ids, n = self.automaton.walk(raw[lo:hi])
+                parts.append(ids)
+                sizes.append(n)
+                lo, held = hi, 0
+        self.ids, self.size = np.concatenate(parts), np.concatenate(sizes)
+        self.begin = np.cumsum(self.size) - self.size
+        self.new = []
+
+    def bound(self) -> None:
+        """Start anew beyond the limits."""
+        if len(self) > CACHE_WORDS or self.long:
+            self.start()
 
 
 class Codec:
@@ -230,85 +362,154 @@ class Codec:
         alphabet = byte_alphabet()
         raw = lambda t: bytes(map(alphabet.__getitem__, t))
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        vocab = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        vocab = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.automaton = MergeAutomaton(vocab, [(raw(a), raw(b)) for a, b in pairs])
-        self.special = special
-        self.label = self.automaton.label | {i: t.encode() for t, i in special.items()}
-        self.numerals = {i: str(i) for i in self.label}
-        self._special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        label = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.label = [label.get(i, b"") for i in range(max(label) + 1)]
+        self._ready()
+
+    def _ready(self) -> None:
+        self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.splitter, self.words = Splitter(), _Words(self.automaton)
+        # an id's label, and its decimal digits before a comma: what ids spell is one ``take``
+        self.labels = pa.array(self.label, pa.large_binary())
+        self.digits = pa.array([b"%d," % i for i in range(len(self.label))], pa.large_binary())
 
-    def encode(self, text: str | None) -> list[int]:
-        words, split, text = self.words, self.splitter.split, text or ""
+    def __getstate__(self):
+        return self.automaton, self.special, self.label
+
+    def __setstate__(self, state):
+        self.automaton, self.special, self.label = state
+        self._ready()
+
+    def _numbers(self, text: str) -> list[int]:
+        """The text's words by number; special tokens are negative: -1 - id."""
+        number, split = self.words.__getitem__, self.splitter.split
         if self._special is None or not self._special.search(text):
-            raw = b"".join(map(words.__getitem__, split(text)))
+            return list(map(number, split(text)))
+        out: list[int] = []
+        for part in self._special.split(text):
+            if part in self.special:
+                out.append(-1 - self.special[part])
+            elif part:
+                out += map(number, split(part))
+        return out
+
+    def encode_all(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's end."""
+        words = self.words
+        found = [self._numbers(t) for t in texts]
+        words.settle()
+        n = np.array([len(x) for x in found], np.int64)
+        at = np.fromiter((x for f in found for x in f), np.int64, n.sum())
+        del found
+        plain = at >= 0
+        size = np.ones(len(at), np.int64)
+        size[plain] = words.size[at[plain]]
+        if plain.all():
+            ids = words.ids[_spread(words.begin[at], size)]
         else:
-            raw = bytearray()
-            for part in self._special.split(text):
-                if part in self.special:
-                    raw += array("i", [self.special[part]]).tobytes()
-                elif part:
-                    raw += b"".join(map(words.__getitem__, split(part)))
-        return memoryview(raw).cast("i").tolist()
-
-    def decode(self, ids: list[int]) -> str:
+            pool = np.concatenate([words.ids, (-1 - at[~plain]).astype(np.int32)])
+            begin = np.empty(len(at), np.int64)
+            begin[plain] = words.begin[at[plain]]
+            begin[~plain] = len(words.ids) + np.arange((~plain).sum())
+            ids = pool[_spread(begin, size)]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        words.bound()
+        return ids, upto[np.cumsum(n)]
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_all([text or ""])[0].tolist()
+
+    def decode(self, ids: Sequence[int]) -> str:
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
-    def digest(self, text: str | None) -> tuple[int, str, str, bytes]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text, the ids as int32 bytes."""
-        ids = self.encode(text)
-        listed, spelt = ",".join(map(self.numerals.__getitem__, ids)), self.decode(ids)
-        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(spelt.encode()).hexdigest(), array("i", ids).tobytes()
+    def _spelt(self, ids: np.ndarray, with_: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """What the ids spell, and where each one's part begins (one more place at the end)."""
+        out = with_.take(pa.array(ids, pa.int32()))
+        offsets = np.frombuffer(out.buffers()[1], np.int64)[: len(ids) + 1]
+        return memoryview(out.buffers()[2] or b""), offsets
+
+    def digests(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+        """The ids of all texts, where each text's end, SHA-256 of the ids, SHA-256 of the decoded text."""
+        ids, ends = self.encode_all(texts)
+        listed, li = self._spelt(ids, self.digits)
+        spelt, si = self._spelt(ids, self.labels)
+        sha, decoded, a = [], [], 0
+        for b in ends.tolist():
+            sha.append(hashlib.sha256(listed[li[a] : max(li[a], li[b] - 1)]).hexdigest())
+            text = spelt[si[a] : si[b]]
+            try:
+                str(text, "utf-8")
+            except UnicodeDecodeError:
+                text = str(text, "utf-8", "replace").encode()
+            decoded.append(hashlib.sha256(text).hexdigest())
+            a = b
+        return ids, ends, sha, decoded
 
 
 @cache
 def codec(path: str) -> Codec:
-    """One for each Python worker; workers are used again by later tasks."""
+    """Compiled once in a process: by the driver, which sends its flat arrays to the workers."""
     return Codec(path)
 
 
+def slices(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows that have ``most`` characters at most, or one row."""
+    lo, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 for every row, and the ids themselves if wanted; no shuffle, a task holds one Arrow batch."""
     fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + ids]
+    shared = docs.sparkSession.sparkContext.broadcast(codec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = shared.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                n, sha, decoded, raw = zip(*(own.digest(t.as_py()) for t in b.column(1)), strict=True)
-                out = [b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(decoded, pa.string())]
+            sizes = whole.column(2).to_pylist()
+            for lo, hi in slices(sizes, SLICE_CHARS):
+                b = whole.slice(lo, hi - lo)
+                flat, ends, sha, decoded = own.digests([t or "" for t in b.column(1).to_pylist()])
+                offsets = np.concatenate(([0], ends))
+                out = [b.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(sha, pa.string()), pa.array(decoded, pa.string())]
                 if ids:
-                    flat = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(raw))])
-                    out.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(n)], pa.int32()), flat))
+                    out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, fields)
 
     kinds = [docs.schema[id_col].dataType.simpleString(), "bigint", "string", "string", "array<int>"]
-    return arrow_map(docs.select(id_col, text_col), run, ", ".join(map(" ".join, zip(fields, kinds, strict=False))))
+    size = F.coalesce(F.length(text_col), F.lit(0)).alias("size")
+    return arrow_map(docs.select(id_col, text_col, size), run, ", ".join(map(" ".join, zip(fields, kinds, strict=False))))
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """All columns of ``docs`` and the ids of the text as array<int> (empty for null)."""
-    from pyspark.sql import functions as F
     from pyspark.sql.types import ArrayType, IntegerType
 
+    shared = docs.sparkSession.sparkContext.broadcast(codec(path))
+
     @F.pandas_udf(ArrayType(IntegerType()))
     def ids(text):
-        own = codec(path)
-        return text.map(own.encode)
+        return text.map(shared.value.encode)
 
     return docs.withColumn(out, ids(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def decoded(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
     """All columns of ``tokens`` and the text that its ids spell (null ids: empty)."""
-    from pyspark.sql import functions as F
+    shared = tokens.sparkSession.sparkContext.broadcast(codec(path))
 
     @F.pandas_udf("string")
     def text(ids):
-        own = codec(path)
-        return ids.map(lambda x: "" if x is None else own.decode(list(x)))
+        return ids.map(lambda x: "" if x is None else shared.value.decode(list(x)))
 
     return tokens.withColumn(out, text(F.col(ids_col)))
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -66,3 +67,33 @@ def test_table(spark):
     assert bpe.digests(docs(spark, ODD).limit(0), PATH).collect() == []
     back = bpe.decoded(bpe.encoded(docs(spark, ODD), PATH), PATH, out="again").collect()
     assert all(r.again == (r.text or "") for r in back)
+
+
+def test_the_walk_goes_by_the_compiled_tables(monkeypatch):
+    a = bpe.MergeAutomaton({b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"bc": 4}, [(b"a", b"b"), (b"b", b"c")])
+    assert a.encode(b"abc") == [3, 2] and a.arc(3, 2) and not a.arc(0, 4) and not a.arc(0, 1)
+    a.cuts = bpe.Flat(np.zeros(0, np.int64), np.zeros(0, np.int32))
+    a._forget()
+    assert a.arc(0, 1) and a.encode(b"abc") != [3, 2]  # without the gadgets' cuts other paths are accepted
+
+
+def test_flat_maps():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    m = bpe.Flat(keys, np.arange(len(keys), dtype=np.int32))
+    assert (m.get(keys) == np.arange(len(keys))).all()
+    other = rng.integers(1 << 41, 1 << 42, 5000)
+    assert (m.get(other) == -1).all()
+
+
+def test_bounds_and_slices_do_not_change_results(monkeypatch):
+    random.seed(5)
+    texts = [" ".join("".join(random.choices("abcdefé漢", k=random.randint(1, 9))) for _ in range(random.randint(0, 60))) + random.choice(["", "<|endoftext|> x", "z" * 80]) for _ in range(60)]
+    for words, chars in ((30_000, 1 << 19), (5, 200), (1, 1)):
+        monkeypatch.setattr(bpe, "CACHE_WORDS", words)
+        monkeypatch.setattr(bpe, "WALK_BYTES", chars)
+        own, got = bpe.Codec(PATH), []
+        for lo, hi in bpe.slices(list(map(len, texts)), chars):
+            ids, ends, _, _ = own.digests(texts[lo:hi])
+            got += [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == list(map(library, texts))

@@ -44,9 +44,9 @@ from kinweave.llm.common import arrow_map, table
 
 NEVER = 1 << 30
 #: words that a worker keeps with their ids; beyond, it starts anew
-CACHE_WORDS = 30_000
+CACHE_WORDS = 150_000
 #: nor does it keep anything beside a word longer than this
-CACHE_WORD_CHARS = 64
+CACHE_WORD_BYTES = 64
 #: characters of the texts that are encoded together
 SLICE_CHARS = 1 << 19
 #: bytes of words that are walked together
@@ -327,23 +327,24 @@ class _Words(dict):
         self.ids, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
         self.new.append(word)
+        self[word] = n = len(self)
         return n
 
     def settle(self) -> None:
         if not self.new:
             return
-        self.long |= max(map(len, self.new)) > CACHE_WORD_CHARS
-        parts, sizes, lo, held = [self.ids], [self.size], 0, 0
-        raw = [w.encode() for w in self.new]
-        for hi, w in enumerate(raw, 1):
-            held += len(w)
-            if held >= WALK_BYTES or hi == len(raw):
-                ids, n = self.automaton.walk(raw[lo:hi])
-                parts.append(ids)
-                sizes.append(n)
-                lo, held = hi, 0
+        parts, sizes = [self.ids], [self.size]
+        raw = list(map(str.encode, self.new))
+        upto = np.cumsum(list(map(len, raw)))
+        self.long |= int(np.diff(upto, prepend=0).max()) > CACHE_WORD_BYTES
+        lo = 0
+        while lo < len(raw):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + WALK_BYTES, "right")))
+            ids, n = self.automaton.walk(raw[lo:hi])
+            parts.append(ids)
+            sizes.append(n)
+            lo = hi
         self.ids, self.size = np.concatenate(parts), np.concatenate(sizes)
         self.begin = np.cumsum(self.size) - self.size
         self.new = []
@@ -383,18 +384,19 @@ class Codec:
         self.automaton, self.special, self.label = state
         self._ready()
 
-    def _numbers(self, text: str) -> list[int]:
+    def _numbers(self, text: str) -> np.ndarray:
         """The text's words by number; special tokens are negative: -1 - id."""
         number, split = self.words.__getitem__, self.splitter.split
         if self._special is None or not self._special.search(text):
-            return list(map(number, split(text)))
+            words = split(text)
+            return np.fromiter(map(number, words), np.int64, len(words))
         out: list[int] = []
         for part in self._special.split(text):
             if part in self.special:
                 out.append(-1 - self.special[part])
             elif part:
                 out += map(number, split(part))
-        return out
+        return np.array(out, np.int64)
 
     def encode_all(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's end."""
@@ -402,8 +404,7 @@ class Codec:
         found = [self._numbers(t) for t in texts]
         words.settle()
         n = np.array([len(x) for x in found], np.int64)
-        at = np.fromiter((x for f in found for x in f), np.int64, n.sum())
-        del found
+        at = np.concatenate([*found, np.zeros(0, np.int64)])
         plain = at >= 0
         size = np.ones(len(at), np.int64)
         size[plain] = words.size[at[plain]]

@@ -1,21 +1,24 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-Each source is a line of words: its documents in an order shuffled by a hash of the id.
-The line is cut into blocks of equal length and read round and round. The schedule has
-2**k slots; slot i belongs to the source whose interval of cumulative weights holds the
-van der Corput point of i. Reversing k bits is a bijection, so a source's slots are the
-reversed numbers of an interval, made without a search. Slots are ranked in each source;
-rank r takes block r modulo the number of blocks, and the last taken block ends at the
-word where the target is met. A slot or two that rounding leaves short close the line.
-
-The slots are the mix's order: ``slots`` has a place (slot, first word on the line) for
-each time that a row is taken, and ``mixed_documents`` gives it as a column on request. A
-document of several blocks stays whole, at the slot of the block it begins in. How many
-words are taken of a document depends on the order of the line alone, not on the slots.
-
-Bounds. Slots: 2**17, or 32 for each source where that is more; block length follows
-from it. The driver gets one row for each source. Positions on the line come from sums
-in hash buckets and sums of buckets, so a source with a third of all rows is many tasks.
+Each source is a line of words: its documents in an order shuffled by a hash of the id,
+read round and round up to the source's target. The line is cut into blocks of ``block``
+words; the last one ends where the target is met. A source has as many points as blocks.
+
+The schedule has 2**k slots. Slot i looks up the van der Corput point of i, its k bits in
+reverse, in the cumulative numbers of points: the source whose interval holds it has the
+slot (points behind the last interval belong to none). Slots are ranked in each source,
+and rank r takes block r. Both directions are arithmetic: the points of an interval are
+counted off and reversed, and the rank of a slot is a sum over its bits, so neither a
+search nor a sort is needed, and a source with a third of all blocks is many tasks.
+
+``schedule`` gives the mix as rows (slot, source, block, row, lap, begin, stop): which
+words of which document stand where. How many words ``mix`` takes of a document is the
+sum of those rows, and ``mixed_documents`` writes documents in the order of the slots. A
+document of several blocks stays whole, at the slot of the block it begins in.
+
+Bounds. ``block`` is ``BLOCK_WORDS``, or less where the mix would have under ``MIN_SLOTS``
+slots. The driver gets one row for each source. Positions on the line come from sums in
+hash buckets and sums of buckets.
 
 Input cases. Null text has size 0; a null source is a source, the last one; documents of
 size 0 take 0. Repeated rows are documents of their own. Empty table: no rows. The order
@@ -25,13 +28,16 @@ depends on ids and sizes only, so reruns agree.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import WORD, fresh, table, written
 
-MIN_SLOTS, SLOTS_EACH, BUCKET_ROWS = 1 << 17, 32, 1000
+MIN_SLOTS, BLOCK_WORDS, BUCKET_ROWS = 1 << 17, 256, 1000
+#: points that one row of the driver's plan is unfolded to at a time
+POINTS_EACH = 1 << 16
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: float) -> list[float]:
@@ -51,8 +57,33 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: f
     return out
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, row, digest, slots for every row of ``docs`` (doc_id, text, source)."""
+def van_der_corput(i: Column, bits: int) -> Column:
+    """The numerator of the point of ``i`` over 2**bits: its bits in reverse. It is its own inverse."""
+    return F.conv(F.reverse(F.lpad(F.bin(i), bits, "0")), 2, 10).cast("bigint")
+
+
+def slots_before(point: Column, low: Column, high: Column, bits: int) -> Column:
+    """How many slots before that of ``point`` have points from ``low`` to below ``high``.
+
+    The slots before i fall into runs that share i's upper bits and have one bit less; the
+    points of such a run are an arithmetic progression, whose members below a limit are counted.
+    """
+    total = F.lit(0).cast("bigint")
+    for m in range(bits):
+        first = point.bitwiseAND((1 << m) - 1)
+        below = lambda limit: F.greatest(F.lit(0), F.shiftright(limit - first + ((2 << m) - 1), m + 1))  # noqa: B023, E731
+        total = total + F.when(point.bitwiseAND(1 << m) != 0, below(high) - below(low)).otherwise(0)
+    return total
+
+
+class Schedule(NamedTuple):
+    """``line``: a row for each document; ``pieces``: slot, s, block, row, lap, begin, stop, copy (words of that lap)."""
+
+    line: DataFrame
+    pieces: DataFrame
+
+
+def _schedule(docs: DataFrame, weights: Sequence[float], share: float, cap: float, seed: int) -> Schedule:
     spark = docs.sparkSession
     sized = docs.select(
         "doc_id",
@@ -66,92 +97,100 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     totals.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     goal = targets([r["size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], share, cap)
-    bits = max(MIN_SLOTS - 1, SLOTS_EACH * len(totals)).bit_length()
-    slots, words = 1 << bits, sum(goal)
-    block = max(1, -int(-words // slots))
-    plan, lo, seen = [], 0, 0.0
+    block = min(BLOCK_WORDS, max(1, int(sum(goal)) // MIN_SLOTS))
+    plan, low = [], 0
     for i, (r, want) in enumerate(zip(totals, goal, strict=True)):
-        seen += want
-        hi = round(slots * seen / words) if words else 0
-        size, take = r["size"], min(round(want), int(cap * r["size"]))
-        laps, rest = divmod(take, size) if size else (0, 0)
-        blocks = -(-size // block)
-        plan.append((i, r.source, size, float(want), blocks, laps, rest, laps * blocks + -(-rest // block), lo, hi))
-        lo = hi
+        take = min(round(want), int(cap * r["size"]))
+        points = max(1, round(take / block)) if take else 0
+        plan.append((i, r.source, r["size"], float(want), take, points, low))
+        low += points
+    bits = max(1, (low - 1).bit_length())
     kind = docs.schema["source"].dataType.simpleString()
-    sources = spark.createDataFrame(plan, f"s int, name {kind}, source_size bigint, target double, blocks bigint, laps bigint, rest bigint, need bigint, lo bigint, hi bigint")
-
-    reversed_bits = F.conv(F.reverse(F.lpad(F.bin("j"), bits, "0")), 2, 10).cast("bigint")
-    ranked = (
-        sources.where("need > 0")
-        .select("*", F.explode(F.sequence("lo", F.col("lo") + F.greatest(F.col("hi") - F.col("lo"), F.col("need")) - 1)).alias("j"))
-        .withColumn("slot", F.when(F.col("j") < F.col("hi"), reversed_bits).otherwise(slots + F.col("j") - F.col("hi")))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("slot")).cast("bigint") - 1)
-        .where("rank < need")
-    )
-    lap = F.floor(F.col("rank") / F.col("blocks"))
-    taken_blocks = ranked.select(
-        "s",
-        "slot",
-        (F.col("rank") % F.col("blocks")).alias("block"),
-        F.when(lap < F.col("laps"), F.col("source_size")).otherwise(F.col("rest")).alias("until"),
-    )
+    sources = spark.createDataFrame(plan, f"s int, name {kind}, source_size bigint, target double, take bigint, points bigint, low bigint")
 
-    known = sized.join(sources.select("s", "name", "source_size", "target"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    chunks = sources.where("points > 0").select("s", "points", "low", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("points") - 1) / POINTS_EACH))).alias("c"))
+    chunks = chunks.repartition(max(1, low // (16 * POINTS_EACH)))
+    first = F.col("low") + F.col("c") * POINTS_EACH
+    points = chunks.select("s", "low", (F.col("low") + F.col("points")).alias("high"), F.explode(F.sequence(first, F.least(first + POINTS_EACH, F.col("low") + F.col("points")) - 1)).alias("point"))
+    point = F.col("point")
+    slots = points.select("s", van_der_corput(point, bits).alias("slot"), slots_before(point, F.col("low"), F.col("high"), bits).alias("block"))
+
+    known = sized.join(sources, F.col("source").eqNullSafe(F.col("name"))).drop("name", "low")
     parts = max(0, (sum(r.n for r in totals) // BUCKET_ROWS).bit_length())
     bucket = F.shiftrightunsigned("ord", 64 - parts) if parts else F.lit(0).cast("bigint")
     known = known.withColumn("bucket", bucket)
     before = known.groupBy("s", "bucket").agg(F.sum("size").alias("words"))
     before = before.withColumn("offset", F.sum("words").over(Window.partitionBy("s").orderBy("bucket")) - F.col("words"))
     inside = Window.partitionBy("s", "bucket").orderBy("ord", "doc_id", "size", "row")
-    line = (
-        known.withColumn("upto", F.sum("size").over(inside))
-        .join(before.drop("words"), ["s", "bucket"])
-        .withColumn("end", F.col("offset") + F.col("upto"))
-        .withColumn("start", F.col("end") - F.col("size"))
-    )
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)
-    cuts = line.where("size > 0").select("row", "s", "start", "end", F.explode(F.sequence(first, last)).alias("block"))
-    begin, stop = F.greatest("start", F.col("block") * block), F.least("end", (F.col("block") + 1) * block, "until")
-    read = cuts.join(taken_blocks, ["s", "block"]).withColumn("words", F.greatest(F.lit(0), stop - begin))
-    place = F.struct("slot", F.col("start").alias("at"))
-    begun = F.when((F.col("block") == F.floor(F.col("start") / block)) & (F.col("words") > 0), place)
-    taken = read.groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(begun)).alias("slots"))
-    return known.join(taken, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source", "row", "digest", "slots"
+    line = known.withColumn("upto", F.sum("size").over(inside)).join(before.drop("words"), ["s", "bucket"])
+    line = line.withColumn("start", F.col("offset") + F.col("upto") - F.col("size"))
+
+    laps = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("take") - 1 - F.col("start")) / F.col("source_size")))
+    copies = line.where("size > 0 AND start < take").select("row", "s", "size", "take", "points", "source_size", "start", F.explode(laps).alias("lap"))
+    copies = copies.withColumn("from", F.col("lap") * F.col("source_size") + F.col("start")).withColumn("to", F.least(F.col("from") + F.col("size"), "take"))
+    last = F.col("points") - 1  # the last block takes what is left up to the target
+    cuts = F.sequence(F.least(F.floor(F.col("from") / block), last), F.least(F.floor((F.col("to") - 1) / block), last))
+    cuts = copies.select("row", "s", "lap", "from", "to", "points", F.explode(cuts).alias("block"))
+    # the slots come from the driver's few rows, so Spark takes them for small: they are to be shuffled, not broadcast
+    pieces = cuts.join(slots.hint("merge"), ["s", "block"])
+    begin = F.greatest(F.col("from"), F.col("block") * block) - F.col("from")
+    end = F.when(F.col("block") == last, F.col("to")).otherwise(F.least("to", (F.col("block") + 1) * block)) - F.col("from")
+    return Schedule(line, pieces.select("slot", "s", "block", "row", "lap", begin.alias("begin"), end.alias("stop"), (F.col("to") - F.col("from")).alias("copy")))
+
+
+OPTIONS = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "seed": 7}
+
+
+def schedule(docs: DataFrame, **options) -> DataFrame:
+    """slot, source, block, doc_id, row, lap, begin, stop: the words begin to stop (not itself) of a document stand at a slot."""
+    line, pieces = _schedule(docs, **(OPTIONS | options))
+    return pieces.join(line.select("row", "doc_id", "source"), "row").select("slot", "source", "block", "doc_id", "row", "lap", "begin", "stop")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken, slots, source, row, digest for every row of ``docs`` (doc_id, text, source).
+
+    ``slots`` has (slot, words, place) for each time that the row is taken: where it begins, how
+    many of its words are taken then, and its place among what begins at that slot. Options: ``OPTIONS``.
+    """
+    line, pieces = _schedule(docs, **(OPTIONS | options))
+    begun = F.when(F.col("begin") == 0, F.struct("slot", F.col("copy").alias("words")))
+    taken = pieces.groupBy("row").agg(F.sum(F.col("stop") - F.col("begin")).alias("taken"), F.sort_array(F.collect_list(begun)).alias("slots"))
+    places = F.transform("slots", lambda x: F.struct(x["slot"].alias("slot"), F.col("start").alias("at"), x["words"].alias("words")))
+    return line.join(taken, "row", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), places.alias("slots"), "source", "row", "digest"
     )
 
 
 def mixed_documents(docs: DataFrame, order: str | None = None, **options) -> DataFrame:
-    """The mix as documents: a row for each full time that a document is taken, and its leading words where it is cut.
+    """The mix as documents in the order of the schedule: a row for each full time that a document is taken, and its leading words where it is cut.
 
     Rows are found by id, digest of the text and source; those that repeat all three are
-    documents of their own. ``order`` names a column to add: the place in the mix, by which
-    the rows are to be sorted.
+    documents of their own. ``order`` names a column to add: the place (slot, first word on the line).
     """
     keys = ["doc_id", "digest", "source"]
-    own, digest, source, size, taken, time, slots, nth, twin, copy = fresh(docs, "id", "digest", "own_source", "size", "taken", "time", "slots", "nth", "twin", "copy")
-    took = written(mix(docs, **options).where("taken > 0").select(*keys, "size", "taken", *(["slots"] if order else [])), "took")
-    renamed = dict(zip([*keys, "size", "taken", "slots"], [own, digest, source, size, taken, slots], strict=True))
+    own, digest, source, size, slots, place, twin, left, right = fresh(docs, "id", "digest", "own_source", "size", "slots", "place", "twin", "copy", "copy_of")
+    took = written(mix(docs, **options).where("taken > 0").select(*keys, "size", "row", "slots"), "took")
     again = not took.groupBy(*keys).count().where("count > 1").isEmpty()
-    took = took.withColumnsRenamed(renamed)
+    took = took.withColumnsRenamed(dict(zip([*keys, "size", "slots"], [own, digest, source, size, slots], strict=True)))
     text = docs.withColumn(twin, F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(twin) == F.col(digest)) & F.col("source").eqNullSafe(F.col(source))
     if again:  # rows that repeat id, text and source are numbered on both sides
-        left, right = fresh(text, copy, copy + "_of")
         text = text.withColumn(left, F.row_number().over(Window.partitionBy("doc_id", twin, "source").orderBy(F.xxhash64(*docs.columns))))
-        took = took.withColumn(right, F.row_number().over(Window.partitionBy(own, digest, source).orderBy(F.desc(taken))))
+        took = took.withColumn(right, F.row_number().over(Window.partitionBy(own, digest, source).orderBy("row")))
         same = same & (F.col(left) == F.col(right))
-    rest = (F.col(taken) % F.col(size)).cast("int")
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest)
-    full, none = F.floor(F.col(taken) / F.col(size)).cast("int"), F.array().cast("array<int>")
-    times = F.concat(F.when(full > 0, F.sequence(F.lit(1), full)).otherwise(none), F.when(rest > 0, F.array(F.lit(-1))).otherwise(none))
-    out = text.join(took, same).select("*", F.posexplode(times).alias(nth, time))
-    out = out.withColumn("text", F.when(F.col(time) < 0, F.array_join(words, " ")).otherwise(F.col("text")))
+    out = text.join(took.drop("row"), same).withColumn(place, F.explode(slots))
+    words = F.col(place)["words"]
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    out = out.withColumn("text", F.when(words < F.col(size), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, *([F.col(slots)[F.col(nth)].alias(order)] if order else []))
+    out = out.orderBy(F.col(place)["slot"], F.col(place)["at"])
+    at = F.struct(F.col(place)["slot"].alias("slot"), F.col(place)["at"].alias("at"))
+    return out.select(*docs.columns, *([at.alias(order)] if order else []))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("row", "source", "digest", "slots")
+    out = mix(table(spark, sf_dir, "documents"))
+    where = F.transform("slots", lambda x: x["slot"])
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.array_join(where.cast("array<string>"), ",").alias("slots"))

@@ -87,3 +87,63 @@ def test_documents_of_repeated_and_null_ids(spark):
         k = r.doc_id, digest[r.doc_id, r.text.split()[0]]
         got[k] = got.get(k, 0) + len(r.text.split())
     assert got == {k: v for k, v in each.items() if v}
+
+
+def brute_schedule(spark, rows):
+    """Slot by slot: the point's bits in reverse, the source that holds it, that source's next block, word by word."""
+    d = docs(spark, rows).selectExpr("doc_id", "source", "text", "xxhash64(7, cast(doc_id as string)) h").collect()
+    size = [len(WORD.findall(r.text or "")) for r in d]
+    names = sorted({r.source for r in d if r.source is not None}) + [None] * any(r.source is None for r in d)
+    want = water([sum(n for n, r in zip(size, d) if r.source == s) for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
+    block = min(mixing.BLOCK_WORDS, max(1, int(sum(want)) // mixing.MIN_SLOTS))
+    lines, points = [], []
+    for s, w in zip(names, want):
+        own = sorted((i for i, r in enumerate(d) if r.source == s and size[i]), key=lambda i: d[i].h)
+        line = [(d[i].doc_id, k) for i in own for k in range(size[i])]
+        take = min(round(w), 2 * len(line))
+        n = max(1, round(take / block)) if take else 0
+        lines.append([line[x % len(line)] for x in range(take)])
+        points += [len(lines) - 1] * n
+    bits = max(1, (len(points) - 1).bit_length())
+    rank, out = [0] * len(names), []
+    for slot in range(1 << bits):
+        p = int(f"{slot:0{bits}b}"[::-1], 2)
+        if p < len(points):
+            s = points[p]
+            lo = rank[s] * block
+            rank[s] += 1
+            hi = lo + block if rank[s] < points.count(s) else len(lines[s])
+            out += [(slot, names[s], *w) for w in lines[s][lo:hi]]
+    return out
+
+
+def words_of(schedule):
+    return sorted((r.slot, r.source or "", r.doc_id, k) for r in schedule.collect() for k in range(r.begin, r.stop))
+
+
+def test_the_schedule_is_that_of_brute_force(spark, monkeypatch):
+    random.seed(8)
+    rows = [(i, "w " * random.choice([0, 1, 7, 30]), "en", random.choice(["a", "a", "b", "c", None])) for i in range(60)]
+    for least, most in ((1 << 17, 256), (40, 256), (1, 100)):
+        monkeypatch.setattr(mixing, "MIN_SLOTS", least)
+        monkeypatch.setattr(mixing, "BLOCK_WORDS", most)
+        want = sorted((s, n or "", i, k) for s, n, i, k in brute_schedule(spark, rows))
+        assert words_of(mixing.schedule(docs(spark, rows))) == want
+
+
+def test_without_the_bit_reversal_the_mix_is_another(spark, monkeypatch):
+    rows = [(i, f"a{i} " * 20, "en", "xyz"[i % 3]) for i in range(60)]
+    mixed = lambda: [r.doc_id for r in mixing.mixed_documents(docs(spark, rows)).collect()]
+    slots = lambda: sorted((r.doc_id, str(r.slots)) for r in mixing.mix(docs(spark, rows)).collect())
+    a, b = mixed(), slots()
+    monkeypatch.setattr(mixing, "van_der_corput", lambda i, bits: i)
+    assert mixed() != a and slots() != b
+
+
+def test_documents_come_in_the_order_of_the_slots(spark):
+    rows = [(i, f"a{i} b c d e f g", "en", "xyz"[i % 3]) for i in range(50)]
+    d = docs(spark, rows)
+    got = [(r.doc_id, r.place) for r in mixing.mixed_documents(d, order="place").collect()]
+    assert got == sorted(got, key=lambda x: x[1])
+    want = sorted(((s.slot, s.at), r.doc_id) for r in mixing.mix(d).collect() for s in r.slots or [])
+    assert [i for i, _ in got] == [i for _, i in want]

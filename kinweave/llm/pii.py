@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -121,6 +122,32 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+class _Taken:
+    """What base spans and added ones cover. The former may overlap, as kinds are found apart, so they are united."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+        self.more: dict[int, list[tuple[int, int]]] = {}
+
+    def take(self, a: int, b: int) -> bool:
+        """Whether a to b was free; it is taken then."""
+        i = bisect_left(self.starts, b) - 1  # the last base span that begins before b
+        if i >= 0 and self.ends[i] > a:
+            return False
+        cells = range(a >> 8, (b - 1 >> 8) + 1)
+        if any(a < y and x < b for c in cells for x, y in self.more.get(c, ())):
+            return False
+        for c in cells:
+            self.more.setdefault(c, []).append((a, b))
+        return True
+
+
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     proposed: list[tuple[str, int, int, float]] = []
     for span in ibans(text):
@@ -135,14 +162,13 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
         if 9 <= len(_digits(m[0])) <= 11:
             proposed.append(("phone", *m.span(), 0.3))
     out: dict[str, list[tuple[int, int]]] = {}
-    used = sorted(s for spans in base.values() for s in spans)
+    taken = _Taken(s for spans in base.values() for s in spans)
     for kind, a, b, score in proposed:
         around = text[max(0, a - NEAR) : a] + " " + text[b : b + NEAR]
         if CONTEXT[kind].search(around):
             score += {"card": 0.3, "phone": 0.4, "ssn": 0.4, "iban": 0.1}[kind]
-        if score >= THRESHOLD and not any(a < y and x < b for x, y in used):
+        if score >= THRESHOLD and taken.take(a, b):
             out.setdefault(kind, []).append((a, b))
-            used.append((a, b))
     return out
 
 

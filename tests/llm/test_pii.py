@@ -62,3 +62,29 @@ def test_ibans_before_other_words():
     assert spans("BE68 5390 0754 7034 NO93 8601 1117 947") == "iban:0:19,iban:20:38"
     assert spans("AB12 CDEF GHIJ BE68 5390 0754 7034") == "iban:15:34"
     assert spans("BE69 5390 0754 7034 BIC") == ""
+
+
+def test_taken_spans_are_those_of_a_plain_comparison():
+    random.seed(9)
+    for _ in range(300):
+        base = [(a, a + random.randint(1, 30)) for a in random.sample(range(2000), random.randint(0, 40))]
+        taken, used = pii._Taken(base), list(base)
+        for _ in range(80):
+            a = random.randrange(2000)
+            b = a + random.choice([1, 5, 40, 700])
+            free = not any(a < y and x < b for x, y in used)
+            assert taken.take(a, b) == free
+            if free:
+                used.append((a, b))
+
+
+def test_a_long_text_full_of_spans_is_linear():
+    import time
+
+    unit = "mail a.b@c.de ip 10.0.0.1 card 4111 1111 1111 1111 phone 555 123 4567 ssn 123-45-6789 DE89 3704 0044 0532 0130 00 +49 30 1234567. "
+    began = time.process_time()
+    got = pii.find(unit * 10_000)  # 1.3 MB
+    assert got[:4] == (10_000,) * 4 and got[5].count("ssn:") == got[5].count("iban:") == 10_000
+    for t in ("AB12 " * 100_000, "1-2 " * 100_000, "@a" * 200_000, "1." * 200_000, "(12)" * 100_000):
+        pii.find(t)
+    assert time.process_time() - began < 30

@@ -9,8 +9,10 @@ vectors, landmarks times A is one matrix of DIMS x languages, and a batch of tex
 scored by one product of its presence matrix with it.
 
 Training reads a bounded sample: about ``SAMPLE`` labelled rows in all, an equal part for
-each language, chosen by a hash of the id; ``LANDMARKS`` of them are landmarks. Held-out
-rows (crc32 of the id modulo 5 is 0) are never read for it.
+each language, chosen by a hash of id and text (so rows that repeat both count once), and
+never more than twice as many; ``LANDMARKS`` of them are landmarks. Held-out rows (crc32 of
+the id modulo 5 is 0) are never read for it. The driver holds the sample's places and a model
+of ``DIMS`` x languages; more than ``LANGUAGES`` of them are an error, as the model is broadcast.
 
 Input cases. Text that is null or has no letter gives ``und`` with score 0; so does any
 text if no row is labelled. Whole texts are read, of any length. Repeated rows get the
@@ -26,7 +28,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import arrow_map, bounded_batches, table
@@ -35,6 +37,7 @@ DIMS = 1 << 17
 ORDERS = 4
 SAMPLE = 1600
 LANDMARKS = 256
+LANGUAGES = 500  # a model of 250 MB
 UNKNOWN = "und"
 RIDGE = 1e-3
 SHARPNESS = 3.0
@@ -116,13 +119,18 @@ def _held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """From ``docs`` (doc_id, text, lang). The driver gets one row for each language, then the sample's places."""
     rows = docs.where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
     if not counts:
         return None
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     each = max(1, sample // len(counts))
-    place = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("string")), F.lit(1 << 40))
+    place = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("string"), F.col("text")), F.lit(1 << 40))
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int((1 << 40) * min(1.0, each / n)))])
     picked = rows.select("lang", "text", place.alias("place")).where(F.col("place") < F.element_at(share, F.col("lang")))
+    # what the driver takes has a bound: the window sees a language's sample only, and keeps its first rows
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    picked = picked.groupBy("lang", "place").agg(F.first("text").alias("text")).withColumn("n", order).where(F.col("n") <= 2 * each).select("lang", "text", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence()
@@ -131,8 +139,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own, pa.binary())], ["lang", "place", "p"])
             yield out.filter(out.column(2).is_valid())
 
-    got = arrow_map(picked, run, "lang string, place bigint, p binary").collect()
-    got = sorted(got, key=lambda r: (r["place"], r["lang"], bytes(r["p"])))[: 2 * sample]
+    got = sorted(arrow_map(picked, run, "lang string, place bigint, p binary").collect(), key=lambda r: (r["place"], r["lang"], bytes(r["p"])))
     if not got:
         return None
     return fit([np.frombuffer(bytes(r["p"]), np.int32) for r in got], [r["lang"] for r in got])

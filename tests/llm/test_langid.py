@@ -65,3 +65,38 @@ def test_without_a_model_texts_with_letters_stay(spark):
     assert langid.train(d) is None
     kept = langid.accepted(d, langid.train(d))
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 5, 6, 6, 7, 8, 9]
+
+
+def test_the_sample_is_bounded_where_rows_repeat(spark, monkeypatch):
+    seen = []
+    whole = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda places, labels: seen.append(len(places)) or whole(places, labels))
+    rows = [(i, t, lang, "s") for i, (lang, t) in enumerate(list(LINES.items()) * 60)] + [(1, "the same text", "en", "s")] * 500 + [(2, f"text {k}", "en", "s") for k in range(500)]
+    langid.train(docs(spark, rows), sample=30)
+    assert 10 <= seen[0] <= 2 * 30
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(corpus(spark))
+
+
+def test_fewer_landmarks_than_rows_are_the_nystrom_machine():
+    """With landmarks L of rows N: features K_NL K_LL^(-1/2), ridge on all rows, written out with explicit sets."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.permutation(t.split())) + f" {k}" for t in LINES.values() for k in range(12)]
+    labels = [k for k in LINES for _ in range(12)]
+    presence = langid.Presence()
+    sets = [set(presence(t).tolist()) for t in texts]
+    model = langid.fit([presence(t) for t in texts], labels, landmarks=9)
+    chosen = [12 * j + k for k in range(3) for j in sorted(range(3), key=lambda j: sorted(LINES).index(list(LINES)[j]))]
+    k = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    nl = np.array([[k(a, sets[j]) for j in chosen] for a in sets])
+    values, vectors = np.linalg.eigh(nl[chosen])
+    phi = nl @ vectors / np.sqrt(values)
+    y = np.where(np.array(labels)[:, None] == np.array(model.languages)[None, :], 1.0, -1.0)
+    want = phi @ np.linalg.solve(phi.T @ phi + langid.RIDGE * len(texts) * np.eye(9), phi.T @ y)
+    assert np.allclose(model.scores([presence(t) for t in texts]), want, atol=2e-2)

@@ -1,14 +1,8 @@
-"""What the operators of this package share: tables, scratch tables, components.
-
-Scratch tables go to the folder that the cluster names in ``spark.checkpoint.dir``;
-every executor sees it, so a lost executor costs a retry and never a result. Only
-where that setting is absent (tests, notebooks) a folder of our own is chosen.
-"""
+"""What the operators of this package share: tables, batches, bitmaps, components."""
 
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterator
 from contextlib import suppress
 
@@ -18,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.checkpoint import drop, shared_dir, written  # noqa: F401
+
 #: What separates words: the blank and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: rows and bytes of an Arrow batch
@@ -28,23 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, with a fresh sub-folder for the caller."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file:///tmp/checkpoints/kinweave"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/kinweave-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "part") -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends here, tasks can be retried."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """From now on the session's Arrow batches have at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes or one row, so that texts on both sides of a Python worker's pipe stay small."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
@@ -72,12 +51,6 @@ def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
-def drop_tree(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def ascii_lower(col):
     """A-Z only. Pure ASCII strings take the byte-wise built-in."""
     slow = F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -99,7 +72,7 @@ def bitmap(place: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of the values in the one column of ``place``, all below ``bits``; OR-ed in the cluster, so the driver gets ``bits`` at most."""
     v = F.col("v")
     words = place.toDF("v").groupBy(F.shiftright(v, 15).alias("w")).agg(F.bitmap_construct_agg(v.bitwiseAND(32767)).alias("bits"))
-    out = np.zeros(bits // 8, np.uint8)
+    out = np.zeros(-(-bits // 32768) * 4096, np.uint8)
     for r in words.toLocalIterator():
         out[r["w"] * 4096 : (r["w"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
@@ -152,6 +125,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = written(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b"), F.col("a")).where("a <> b")).distinct(), "edges")
     label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "label")
+    last = label
     for _ in range(rounds):
         near = (
             both.join(label, both.b == label.node)
@@ -170,9 +144,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .select("node", F.col("root").alias("was"), F.least("low", "far", "hooked").alias("root"))
         )
         new = written(new, "label")
-        label = new.select("node", "root")
+        drop(last)
+        label, last = new.select("node", "root"), new
         if new.where("was <> root").isEmpty():
             break
     else:
         raise RuntimeError(f"components are not settled after {rounds} rounds")
+    drop(both)
     return label

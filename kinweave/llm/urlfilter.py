@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import ascii_lower, table, written
+from kinweave.llm.common import ascii_lower, bitmap, table, test_bits, written
 
 MAX_BITS = 1 << 27
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -47,7 +47,7 @@ def keys(host: Column, path: Column, labels: int, lengths: Sequence[int]) -> Col
     parts = F.split(host, r"\.", -1)
     n = F.least(F.size(parts), F.lit(labels))
     hosts = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, -i, i), "."))
-    paths = F.filter(F.array(*[F.when(F.length(path) >= k, F.substring(path, 1, k)) for k in lengths]), lambda p: p.isNotNull())
+    paths = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.length(path)), lambda k: F.substring(path, F.lit(1), k))
     both = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
     # the sort is on (length, key), descending
     ranked = F.sort_array(F.transform(both, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))), asc=False)
@@ -65,13 +65,13 @@ def _positions(h1: np.ndarray, h2: np.ndarray, bits: int, hashes: int, level: in
 
 
 class Level:
-    def __init__(self, words: np.ndarray, bits: int, hashes: int, number: int):
-        self.words, self.bits, self.hashes, self.number = words, bits, hashes, number
+    def __init__(self, map_: np.ndarray, bits: int, hashes: int, number: int):
+        self.map, self.bits, self.hashes, self.number = map_, bits, hashes, number
 
     def has(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         ok = np.ones(len(h1), bool)
         for p in _positions(h1, h2, self.bits, self.hashes, self.number):
-            ok &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+            ok &= test_bits(self.map, p.astype(np.int64))
         return ok
 
 
@@ -95,20 +95,16 @@ def _hashed(keys: DataFrame) -> DataFrame:
 
 
 def _level(hashed: DataFrame, n: int, hashes: int, number: int) -> Level:
-    """A Bloom filter of ``n`` hashed keys; words are made in the cluster and OR-ed before they travel."""
+    """A Bloom filter of ``n`` hashed keys; its bits are OR-ed in the cluster, and the driver gets it in pieces of 4 KB."""
     bits = int(min(MAX_BITS, max(64, math.ceil(n * hashes * 1.4427 / 64) * 64)))
 
-    def words(batches: Iterable[pd.DataFrame]):
+    def places(batches: Iterable[pd.DataFrame]):
         for b in batches:
             h1, h2 = b["h1"].to_numpy().view(np.uint64), b["h2"].to_numpy().view(np.uint64)
             for p in _positions(h1, h2, bits, hashes, number):
-                yield pd.DataFrame({"word": (p >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (p & np.uint64(63))).view(np.int64)})
+                yield pd.DataFrame({"place": p.astype(np.int64)})
 
-    got = hashed.mapInPandas(words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).collect()
-    out = np.zeros(bits // 64, np.uint64)
-    for r in got:
-        out[r["word"]] = np.int64(r["bit"]).astype(np.uint64)
-    return Level(out, bits, hashes, number)
+    return Level(bitmap(hashed.mapInPandas(places, "place bigint"), bits), bits, hashes, number)
 
 
 def build(listed: DataFrame, universe: DataFrame, max_levels: int = 64) -> Cascade:
@@ -136,15 +132,17 @@ def build(listed: DataFrame, universe: DataFrame, max_levels: int = 64) -> Casca
     return Cascade(levels)
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """page_id, host, path, rule and verdict for every row."""
+def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+    """page_id, host, path, rule and verdict for every row. ``rules``: verdict, host, path; a list that is too long for the driver is a table."""
     spark = pages.sparkSession
-    lengths = sorted({len(p) for _, _, p in rules}) or [1]
-    labels = max([h.count(".") + 1 for _, h, _ in rules] or [1])
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect()) or [1]  # no more than a path has characters
+    labels = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 1
     parts = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     keyed = parts.withColumn("keys", keys(F.col("host"), F.col("path"), labels, lengths))
     universe = written(keyed.select(F.explode("keys").alias("key")).distinct(), "keys")
-    lists = [spark.createDataFrame([(h + p,) for v, h, p in rules if v == verdict] or [], "key string") for verdict in ("block", "allow")]
+    lists = [rules.where(F.col("verdict") == verdict).select(F.concat("host", "path").alias("key")) for verdict in ("block", "allow")]
     cascades = spark.sparkContext.broadcast([build(x, universe) for x in lists])
 
     @F.pandas_udf("int")

@@ -50,3 +50,11 @@ def test_cascade_is_exact_over_its_universe(spark):
 def test_empty(spark):
     assert U.judge(pages(spark, ["a"]).limit(0), U.RULES).collect() == []
     assert [r.verdict for r in U.judge(pages(spark, ["http://a/"]), []).collect()] == ["allow"]
+
+
+def test_rules_may_be_a_table(spark):
+    urls = ["http://a.net/es/1", "http://net/", "http://x.com/es/", "http://y/", None]
+    table = spark.createDataFrame(U.RULES, "verdict string, host string, path string")
+    rows = lambda rules: sorted(map(str, U.judge(pages(spark, urls), rules).collect()))
+    assert rows(table) == rows(U.RULES)
+    assert rows(table.limit(0)) == rows([])

@@ -45,3 +45,40 @@ def test_flat_arrays_come_back():
     g = hnsw.Graph.build(np.arange(300), rng.normal(size=(300, 8)))
     h = hnsw.Graph.of(g.row(), 8)
     assert g.search(g.vectors[7], -1, 10, 60) == h.search(h.vectors[7], -1, 10, 60)
+
+
+def recall(g, x, queries, beam=100):
+    ids = np.arange(len(x))
+    hits = 0
+    for q, got in zip(queries, g.search_all(x[queries], np.array(queries), 10, beam)):
+        hits += len({i for i, _ in exact(ids, x, q, x[q])} & {i for _, i in got})
+    return hits / 10 / len(queries)
+
+
+def test_insertion_makes_the_graph(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 12))
+    queries = list(range(0, 2000, 40))
+    g = hnsw.Graph.build(np.arange(2000), x)
+    assert len(g.sizes) > 1 and recall(g, g.vectors[np.argsort(g.ids)], queries) > 0.97
+    for level, links in enumerate(g.links):
+        assert links.max() < g.sizes[level] and len(links) == g.sizes[level]
+        assert all(len(set(r[r >= 0])) == (r >= 0).sum() and i not in r for i, r in enumerate(links))
+    monkeypatch.setattr(hnsw.Graph, "_answer", lambda self, links, out, lo: None)  # without links back the first nodes lead nowhere
+    one_way = hnsw.Graph.build(np.arange(2000), x)
+    assert recall(one_way, x, queries) < 0.5
+
+
+def test_values_of_any_size(spark):
+    rows = [(100, [1e300, 0.0]), (1, [-1e300, 0.0]), (2, [1e-300, 1e300]), (3, [1e308, 1e308]), (200, [1e-5, 0.0])]
+    df = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA.replace("float", "double"))
+    got = hnsw.neighbours(df, df.where("vec_id % 100 = 0")).where("query_id = 100").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [200, 2, 1, 3] and all(np.isfinite(r.score) for r in got)
+    assert got[2].score == 2e300
+
+
+def test_a_repeated_id_with_another_vector_is_another_query(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    df = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA)
+    got = sorted((r.rank, r.vec_id) for r in hnsw.neighbours(df, df.where("vec_id % 100 = 0")).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2)]

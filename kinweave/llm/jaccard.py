@@ -15,16 +15,21 @@ of its parts any linked set has too, at least (``need``).
    set: equal sets are one class) and the parts. Shingles are not kept.
 2. Groups: parts that one class has are dropped, then classes with fewer shared parts
    than their need. A part that several classes have points to its smallest class, the
-   leader; a class belongs to the group of its smallest leader. All are pre-aggregated.
-3. Star: shingle sets are made again for the classes with a shared part only, and each
-   class is compared with its leaders. Most copies are connected after this step, in
-   work linear in the size of a group.
-4. Matrix: for parts whose classes are not all connected, groups are cut into blocks of
-   at most ``BLOCK`` classes; the matrix holds (part, block) where any class of the block
-   has the part: the block's union. A query class bounds its overlap with a block by
-   the number of its parts in the union, and opens only blocks that reach what a linked
-   set would have. In an open block all comparisons are one matrix product; the task
-   gives one edge for each query and component, never all pairs.
+   leader; a class belongs to the group of its smallest leader, whose name the group has.
+   All are pre-aggregated.
+3. Matrix: it holds (part, group) where any class of the group has the part: the group's
+   token union. A query class bounds its overlap with a group by the number of its parts
+   in the union, and opens only groups that reach what a linked set would have. Shingle
+   sets are made again for the classes of opened groups only.
+4. Opening a group begins with its leader: the query is compared with that one class.
+   Most copies are connected then, in work linear in the size of a group. Of what is left,
+   parts whose classes are not all connected, groups are cut into blocks of at most
+   ``BLOCK`` classes with unions of their own; queries are bounded by them in the same
+   way, and in an open block all comparisons are one matrix product; the task gives one
+   edge for each query and component, never all pairs.
+
+A class is known by 64 bits of its digest; where two sets share those, the other 64 bits
+tell them apart and name them anew, so that classes are equal sets up to 128 bits.
 
 Input cases. Null text and text without words have the empty set, size 0, link with
 nothing and are their own component. With fewer words than n the whole sequence is the
@@ -43,13 +48,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow_map, bitmap, components, fresh, table, test_bits, written
+from kinweave.llm.common import arrow_map, bit_table, bitmap, bits_for, components, drop, fresh, table, test_bits, with_bit, written
 
 BLOCK = 1024
 #: shingles of a block, and of the queries that meet it in one task
 TOKENS = 1_000_000
 #: columns of a dense product
 COLUMNS = 4096
+#: words whose hashes a worker keeps, and classes that it knows to have given already
+HASHES, SEEN = 50_000, 100_000
 #: bits of the filter that picks the documents whose shingles are made again, 8 MiB
 FILTER_BITS = 1 << 26
 
@@ -66,7 +73,7 @@ class _Hashes(dict):
     """word -> hash, for the words met so far; emptied when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 50_000:
+        if len(self) > HASHES:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) < 64:
@@ -132,8 +139,10 @@ def parts(s: np.ndarray, levels: Levels) -> tuple[np.ndarray, int]:
     return np.concatenate(out), max(1, need)
 
 
-def set_class(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63)
+def set_class(s: np.ndarray) -> tuple[int, int]:
+    """The two halves of the set's digest."""
+    d = xxhash.xxh3_128_intdigest(s.tobytes(), seed=len(s))
+    return (d & (1 << 64) - 1) - (1 << 63), (d >> 64) - (1 << 63)
 
 
 def _as_bytes(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
@@ -141,18 +150,19 @@ def _as_bytes(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
 
 
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, digest of the text, size, class (null for the empty set), parts, how many of them a linked set has at least."""
+    """doc_id, digest of the text, size, class and check (two halves of the set's digest, null for the empty set), parts, how many of them a linked set has at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, levels = _Hashes(), Levels(percent)
-        seen: set[int] = set()  # classes whose parts this task has given already
+        seen: set[tuple[int, int]] = set()  # classes whose parts this task has given already
         for b in batches:
-            size, cls, own, need = [], [], [], []
+            size, cls, check, own, need = [], [], [], [], []
             for t in _as_bytes(b, 1):
                 s = shingles(t, n, hashes)
                 c = set_class(s) if len(s) else None
                 size.append(len(s))
-                cls.append(c)
+                cls.append(c and c[0])
+                check.append(c and c[1])
                 if c is None or c in seen:
                     own.append(None)
                     need.append(None)
@@ -160,15 +170,22 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     p, k = parts(s, levels)
                     own.append(p.view(np.int64))
                     need.append(k)
-                    if len(seen) < 1_000_000:
+                    if len(seen) < SEEN:
                         seen.add(c)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(need, pa.int64())],
-                ["doc_id", "digest", "size", "cls", "parts", "need"],
-            )
+            long = [pa.array(x, pa.int64()) for x in (size, cls, check)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *long, pa.array(own, pa.list_(pa.int64())), pa.array(need, pa.int64())], names)
+
+    names = ["doc_id", "digest", "size", "cls", "check", "parts", "need"]
+    kinds = [docs.schema["doc_id"].dataType.simpleString(), *["bigint"] * 4, "array<bigint>", "bigint"]
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")), run, ", ".join(map(" ".join, zip(names, kinds, strict=True))))
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")), run, f"doc_id {kind}, digest bigint, size bigint, cls bigint, parts array<bigint>, need bigint")
+def _apart(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """``rows`` with sets that share a class (``shared`` has it) named anew by both halves."""
+    if shared is None:
+        return rows
+    met = rows.join(shared.withColumn("met", F.lit(True)), "cls", "left")
+    return met.withColumn("cls", F.when(F.col("met"), F.xxhash64("cls", "check")).otherwise(F.col("cls"))).drop("met")
 
 
 def _posts(sets: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -188,7 +205,7 @@ def _posts(sets: DataFrame, leaders: DataFrame) -> DataFrame:
 
 
 def _shingled(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cls, s (sorted shingles as bytes) of the documents that ``wanted`` (doc_id) holds, and of a few that its filter lets pass."""
+    """cls, check, s (sorted shingles as bytes) of the documents that ``wanted`` (doc_id) holds, and of a few that its filter lets pass."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))), FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +218,16 @@ def _shingled(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 s = shingles(t, n, hashes)
                 if not len(s) or (c := set_class(s)) in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < SEEN:
                     seen.add(c)
                 cls.append(c)
                 own.append(s.tobytes())
             if cls:
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(own, pa.binary())], ["cls", "s"])
+                halves = [pa.array(x, pa.int64()) for x in zip(*cls, strict=True)]
+                yield pa.RecordBatch.from_arrays([*halves, pa.array(own, pa.binary())], ["cls", "check", "s"])
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at")
-    return arrow_map(docs.select("doc_id", "text", place), run, "cls bigint, s binary")
+    return arrow_map(docs.select("doc_id", "text", place), run, "cls bigint, check bigint, s binary")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -220,7 +238,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _star(pairs: DataFrame, percent: int) -> DataFrame:
+def _with_leader(pairs: DataFrame, percent: int) -> DataFrame:
     """The linked ones of (a, b, s of a, t of b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,41 +300,64 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return _components(docs, n, percent).select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
-def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, digest, size, first for every row: ``first`` is the component's smallest (id is null, doc_id, digest), null for the empty set."""
-    levels = Levels(percent)
-    sets = written(_sets(docs, n, percent), "sets")
-    classes = written(
-        sets.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("rep"), F.max("size").alias("size"), F.max("need").alias("need")), "classes"
-    )
+def _groups(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, part, home of the classes that share as many parts as a linked set would: each in the group of one leader."""
     posts = sets.where("parts is not null").select("cls", F.explode("parts").alias("part"))
     several = lambda df: df.groupBy("part").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("part", "leader")
     leaders = written(several(posts), "leaders")
     shared = written(_posts(sets, leaders).join(leaders.select("part"), "part").distinct(), "shared")
     # the whole corpus as one group: a class with fewer shared parts than a linked set has links with nothing
     alive = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).join(classes, "cls").where("n >= need").select("cls")
-    shared = written(shared.join(alive, "cls"), "alive")
-    shared = written(shared.join(several(shared), "part"), "led")
-
-    star = shared.where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()
-    near = written(shared.groupBy("cls").agg(F.min("leader").alias("home")), "near")
-    wanted = near.join(classes, "cls").select("rep.doc_id")
-    made = written(_shingled(docs, wanted, n).join(near, "cls", "left_semi").groupBy("cls").agg(F.first("s").alias("s")), "shingles")
-    with_sets = star.join(made.withColumnRenamed("cls", "a"), "a").join(made.select(F.col("cls").alias("b"), F.col("s").alias("t")), "b")
-    edges = written(_star(with_sets.select("a", "b", "s", "t"), percent), "star")
-    roots = components(edges)
-
-    # what the star left open
+    kept = written(shared.join(alive, "cls"), "alive")
+    drop(leaders, shared)
+    home = kept.join(several(kept), "part").groupBy("cls").agg(F.min("leader").alias("home"))
+    out = written(kept.join(home, "cls"), "homes")
+    drop(kept)
+    return out
+
+
+def _qualifying(posts: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, home: the groups that a class opens, by the bound of its overlap with their unions. ``posts``: cls, part, home."""
+    matrix = posts.select("part", "home").distinct()
+    bound = posts.select("cls", "part").join(matrix, "part").groupBy("cls", "home").agg(F.count(F.lit(1)).alias("overlap"))
+    return bound.join(classes.select("cls", "need"), "cls").where("overlap >= need").select("cls", "home")
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, digest, size, first for every row: ``first`` is the component's smallest (id is null, doc_id, digest), null for the empty set."""
+    sets = written(_sets(docs, n, percent), "sets")
+    alike = sets.where("cls is not null").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("cls")
+    alike = written(alike, "alike")
+    alike = None if alike.isEmpty() else alike
+    sets = _apart(sets, alike)
+    classes = written(
+        sets.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("rep"), F.max("size").alias("size"), F.max("need").alias("need")), "classes"
+    )
+    posts = _groups(sets, classes)
+    opened = written(_qualifying(posts, classes).where("cls <> home"), "qualifying")
+    # linked classes have both opened the group of one of them, so no other class has a link
+    asked = written(opened.select("cls").union(opened.select("home")).distinct(), "asked")
+    wanted = asked.join(classes, "cls").select("rep.doc_id")
+    made = _apart(_shingled(docs, wanted, n), alike).join(asked, "cls", "left_semi")
+    made = written(made.groupBy("cls").agg(F.first("s").alias("s")), "shingles")
+
+    leaders = made.select(F.col("cls").alias("home"), F.col("s").alias("t"))
+    pairs = opened.join(made, "cls").join(leaders, "home").select(F.col("cls").alias("a"), F.col("home").alias("b"), "s", "t")
+    linked = written(_with_leader(pairs, percent), "with_leader")
+    roots = components(linked)
+
+    # what the leaders left open
+    near = posts.select("cls", "home").distinct().join(asked, "cls", "left_semi")
     rooted = near.join(roots, near.cls == roots.node, "left").select("cls", "home", F.coalesce("root", "cls").alias("root"))
     rooted = written(rooted.join(classes.select("cls", "size", "need"), "cls"), "rooted")
-    post = shared.select("part", "cls").join(rooted, "cls")
+    post = posts.select("part", "cls").join(rooted, "cls")
     mixed = post.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("part")
     post = written(post.join(mixed, "part"), "open")
     members = post.select("cls", "home", "size").distinct().groupBy("home").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("tokens"))
     blocks = members.select("home", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens") / TOKENS)).alias("blocks"))
     member = rooted.join(post.select("cls").distinct(), "cls").join(blocks, "home")
     member = written(member.withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.col("blocks")))), "members")
-    # the matrix: a block's union of parts, with the roots and sizes behind each part
+    # the blocks' matrix has the roots and sizes behind each part, too
     matrix = (
         post.select("part", "cls")
         .join(member.select("cls", "block", "root", "size"), "cls")
@@ -340,9 +381,15 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "cls", "root"
     )
     more = written(_opened(asks.union(held).join(made, "cls"), percent), "more")
-
-    last = components(edges.union(more))
-    named = classes.join(last, classes.cls == last.node, "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
+    drop(posts, opened, asked, made, linked, post, member, open_)
+
+    # the new edges connect the roots found so far
+    last = rooted.select("cls", "root")
+    if not more.isEmpty():
+        own = lambda c, to: rooted.select(F.col("cls").alias(c), F.col("root").alias(to))
+        joined = components(more.join(own("a", "x"), "a").join(own("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        last = last.join(joined.select(F.col("node").alias("root"), F.col("root").alias("final")), "root", "left").select("cls", F.coalesce("final", "root").alias("root"))
+    named = classes.select("cls", "rep").join(last, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     names = named.groupBy("root").agg(F.min("rep").alias("first"))
     named = named.join(names, "root").select("cls", "first")
     return sets.join(named, "cls", "left").select("doc_id", "digest", "size", "first")
@@ -355,11 +402,15 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     with the smallest digest of its text stays. Rows that repeat id and text stay or go together.
     """
     found = _components(docs, n, percent)
-    own, left, right = fresh(docs, "own", "id", "digest")
+    own, left, right, maybe = fresh(docs, "own", "id", "digest", "maybe")
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    gone = found.where(F.col("first").isNotNull() & ~first).select(F.col("doc_id").alias(left), F.col("digest").alias(right)).distinct()
-    out = docs.withColumn(own, F.xxhash64("text"))
-    return out.join(gone, F.col("doc_id").eqNullSafe(F.col(left)) & (F.col(own) == F.col(right)), "left_anti").drop(own)
+    gone = written(found.where(F.col("first").isNotNull() & ~first).select(F.col("doc_id").alias(left), F.col("digest").alias(right)).distinct(), "gone")
+    # rows that a bitmap of those that go doesn't know stay without a join
+    bits = bits_for(gone.count())
+    place = lambda i, d: F.pmod(F.xxhash64(i, d), F.lit(bits))
+    tested = with_bit(docs.withColumn(own, F.xxhash64("text")), place("doc_id", own), bit_table(gone.select(place(left, right)), bits), maybe)
+    stay = tested.where(maybe).join(gone, F.col("doc_id").eqNullSafe(F.col(left)) & (F.col(own) == F.col(right)), "left_anti")
+    return tested.where(~F.col(maybe)).select(docs.columns).unionByName(stay.select(docs.columns))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,30 @@ def test_repeated_and_null_ids(spark):
     texts = sorted((r.doc_id or 0, r.text[:8]) for r in kept)
     assert texts == [(0, "another "), (0, "v z0 z1 "), (1, "w0 w1 w2"), (2, "a text o")]
     assert sorted(map(str, kept)) == sorted(map(str, jaccard.one_of_each(d.repartition(3), 4, 80).collect()))
+
+
+def test_links_come_through_the_matrix(spark, monkeypatch):
+    rows = family(4, bases=4, copies=12)
+    d = docs(spark, [(i, t, "", "") for i, t in rows])
+    found = lambda: {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_components(d, 4, 85).collect()}
+    want = brute(rows, 4, 85)
+    assert found() == want and any(c != i for i, (_, c) in want.items())
+    opened = jaccard._qualifying
+    monkeypatch.setattr(jaccard, "_qualifying", lambda posts, classes: opened(posts, classes).limit(0))
+    got = found()  # with no group opened, only equal sets are together
+    texts = {i: tuple(t.split()) for i, t in rows}
+    assert all(c == min(j for j in texts if texts[j] == texts[i]) for i, (_, c) in got.items()) and got != want
+
+
+def test_sets_that_share_half_a_digest_are_classes_of_their_own(spark, monkeypatch):
+    whole = jaccard.set_class
+    monkeypatch.setattr(jaccard, "set_class", lambda s: (whole(s)[0] % 5, whole(s)[1]))
+    monkeypatch.setattr(jaccard, "arrow_map", lambda df, run, schema: df.sparkSession.createDataFrame(
+        [r for t in run([_batch(df)]) for r in zip(*[c.to_pylist() for c in t.columns])], schema))
+    rows = family(6, bases=5, copies=8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_components(docs(spark, [(i, t, "", "") for i, t in rows]), 4, 85).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+def _batch(df):
+    return df.toArrow().combine_chunks().to_batches()[0] if df.count() else df.toArrow().to_batches()[0]

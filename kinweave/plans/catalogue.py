@@ -127,8 +127,7 @@ def _normal_profile(profile: str) -> Query:
 
 for _p in ("v2", "production", "turbo", "v5", "train"):
     QUERIES[f"er_rich_records_{_p}"] = _normal_profile(_p)
-    if _p != "turbo":  # its texts keep accents, beside which RE2 sees word boundaries
-        ORACLE[f"er_rich_records_{_p}"] = sql.query(sql.rich(_p))
+    ORACLE[f"er_rich_records_{_p}"] = sql.query(sql.rich(_p) if _p != "turbo" else sql.RICH_TURBO)
 
 
 # ---- blocking ----
@@ -175,7 +174,8 @@ def _gated(profile: str) -> Query:
 
 
 for _p in ("v2", "v3", "v4", "production", "turbo", "v5", "champion", "refined"):
-    QUERIES[f"er_gated_candidates_{_p}"] = _gated(_p)
+    _records = {"v3": "v2", "v4": "v2", "refined": "champion"}.get(_p, _p)  # profiles with the same records
+    register(f"er_gated_candidates_{_p}", sql.gated(_records, blocking.GATES[PROFILES[_p].gate]))(_gated(_p))
 
 
 # ---- features ----

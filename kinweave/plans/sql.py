@@ -24,7 +24,10 @@ def query(select: str) -> str:
                 need.append(name)
 
     visit(select)
-    return ("WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in need) + "\n" if need else "") + select
+    own = ",\n".join(f"{n} AS ({CTES[n]})" for n in need)
+    if need and select.startswith("WITH "):
+        return f"WITH {own},\n{select[5:]}"
+    return (f"WITH {own}\n" if need else "") + select
 
 
 def lit(s: str) -> str:
@@ -212,3 +215,108 @@ def rich(profile: str) -> str:
     return f"""SELECT entity_id, norm_name, norm_addr, core_brand, {geo} AS geo, replace({"core_brand" if new else "norm_name"}, ' ', '') AS no_space,
   {joined(nums)} AS nums, {joined(tokens)} AS addr_tokens
 FROM (SELECT *, {kept} AS core_brand FROM (SELECT entity_id, country, business_address AS raw_addr, {normal(_N)} AS norm_name, {normal(_A)} AS norm_addr FROM ent))"""
+
+
+def in_order(expr: str) -> str:
+    """Distinct elements in the order of their first place."""
+    return f"list_filter({expr}, lambda x, i: list_position({expr}, x) = i)"
+
+
+_NUMERALS = "regexp_extract_all(raw_addr, '\\d+')"
+#: letters of the data beyond ASCII: for RE2, whose boundaries know ASCII only, each is spelt out as a run of ASCII letters
+LETTERS = "àâäãáçéèêëíîïñóôöõúùûüß"
+
+
+def spelt(expr: str, back: bool = False) -> str:
+    for i, c in enumerate(LETTERS):
+        code = "zqx" + chr(97 + i) + "xqz"
+        expr = f"replace({expr}, '{code}', '{c}')" if back else f"replace({expr}, '{c}', '{code}')"
+    return expr
+
+
+def with_rules(expr: str, rules) -> str:
+    expr = spelt(expr)
+    for pattern, to in rules:
+        expr = f"regexp_replace({expr}, {lit(pattern)}, {lit(to)}, 'g')"
+    return spelt(expr, back=True)
+
+
+def _columnar(expr: str, address: bool) -> str:
+    s = f"replace(lower({expr}), '&', ' and ')"
+    s = f"trim(regexp_replace({s}, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', ' ', 'g'))"
+    return f"CASE WHEN country = 'France' THEN {with_rules(s, X.FRANCE)} ELSE {with_rules(s, X.US_INDIA)} END" if address else s
+
+
+def rich_rows(profile: str) -> str:
+    """The rich records of a profile with their lists: entity_id, country, texts, geo, nums, raw_nums, addr_tokens, stems, flags."""
+    if profile == "champion":
+        return f"SELECT entity_id, trim(country) AS country, norm_name, norm_addr, core_brand, geo, no_space, nums, {in_order(_NUMERALS)} AS raw_nums, addr_tokens, {in_order('stems')} AS stems, is_addr_empty FROM rich"
+    new = profile == "v5"
+    if profile == "turbo":
+        name, addr = _columnar("business_name", False), _columnar("business_address", True)
+    else:
+        rules = {"production": (X.FRANCE, [*X.INDIA, *X.INDIA_STATE_NAMES], X.US), "v5": (X.FRANCE, X.INDIA, X.US)}.get(profile, (X.FRANCE, X.US_INDIA, X.US_INDIA))
+        normal = lambda e: "CASE country " + " ".join(f"WHEN '{c}' THEN {cleaner(e, r)}" for c, r in zip(("France", "India"), rules, strict=False)) + f" ELSE {cleaner(e, rules[2])} END"
+        name, addr = normal(_N), normal(_A)
+    b = chr(92) + "b"
+    if profile in ("production", "turbo", "v5"):
+        patterns = [(f"{b}({'|'.join(X.LEGAL_WORDS if new else X.TRADE_WORDS)}){b}", " ")]
+    else:
+        patterns = [(p, " ") for p in X.SUFFIX_PATTERNS]
+    brand = f"trim(regexp_replace({with_rules('norm_name', patterns)}, ' +', ' ', 'g'))"
+    last = f"coalesce(upper(list_filter(list_reverse({words('norm_addr')}), lambda t: t IN {_STATES})[1]), '')"
+    first = f"coalesce(list_filter({words('norm_addr')}, lambda t: t IN {_STATES})[1], '')"
+    geo = first
+    if new:
+        france = "WHEN country = 'France' THEN regexp_extract(replace(raw_addr, 'ß', 'z'), '\\b(\\d{5})\\b', 1)[1:2]"
+        geo = f"CASE WHEN norm_addr = '' THEN '' WHEN country = 'US' THEN {last} WHEN country = 'India' THEN {_INDIA} {france} ELSE '' END"
+    long, stop = (4, X.STOP_ADDRESS_LONG) if new else (3, X.STOP_ADDRESS)
+    tokens = f"list_filter({words('norm_addr')}, lambda t: length(t) >= {long} AND NOT regexp_full_match(t, '\\d+') AND t NOT IN {one_of(stop)})"
+    stems = f"list_filter({words('core_brand')}, lambda t: length(t) >= 2)"
+    whole = f"regexp_extract_all({spelt('norm_addr' if profile == 'turbo' else 'raw_addr')}, '\\b\\d+\\b')"
+    nums = {
+        "production": f"list_transform(list_filter(list_transform({whole}, lambda x: try_cast(x AS BIGINT)), lambda x: x < 100000000), lambda x: CAST(x AS VARCHAR))",
+        "v5": "list_filter(list_transform(regexp_extract_all(raw_addr, '\\d+'), lambda x: ltrim(x, '0')), lambda x: x <> '' AND length(x) <= 8)",
+    }.get(profile, f"list_transform({whole}, lambda x: regexp_replace(x, '^0+(.)', '\\1'))")
+    empty = f"norm_addr IN {one_of(X.NULL_ADDRESSES)}" if new else "norm_addr = ''"
+    return f"""SELECT entity_id, country, norm_name, norm_addr, core_brand, geo, no_space, nums, {in_order("raw_all")} AS raw_nums, addr_tokens, {in_order("all_stems")} AS stems, is_addr_empty
+FROM (SELECT *, {geo} AS geo, replace({"core_brand" if new else "norm_name"}, ' ', '') AS no_space, {nums} AS nums, {_NUMERALS} AS raw_all, {tokens} AS addr_tokens, {stems} AS all_stems, {empty} AS is_addr_empty
+FROM (SELECT *, CASE WHEN {brand} = '' THEN norm_name ELSE {brand} END AS core_brand
+FROM (SELECT entity_id, trim(country) AS country, business_address AS raw_addr, {name} AS norm_name, {addr} AS norm_addr FROM ent)))"""
+
+
+for _profile in ("v2", "production", "turbo", "v5", "champion"):
+    cte(f"rows_{_profile}", rich_rows(_profile))
+
+
+def gated(records: str, g) -> str:
+    """The candidates of a gate over the rich records of a profile."""
+    region = "CASE WHEN geo <> '' THEN list_transform(raw_nums, lambda n: {'kind': 'numgeo', 'key': n || '|' || geo}) ELSE [] END" if g.geo_numbers else "[]"
+    limit = lambda most: f"CASE WHEN p.n <= {most} THEN true WHEN a.geo <> '' THEN p.geo = a.geo AND p.n_geo <= {g.geo} ELSE p.n_any <= {g.any} END"
+    used = "" if g.no_space_query else "WHERE kind <> 'stem' OR place IS NOT NULL"
+    chosen = "SELECT DISTINCT s1_id, t_id FROM stem_hits"
+    if g.stop:
+        chosen = f"""SELECT f.s1_id, f.t_id FROM first_hits f JOIN (SELECT s1_id, step, coalesce(sum(n) OVER (PARTITION BY s1_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT s1_id, step, count(*) AS n FROM first_hits GROUP BY s1_id, step)) u ON u.s1_id = f.s1_id AND u.step = f.step WHERE before < {g.stop}"""
+    prefix = ""
+    if g.prefix:
+        prefix = f"""UNION SELECT a.id, p.id FROM asks a JOIN posts p USING (country, kind, key) WHERE kind = 'pfx' AND {limit(g.prefix_take)}
+  AND a.id NOT IN (SELECT s1_id FROM chosen GROUP BY s1_id HAVING count(*) >= {g.prefix})"""
+    return f"""WITH post0 AS (SELECT entity_id AS id, country, geo, stems, unnest(list_distinct(list_concat(list_concat(list_concat(
+    list_transform(stems, lambda s: {{'kind': 'stem', 'key': s}}), list_transform(list_filter(stems[1:1], lambda s: length(s) >= 4), lambda s: {{'kind': 'pfx', 'key': s[1:4]}})),
+    list_concat(CASE WHEN length(no_space) >= 5 THEN [{{'kind': 'stem', 'key': no_space}}] ELSE [] END,
+      flatten(list_transform(raw_nums, lambda n: list_transform(addr_tokens[1:{g.address_words}], lambda w: {{'kind': 'num', 'key': n || '|' || w}}))))),
+    list_concat(list_transform(list_filter(raw_nums, lambda n: length(n) >= 5), lambda n: {{'kind': 'pin', 'key': n}}), {region})))) AS k FROM rows_{records}),
+  post AS (SELECT id, country, geo, stems, k.kind AS kind, k.key AS key FROM post0),
+  posts AS (SELECT *, count(*) OVER (PARTITION BY country, kind, key) AS n, row_number() OVER (PARTITION BY country, kind, key ORDER BY id) AS n_any,
+    row_number() OVER (PARTITION BY country, kind, key, geo ORDER BY id) AS n_geo FROM post WHERE id NOT LIKE 'S1-%'),
+  asks AS (SELECT * FROM (SELECT *, CASE WHEN kind = 'stem' THEN list_position(stems, key) END AS place FROM post WHERE id LIKE 'S1-%') {used}),
+  stem_hits AS (SELECT a.id AS s1_id, p.id AS t_id, p.n, coalesce(a.place, 1 << 20) AS place FROM asks a JOIN posts p USING (country, kind, key) WHERE kind = 'stem' AND {limit(g.take)}),
+  first_hits AS (SELECT s1_id, t_id, min(step) AS step FROM (SELECT *, dense_rank() OVER (PARTITION BY s1_id ORDER BY n, place) AS step FROM stem_hits) GROUP BY s1_id, t_id),
+  chosen AS ({chosen})
+SELECT s1_id, t_id FROM chosen {prefix}
+UNION SELECT a.id, p.id FROM asks a JOIN posts p USING (country, kind, key) WHERE kind IN ('num', 'pin', 'numgeo') AND p.n <= {g.numbers}"""
+
+
+_JOINED = "array_to_string(list_sort(list_distinct({0})), ' ') AS {0}"
+RICH_TURBO = f"SELECT entity_id, norm_name, norm_addr, core_brand, geo, no_space, {_JOINED.format('nums')}, {_JOINED.format('addr_tokens')} FROM rows_turbo"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.checkpoint import written
-
+from kinweave.graph import components
 
 
 def source_of(t_id: str = "t_id") -> Column:
@@ -82,62 +82,71 @@ def grid_sweep(scored: DataFrame, truth: DataFrame, s1: DataFrame, minimums: Seq
     return macro_by(every, pred, truth, ["min_score", "margin", "cap"])
 
 
-def unique_assignment(scored: DataFrame, min_score: float = 0.85, margin: float = 0.08, cap: int = 3, rounds: int = 50) -> DataFrame:
+def unique_assignment(scored: DataFrame, min_score: float = 0.85, margin: float = 0.08, cap: int = 3, rounds: int = 50, by: Sequence[str] = ()) -> DataFrame:
     """Every target goes to one s1 at most (L-5): the greedy over (score desc, s1, t), in rounds.
 
     An edge that is first among the open ones of both its s1 and its target is decided as
     the greedy would: accepted if it is within ``margin`` of the s1's first free edge and
     the source's cap isn't reached. Rounds decide all such edges at once; each ends in a
     written table. Chains longer than ``rounds`` are finished by the sequential rule inside
-    their connected component, which is what is left of the graph by then.
+    their connected component, which is what is left of the graph by then; components of
+    more than ``SEQUENTIAL`` edges go on in rounds, so no task holds more than that.
+    ``by`` names columns whose values are settings of their own: each is assigned by itself.
     """
+    by = list(by)
     order = [F.desc("score"), F.asc("s1_id"), F.asc("t_id")]
-    open_ = written(scored.where(F.col("score") >= min_score).select("s1_id", "t_id", "score", source_of().alias("source")).distinct())
+    open_ = written(scored.where(F.col("score") >= min_score).select(*by, "s1_id", "t_id", "score", source_of().alias("source")).distinct())
     spark = scored.sparkSession
-    state = spark.createDataFrame([], "s1_id string, best double, n2 int, n3 int")
-    done = []
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
-        by_s1, by_t = Window.partitionBy("s1_id").orderBy(*order), Window.partitionBy("t_id").orderBy(*order)
+    state = spark.createDataFrame([], open_.select(*by, "s1_id", F.col("score").alias("best"), F.lit(0).alias("n2"), F.lit(0).alias("n3")).schema)
+    done, left = [], rounds
+    while not open_.isEmpty():
+        if not left:
+            small, open_ = _apart(open_, by)
+            done.append(_finish(small, state, margin, cap, by))
+            left = rounds
+            continue
+        left -= 1
+        by_s1, by_t = Window.partitionBy(*by, "s1_id").orderBy(*order), Window.partitionBy(*by, "t_id").orderBy(*order)
         ranked = open_.withColumn("r1", F.row_number().over(by_s1)).withColumn("r2", F.row_number().over(by_t))
-        head = ranked.where("r1 = 1 AND r2 = 1").join(state, "s1_id", "left")
+        head = ranked.where("r1 = 1 AND r2 = 1").join(state, [*by, "s1_id"], "left")
         n = F.when(F.col("source") == "S2", F.coalesce("n2", F.lit(0))).otherwise(F.coalesce("n3", F.lit(0)))
         best = F.coalesce("best", "score")
         ok = (best - F.col("score") <= margin) & (n < cap) & F.col("source").isin("S2", "S3")
-        head = written(head.select("s1_id", "t_id", "score", "source", best.alias("best"), ok.alias("ok"), "n2", "n3"))
-        done.append(head.where("ok").select("s1_id", "t_id", "score"))
+        head = written(head.select(*by, "s1_id", "t_id", "score", "source", best.alias("best"), ok.alias("ok"), "n2", "n3"))
+        done.append(head.where("ok").select(*by, "s1_id", "t_id", "score"))
         add = lambda s: (F.coalesce(f"n{s[1]}", F.lit(0)) + (F.col("ok") & (F.col("source") == s)).cast("int")).cast("int")
-        news = head.select("s1_id", "best", add("S2").alias("n2"), add("S3").alias("n3"))
-        state = written(state.join(news, "s1_id", "left_anti").unionByName(news))
-        taken = head.where("ok").select("t_id")
-        open_ = written(open_.join(head, ["s1_id", "t_id"], "left_anti").join(taken, "t_id", "left_anti"))
-    else:
-        if not open_.isEmpty():
-            done.append(_finish(open_, state, margin, cap))
-    out = done[0] if done else scored.select("s1_id", "t_id", "score").limit(0)
+        news = head.select(*by, "s1_id", "best", add("S2").alias("n2"), add("S3").alias("n3"))
+        state = written(state.join(news, [*by, "s1_id"], "left_anti").unionByName(news))
+        taken = head.where("ok").select(*by, "t_id")
+        open_ = written(open_.join(head, [*by, "s1_id", "t_id"], "left_anti").join(taken, [*by, "t_id"], "left_anti"))
+    out = done[0] if done else scored.select(*by, "s1_id", "t_id", "score").limit(0)
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
-def _finish(open_: DataFrame, state: DataFrame, margin: float, cap: int) -> DataFrame:
+#: edges of a component that one task may walk
+SEQUENTIAL = 1_000_000
+
+
+def _apart(open_: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The edges of components that a task may hold, with ``root``, and the others."""
+    node = lambda kind, c: F.concat_ws("\t", F.lit(kind), *[F.col(x).cast("string") for x in by], c)
+    named = open_.withColumn("_s", node("s", "s1_id"))
+    roots = components(named.select(F.col("_s").alias("a"), node("t", "t_id").alias("b")))
+    named = written(named.join(roots, named["_s"] == roots["node"]).drop("_s", "node"))
+    large = named.groupBy("root").count().where(F.col("count") > SEQUENTIAL).select("root")
+    return named.join(large, "root", "left_anti"), written(named.join(large, "root", "left_semi").drop("root"))
+
+
+def _finish(edges: DataFrame, state: DataFrame, margin: float, cap: int, by: list[str]) -> DataFrame:
     """The sequential greedy inside each connected component of the open edges."""
     import pandas as pd
 
-    label = written(open_.select("s1_id", "t_id").withColumn("root", F.col("s1_id")))
-    while True:
-        low_t = label.groupBy("t_id").agg(F.min("root").alias("low"))
-        low_s = label.join(low_t, "t_id").groupBy("s1_id").agg(F.min("low").alias("root"))
-        new = written(label.withColumnRenamed("root", "was").join(low_s, "s1_id"))
-        label = new.drop("was")
-        if new.where("was <> root").isEmpty():
-            break
-
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         best = {r.s1_id: r.best for r in pdf.itertuples() if r.best == r.best}
         count = {(r.s1_id, s): getattr(r, f"n{s[1]}") for r in pdf.itertuples() for s in ("S2", "S3") if r.n2 == r.n2}
-        taken, out = set(), []
+        taken, keep = set(), []
         for r in pdf.sort_values(["score", "s1_id", "t_id"], ascending=[False, True, True]).itertuples():
             if r.t_id in taken:
                 continue
@@ -146,8 +155,19 @@ def _finish(open_: DataFrame, state: DataFrame, margin: float, cap: int) -> Data
             if top - r.score <= margin and n < cap and r.source in ("S2", "S3"):
                 taken.add(r.t_id)
                 count[r.s1_id, r.source] = n + 1
-                out.append((r.s1_id, r.t_id, r.score))
-        return pd.DataFrame(out, columns=["s1_id", "t_id", "score"])
+                keep.append(r.Index)
+        return pdf.loc[keep, [*by, "s1_id", "t_id", "score"]]
+
+    rows = edges.join(state, [*by, "s1_id"], "left")
+    return rows.groupBy("root").applyInPandas(greedy, edges.select(*by, "s1_id", "t_id", "score").schema)
 
-    rows = open_.join(label, ["s1_id", "t_id"]).join(state, "s1_id", "left")
-    return rows.groupBy("root").applyInPandas(greedy, "s1_id string, t_id string, score double")
+
+def unique_sweep(scored: DataFrame, truth: DataFrame, s1: DataFrame, taus: Sequence[float], margin: float = 0.08, cap: int = 3) -> DataFrame:
+    """tau and macro metrics of the unique assignment at each threshold (L-10): all thresholds in the same rounds."""
+    from kinweave.operators.evaluation import macro_by
+
+    reached = F.filter(F.array(*[F.lit(float(t)) for t in taus]), lambda t: F.col("score") >= t)
+    each = scored.select("s1_id", "t_id", "score", F.explode(reached).alias("tau"))
+    pred = unique_assignment(each, 0.0, margin, cap, by=["tau"])
+    every = s1.select(F.col("entity_id").alias("s1_id"), F.explode(F.array(*[F.lit(float(t)) for t in taus])).alias("tau"))
+    return macro_by(every, pred, truth, ["tau"])

@@ -264,6 +264,61 @@ for _p, _case in _TIER_SQL.items():
     register(f"er_tier_logic_{_p}", f"SELECT s1_id, t_id, round(CAST({_case} AS DOUBLE), 6) AS score, {_AUTO_SQL[_p]} AS is_auto FROM ({_RATIOS})")(_tier_logic(_p))
 
 
+# the same with every flag of the rules, for every profile: regions, scripts and generic brands of the rich records
+def _tier_flags(profile: str) -> Query:
+    def run(spark, sf_dir):
+        w = _Work(spark, sf_dir)
+        extra = lambda x, side: written(rich_records(x, "champion")).select(*[F.col(c).alias(f"{side}{c}") for c in ("entity_id", "geo", "is_indic", "is_generic", "core_brand")])
+        p = w.pairs().withColumn("jw", jaro_winkler_udf(*[F.replace(c, F.lit("ß"), F.lit("s")) for c in ("a_norm_name", "b_norm_name")])).where("a_norm_name <> '' AND b_norm_name <> ''")
+        x, y = extra(w.t.s1, "x_"), extra(w.t.targets, "y_")
+        p = p.join(x, p["s1_id"] == x["x_entity_id"]).join(y, p["t_id"] == y["y_entity_id"])
+        adr = 100 * blocking.token_jaccard(F.col("a_address_tokens"), F.col("b_address_tokens"))
+        has = (F.size("a_address_numbers") > 0) & (F.size("b_address_numbers") > 0)
+        overlap = F.coalesce(F.arrays_overlap("a_address_numbers", "b_address_numbers"), F.lit(False))
+        conflict = (F.col("x_geo") != "") & (F.col("y_geo") != "") & (F.col("x_geo") != F.col("y_geo"))
+        veto = (F.col("x_is_generic") | F.col("y_is_generic")) & ((F.col("x_core_brand") != F.col("y_core_brand")) | ~overlap)
+        t = scoring.PROFILES[profile]
+        b = F.round(100 * F.col("jw"), 4)
+        score, auto = scoring.tier_score(
+            t, b, b / 100, F.round(adr, 4), overlap, has, F.col("b_is_address_empty"), conflict, F.col("y_is_indic") & ~F.col("x_is_indic"), veto if t.generic_veto else None
+        )
+        return p.select("s1_id", "t_id", F.round(score, 6).alias("score"), auto.alias("is_auto"))
+
+    return run
+
+
+sql.cte(
+    "flagged",
+    """SELECT c.s1_id, c.t_id, round(100 * jaro_winkler_similarity(replace(a.norm_name, 'ß', 's'), replace(b.norm_name, 'ß', 's')), 4) AS b,
+  round(100 * CASE WHEN len(a.address_tokens) = 0 OR len(b.address_tokens) = 0 THEN 0.0 ELSE len(list_intersect(a.address_tokens, b.address_tokens)) / len(list_distinct(list_concat(a.address_tokens, b.address_tokens))) END, 4) AS a,
+  len(a.address_numbers) > 0 AND len(b.address_numbers) > 0 AS has, list_has_any(a.address_numbers, b.address_numbers) AS ov, b.is_address_empty AS e,
+  x.geo <> '' AND y.geo <> '' AND x.geo <> y.geo AS region, y.is_indic AND NOT x.is_indic AS script,
+  (x.is_generic OR y.is_generic) AND (x.core_brand <> y.core_brand OR NOT list_has_any(a.address_numbers, b.address_numbers)) AS veto
+FROM cands c JOIN rec a ON a.entity_id = c.s1_id JOIN rec b ON b.entity_id = c.t_id JOIN rich x ON x.entity_id = c.s1_id JOIN rich y ON y.entity_id = c.t_id WHERE a.norm_name <> '' AND b.norm_name <> ''""",
+)
+_HIGH_70, _MID_55, _MID_52 = "b >= 70 AND a >= 50 THEN 0.90 + (0.5 * b + 0.5 * a) / 1000", "b >= 55 AND a >= 68 THEN 0.88 + (0.4 * b + 0.6 * a) / 1000", "b >= 52 AND a >= 68 THEN 0.88 + (0.4 * b + 0.6 * a) / 1000"
+_PLACE, _NAME_88, _NAME_90 = "has AND ov AND a >= {} AND b >= {} THEN 0.88 + a / 1000", "b >= 88 THEN 0.85 + b / 1000", "b >= 90 AND a >= 40 THEN 0.86 + b / 1000"
+_AUTO_PLACE = "a >= {} AND (ov OR NOT has) THEN 0.88 + a / 1000"
+_SCRIPT = "script THEN CASE WHEN ov AND a >= {} THEN 0.91 + a / 1000 WHEN a >= {} THEN 0.90 + a / 1000 ELSE 0 END"
+#: gate without address, gate against disjoint numbers, further rules in order
+_FLAG_RULES = {
+    "v2": (85, 95, [_AUTO_PLACE.format(80), _HIGH_70, _MID_55, _NAME_88]),
+    "v3": (85, 95, [_AUTO_PLACE.format(78), _HIGH_70, _MID_55, _NAME_88]),
+    "v4": (85, 95, [_HIGH_70, _MID_55, _PLACE.format(80, 0), _NAME_88]),
+    "production": (85, 95, ["b < 50 AND NOT (has AND ov) THEN 0", _HIGH_70, _MID_55, _PLACE.format(80, 0), _NAME_88]),
+    "turbo": (85, 95, ["b < 55 AND NOT (has AND ov) THEN 0", _HIGH_70, _MID_55, _PLACE.format(80, 0), _NAME_88]),
+    "v5": (88, 95, [_SCRIPT.format(78, 88), _HIGH_70, _MID_52, _PLACE.format(80, 30), _NAME_90]),
+    "fixed": (85, 98, ["b < 40 AND NOT (has AND ov) THEN 0", _HIGH_70, _MID_55, _PLACE.format(88, 30), _PLACE.format(92, 0), "b >= 90 THEN 0.85 + b / 1000"]),
+    "optimal": (85, 95, [_SCRIPT.format(78, 88), _HIGH_70, _MID_52, _PLACE.format(82, 30), _NAME_90]),
+    "refined": (85, 95, [_SCRIPT.format(75, 88), "b >= 68 AND a >= 50 THEN 0.90 + (0.5 * b + 0.5 * a) / 1000", "b >= 50 AND a >= 68 THEN 0.88 + (0.4 * b + 0.6 * a) / 1000", _PLACE.format(85, 0), _NAME_90]),
+}
+for _p, (_empty, _clash, _more) in _FLAG_RULES.items():
+    _veto = "WHEN veto THEN 0" if _p == "refined" else ""
+    _case = f"CASE WHEN region THEN 0 {_veto} WHEN e THEN CASE WHEN b >= {_empty} THEN 0.92 + b / 1000 ELSE 0 END WHEN has AND NOT ov AND b < {_clash} THEN 0 {' '.join('WHEN ' + m for m in _more)} ELSE 0 END"
+    _sure = f"NOT region AND NOT e AND NOT (has AND NOT ov AND b < {_clash}) AND a >= {78 if _p == 'v3' else 80} AND (ov OR NOT has)" if _p in ("v2", "v3") else "false"
+    register(f"er_tier_flags_{_p}", f"SELECT s1_id, t_id, round(CAST({_case} AS DOUBLE), 6) AS score, {_sure} AS is_auto FROM flagged")(_tier_flags(_p))
+
+
 def _rules(profile: str) -> Query:
     def run(spark, sf_dir):
         t = tables(spark, sf_dir)
@@ -374,11 +429,44 @@ def grid_sweep(spark, sf_dir):
     return _round(selection.grid_sweep(w.scored(), w.t.truth, w.t.s1, _MINS, _MARGINS, _CAPS), "min_score", "margin", "cap")
 
 
-@register("er_unique_assignment")
+def _greedy(taus: list[float], margin: float, cap: int, select: str) -> str:
+    """The greedy edge by edge, for each threshold: what is taken, each s1's first score, the sources it has accepted."""
+    return f"""WITH RECURSIVE edges AS (SELECT *, t_id[1:2] AS source, row_number() OVER (PARTITION BY tau ORDER BY score DESC, s1_id, t_id) AS k
+  FROM (SELECT s1_id, t_id, score, tau FROM scored, (SELECT CAST(unnest({taus}) AS DOUBLE) AS tau) WHERE score >= tau)),
+walk AS (
+  SELECT tau, 0::BIGINT AS k, '' AS s1_id, '' AS t_id, 0::DOUBLE AS score, false AS ok, []::VARCHAR[] AS taken, MAP {{}}::MAP(VARCHAR, DOUBLE) AS best, []::VARCHAR[] AS used
+  FROM (SELECT DISTINCT tau FROM edges)
+  UNION ALL
+  SELECT tau, k, s1_id, t_id, score, ok, CASE WHEN ok THEN list_append(taken, t_id) ELSE taken END, CASE WHEN free AND first IS NULL THEN map_concat(best, MAP {{s1_id: score}}) ELSE best END,
+    CASE WHEN ok THEN list_append(used, s1_id || source) ELSE used END
+  FROM (SELECT *, free AND coalesce(first, score) - score <= {margin} AND len(list_filter(used, lambda x: x = s1_id || source)) < {cap} AS ok
+    FROM (SELECT e.tau, e.k, e.s1_id, e.t_id, e.score, e.source, w.taken, w.best, w.used, NOT list_contains(w.taken, e.t_id) AS free, w.best[e.s1_id] AS first
+      FROM walk w JOIN edges e ON e.tau = w.tau AND e.k = w.k + 1)))
+{select}"""
+
+
+@register("er_unique_assignment", _greedy([0.4], 0.2, 3, "SELECT s1_id, t_id, score FROM walk WHERE ok"))
 def unique(spark, sf_dir):
     return selection.unique_assignment(_Work(spark, sf_dir).scored(), 0.4, 0.2, 3)
 
 
+_UNIQUE_TAUS = [0.8, 0.83, 0.85, 0.87, 0.88, 0.9]
+
+
+@register(
+    "er_unique_sweep",
+    _greedy(
+        _UNIQUE_TAUS, 0.08, 3,
+        f"SELECT tau, round(avg({_P}), 9) AS macro_precision, round(avg({_R}), 9) AS macro_recall, round(avg({_F}), 9) AS macro_f05 FROM ("
+        + _COUNTS.format(k="s.tau,", every=f"(SELECT entity_id, CAST(unnest({_UNIQUE_TAUS}) AS DOUBLE) AS tau FROM s1) s", pk="q.tau,", pred="(SELECT * FROM walk WHERE ok)", on="AND p.tau = s.tau")
+        + ") GROUP BY tau",
+    ),
+)
+def unique_sweep(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return _round(selection.unique_sweep(w.scored(), w.t.truth, w.t.s1, _UNIQUE_TAUS), "tau")
+
+
 # ---- refinement: the match table is the selection, the other run the selection at a higher threshold ----
 
 
@@ -416,6 +504,16 @@ def rerank(spark, sf_dir):
     return refine.rerank(_matches(w), _facts(w), selection.threshold(w.scored(), 0.6))
 
 
+@register(
+    "er_consensus_rerank_v1",
+    f"""SELECT m.s1_id, m.t_id, m.idx, 100 - m.idx + CASE WHEN o.t_id IS NOT NULL THEN 50 ELSE 0 END + CASE WHEN list_has_any(a.nums, b.nums) THEN 20 ELSE 0 END AS score
+{_JOINED} LEFT JOIN other_run o ON o.s1_id = m.s1_id AND o.t_id = m.t_id""",
+)
+def rerank_v1(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return refine.rerank(_matches(w), _facts(w), selection.threshold(w.scored(), 0.6), version=1)
+
+
 @register(
     "er_conditional_third",
     """SELECT s1_id, t_id, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, idx, t_id) - 1 AS idx, score
@@ -434,10 +532,43 @@ def unassigned(spark, sf_dir):
     return refine.unassigned(w.t.targets, w.predicted()).select("entity_id")
 
 
-@register("er_address_rescue")
+# NFKD splits an accented letter into a letter and a mark, and marks separate words
+_MARKED = {"a": "àâäãá", "c": "ç", "e": "éèêë", "i": "íîï", "n": "ñ", "o": "óôöõ", "u": "úùûü"}
+# the adapter's number and source stay out here, so that copies of a text have equal addresses
+_PLACE_OF = "regexp_replace(business_address, '^[0-9]* |, [^,]*$', '', 'g')"
+_UNMARKED = f"lower({_PLACE_OF})"
+for _plain, _letters in _MARKED.items():
+    for _letter in _letters:
+        _UNMARKED = f"replace({_UNMARKED}, '{_letter}', '{_plain} ')"
+_ADDRESS = f"array_to_string(list_filter({sql.words(sql.spaces(_UNMARKED))}, lambda t: t NOT IN ('none', 'null', 'nan')), ' ')"
+# the match table: the first of each source, of a run that didn't score two targets in five
+_FAR = "CAST(substring(t_id, 4) AS BIGINT) % 5 > 1"
+sql.cte(
+    "firsts",
+    f"""SELECT s1_id, t_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, t_id[1:2] ORDER BY score DESC, t_id) AS rank
+FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) AS top FROM scored WHERE {_FAR}) WHERE score >= 0.5 AND top - score <= 0.1) WHERE rank <= 1""",
+)
+sql.cte("addresses", f"SELECT e.entity_id, e.ord, trim(e.country) AS country, {_ADDRESS} AS addr_key FROM ent e")
+# every address group of the data has one set of numbers, so no pair conflicts: places and targets are numbered and joined
+sql.cte(
+    "free_places",
+    """SELECT country, addr_key, source, s1_id, row_number() OVER (PARTITION BY country, addr_key, source ORDER BY ord, s1_id, k) AS no FROM (
+  SELECT a.country, a.addr_key, s.source, a.entity_id AS s1_id, a.ord, unnest(range(1 + (SELECT count(*) FROM firsts p WHERE p.s1_id = a.entity_id AND p.t_id[1:2] = s.source), 3)) AS k
+  FROM addresses a, (SELECT unnest(['S2', 'S3']) AS source) s WHERE a.entity_id LIKE 'S1-%' AND length(a.addr_key) >= 18)""",
+)
+sql.cte(
+    "free_targets",
+    """SELECT country, addr_key, entity_id[1:2] AS source, entity_id AS t_id, row_number() OVER (PARTITION BY country, addr_key, entity_id[1:2] ORDER BY ord, entity_id) AS no
+FROM addresses WHERE entity_id NOT LIKE 'S1-%' AND length(addr_key) >= 18 AND entity_id NOT IN (SELECT t_id FROM firsts)""",
+)
+
+
+@register("er_address_rescue", "SELECT s1_id, t_id FROM free_places JOIN free_targets USING (country, addr_key, source, no)")
 def rescue(spark, sf_dir):
     w = _Work(spark, sf_dir)
-    return refine.rescue(w.t.s1, w.t.targets, _matches(w).limit(0))
+    firsts = selection.margin_cap(w.scored().where(F.expr(_FAR)), 0.5, 0.1, 1)
+    place = lambda x: x.withColumn("business_address", F.regexp_replace("business_address", "^[0-9]* |, [^,]*$", ""))
+    return refine.rescue(place(w.t.s1), place(w.t.targets), firsts.select("s1_id", "t_id"))
 
 
 # ---- evaluation and audit ----

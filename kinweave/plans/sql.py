@@ -25,8 +25,9 @@ def query(select: str) -> str:
 
     visit(select)
     own = ",\n".join(f"{n} AS ({CTES[n]})" for n in need)
-    if need and select.startswith("WITH "):
-        return f"WITH {own},\n{select[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if need and select.startswith(head):
+            return f"{head}{own},\n{select[len(head) :]}"
     return (f"WITH {own}\n" if need else "") + select
 
 

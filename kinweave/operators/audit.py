@@ -101,34 +101,42 @@ def validate(results: DataFrame, s1: DataFrame, candidates: DataFrame | None = N
 
     ``results``: source1_entity_id, matched_entity_ids (comma list); ``candidates`` likewise with candidate_entity_ids.
     """
+    from pyspark.sql import Window
+
     ids = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    flagged = lambda df, key: df.select(F.col("entity_id").alias(key)).distinct().withColumn("known", F.lit(True))
+    said = lambda rule, cond, who: F.when(cond, F.struct(F.lit(rule).alias("rule"), who.alias("offender")))
     rows = results.select(F.col("source1_entity_id").alias("s1_id"), ids("matched_entity_ids").alias("ids"))
+
+    # by entity: how often it has a row, how many of its lists repeat an id, whether source 1 has it
+    twice = F.count_if(F.size("ids") != F.size(F.array_distinct("ids")))
+    per = rows.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"), twice.alias("twice")).join(flagged(s1, "s1_id"), "s1_id", "full")
+    who = F.col("s1_id")
+    entity = F.array_compact(
+        F.concat(
+            F.array(said("duplicate_row", F.col("n") > 1, who), said("missing_s1", F.col("n").isNull(), who)),
+            F.array_repeat(said("duplicate_id_in_list", F.col("twice") > 0, who), F.coalesce(F.col("twice").cast("int"), F.lit(0))),
+            F.array_repeat(said("foreign_s1", F.col("known").isNull(), who), F.coalesce(F.col("n").cast("int"), F.lit(0))),
+        )
+    )
+    # by listed id: its prefix, whether there is such a target, whether it is a candidate
     each = rows.select("s1_id", F.explode("ids").alias("t_id"))
-    known = s1.select(F.col("entity_id").alias("s1_id"))
-    found = [
-        ("duplicate_row", "error", rows.groupBy("s1_id").count().where("count > 1").select(F.col("s1_id").alias("offender"))),
-        ("duplicate_id_in_list", "error", rows.where(F.size("ids") != F.size(F.array_distinct("ids"))).select(F.col("s1_id").alias("offender"))),
-        ("self_match", "error", each.where(F.col("t_id").startswith("S1-")).select(F.col("t_id").alias("offender"))),
-        ("bad_prefix", "error", each.where(~F.substring("t_id", 1, 3).isin("S1-", "S2-", "S3-")).select(F.col("t_id").alias("offender"))),
-        ("missing_s1", "error", known.join(rows, "s1_id", "left_anti").select(F.col("s1_id").alias("offender"))),
-        ("foreign_s1", "error", rows.join(known, "s1_id", "left_anti").select(F.col("s1_id").alias("offender"))),
-    ]
+    target, prefix = F.col("t_id"), F.substring("t_id", 1, 3)
+    more = [said("self_match", prefix == "S1-", target), said("bad_prefix", ~prefix.isin("S1-", "S2-", "S3-"), target)]
     if targets is not None:
-        unknown = each.where(F.substring("t_id", 1, 3).isin("S2-", "S3-")).join(targets.select(F.col("entity_id").alias("t_id")), "t_id", "left_anti")
-        found.append(("unknown_id", "error", unknown.select(F.col("t_id").alias("offender"))))
+        each = each.join(flagged(targets, "t_id"), "t_id", "left")
+        more.append(said("unknown_id", prefix.isin("S2-", "S3-") & F.col("known").isNull(), target))
     if candidates is not None:
-        known_pairs = candidates.select(F.col("source1_entity_id").alias("s1_id"), F.explode(ids("candidate_entity_ids")).alias("t_id"))
-        found.append(("match_not_candidate", "warning", each.join(known_pairs, ["s1_id", "t_id"], "left_anti").select(F.concat_ws("/", "s1_id", "t_id").alias("offender"))))
-    out = None
-    for rule, severity, offenders in found:
-        x = offenders.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "offender")
-        out = x if out is None else out.unionByName(x)
-    # the five smallest offenders: five nested minima would read the data five times, a ranked window keeps five rows of each rule
-    from pyspark.sql import Window
-
-    counts = out.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
-    few = out.distinct().withColumn("r", F.row_number().over(Window.partitionBy("rule").orderBy("offender"))).where("r <= 5")
-    return counts.join(few.groupBy("rule").agg(F.concat_ws(",", F.array_sort(F.collect_list("offender"))).alias("examples")), "rule")
+        pairs = candidates.select(F.col("source1_entity_id").alias("s1_id"), F.explode(ids("candidate_entity_ids")).alias("t_id")).distinct()
+        each = each.join(pairs.withColumn("asked", F.lit(True)), ["s1_id", "t_id"], "left")
+        more.append(said("match_not_candidate", F.col("asked").isNull(), F.concat_ws("/", "s1_id", "t_id")))
+    found = per.select(F.explode(entity).alias("x")).unionByName(each.select(F.explode(F.array_compact(F.array(*more))).alias("x")))
+    found = found.groupBy("x.rule", "x.offender").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.groupBy("rule").agg(F.sum("n").alias("n"))
+    few = found.withColumn("r", F.row_number().over(Window.partitionBy("rule").orderBy("offender"))).where("r <= 5")
+    few = few.groupBy("rule").agg(F.concat_ws(",", F.array_sort(F.collect_list("offender"))).alias("examples"))
+    severity = F.when(F.col("rule") == "match_not_candidate", "warning").otherwise("error").alias("severity")
+    return counts.join(few, "rule").select("rule", severity, "n", "examples")
 
 
 def validate_files(spark, matching: str, s1: DataFrame, candidate: str | None = None, targets: DataFrame | None = None) -> DataFrame:

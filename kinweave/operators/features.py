@@ -46,24 +46,37 @@ def _jaccard(a: Column, b: Column) -> Column:
 
 
 def with_grams(records: DataFrame, *columns: str) -> DataFrame:
-    """Records with ``<column>_grams``, the distinct padded 3-grams of a text with their numbers, and ``<column>_len``, the vector's length.
+    """Records with the padded 3-grams of a text, counted, and ``<column>_len``, the count vector's length.
 
-    Made once for each record, in steps: an expression used several times is its own projection.
+    A gram is its three code points in one bigint, so that sets of them meet as primitives.
+    ``<column>_once`` has those that occur once, ``<column>_more`` (g, n) the others, which are
+    few. Made once for each record, in steps: an expression used several times is its own
+    projection. Counts are the lengths of runs in the sorted list.
     """
+    code = lambda i: F.element_at("_c", i).cast("bigint")
     for c in columns:
-        records = records.withColumn("_g", X.ngrams(F.col(c)))
-        counted = F.transform(F.array_distinct("_g"), lambda g: F.struct(g.alias("g"), F.size(F.filter("_g", lambda x: x == g)).alias("n")))
-        records = records.withColumn(f"{c}_grams", counted).drop("_g")
-        total = F.aggregate(f"{c}_grams", F.lit(0.0), lambda s, e: s + e["n"] * e["n"])
-        records = records.withColumn(f"{c}_len", F.sqrt(total))
+        records = records.withColumn("_c", F.when(F.col(c) == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(F.concat(F.lit(" "), F.col(c), F.lit(" ")), ""), F.ascii)))
+        size = F.size("_c")
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.shiftleft(code(i), 42) + F.shiftleft(code(i + 1), 21) + code(i + 2))
+        records = records.withColumn("_g", F.when(size < 3, F.array().cast("array<bigint>")).otherwise(F.sort_array(grams)))
+        place = F.sequence(F.lit(1), F.greatest(F.size("_g"), F.lit(1)))
+        new = F.filter(place, lambda i: (i == 1) | (F.element_at("_g", i) != F.element_at("_g", F.greatest(i - 1, F.lit(1)))))
+        records = records.withColumn("_s", F.when(F.size("_g") > 0, new).otherwise(F.array().cast("array<int>")))
+        runs = F.transform("_s", lambda s, k: F.struct(F.element_at("_g", s).alias("g"), (F.coalesce(F.get("_s", k + 1), F.size("_g") + 1) - s).alias("n")))
+        records = records.withColumn("_r", runs)
+        records = records.withColumn(f"{c}_once", F.transform(F.filter("_r", lambda r: r["n"] == 1), lambda r: r["g"])).withColumn(f"{c}_more", F.filter("_r", lambda r: r["n"] > 1))
+        records = records.withColumn(f"{c}_len", F.sqrt(F.aggregate("_r", F.lit(0.0), lambda s, r: s + r["n"] * r["n"]))).drop("_c", "_g", "_s", "_r")
     return records
 
 
 def cosine(column: str) -> Column:
     """Cosine of two records' 3-gram counts, 0 where nothing is shared (F-1)."""
-    by = F.map_from_entries(f"b_{column}_grams")
-    dot = F.aggregate(f"a_{column}_grams", F.lit(0.0), lambda s, e: s + e["n"] * F.coalesce(F.element_at(by, e["g"]), F.lit(0)))
-    return F.when(F.col(f"a_{column}_len") * F.col(f"b_{column}_len") > 0, dot / (F.col(f"a_{column}_len") * F.col(f"b_{column}_len"))).otherwise(0.0)
+    a1, b1, a2, b2 = (f"{side}_{column}_{kind}" for kind in ("once", "more") for side in "ab")
+    hit = lambda other: lambda s, r: s + F.when(F.array_contains(other, r["g"]), r["n"]).otherwise(0)
+    both = lambda s, r: s + r["n"] * F.aggregate(b2, F.lit(0), lambda t, q: t + F.when(q["g"] == r["g"], q["n"]).otherwise(0))
+    dot = F.size(F.array_intersect(a1, b1)) + F.aggregate(a2, F.lit(0), hit(b1)) + F.aggregate(b2, F.lit(0), hit(a1)) + F.aggregate(a2, F.lit(0), both)
+    length = F.col(f"a_{column}_len") * F.col(f"b_{column}_len")
+    return F.when(length > 0, dot / length).otherwise(0.0)
 
 
 def features14(pairs: DataFrame, cosines: bool = True) -> DataFrame:

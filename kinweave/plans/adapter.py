@@ -21,7 +21,10 @@ class Tables(NamedTuple):
 
 def entities(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
-    words = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0B]+", " ")), " ")
+    # the ten words that make an entity, without going over the rest of a long text
+    blank = r" \t\n\r\f\x0B"
+    head = F.regexp_extract(F.coalesce("text", F.lit("")), rf"^[{blank}]*+([^{blank}]++(?:[{blank}]++[^{blank}]++){{0,9}}+)", 1)
+    words = F.split(head, rf"[{blank}]+")
     take = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     address = F.concat(F.coalesce(F.col("n_chars").cast("string"), F.lit("")), F.lit(" "), take(5, 6), F.lit(", "), F.coalesce("source", F.lit("")))
     country = F.when(F.col("lang") == "en", "US").when(F.col("lang") == "fr", "France").when(F.col("lang") == "es", "India").otherwise(F.coalesce(F.upper("lang"), F.lit("")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import zipfile
-from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,11 +40,20 @@ def write_partitioned(table: DataFrame, path: str, by: str = "country") -> None:
     table.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def package(folder: str, archive: str) -> str:
-    """K-4: a deflated ZIP of the part files of a local result folder."""
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(Path(folder).rglob("part-*")):
-            z.write(p, p.relative_to(folder))
+def package(spark: SparkSession, folder: str, archive: str) -> str:
+    """K-4: a deflated ZIP, a file of the driver's, of a result folder's part files on any file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(conf)
+    base, found, files = fs.getFileStatus(top).getPath().toString(), [], fs.listFiles(top, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName().startswith("part-"):
+            found.append((path.toString().removeprefix(base).lstrip("/"), path))
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z, tempfile.TemporaryDirectory() as own:
+        for name, path in sorted(found, key=lambda x: x[0]):
+            fs.copyToLocalFile(False, path, jvm.org.apache.hadoop.fs.Path(f"file://{own}/part"), True)
+            z.write(f"{own}/part", name)
     return archive
 
 

@@ -1,14 +1,17 @@
 """New target records against a static source 1, in micro-batches.
 
-The source-1 side is normalised and keyed once, as written tables. Each micro-batch is
-normalised, joined on its keys, scored and appended. ``foreachBatch`` gets a batch id, so
+The source-1 side is normalised and keyed once, as written tables; keys that more than
+``max_posting`` of its records have are cut there, so a hot key doesn't multiply with every
+batch. Each micro-batch is normalised, joined on its keys and scored; of each target the
+``top`` best candidates go on, as in ``blocking.candidates`` seen from the target, since a
+batch can't know the targets to come. ``foreachBatch`` gets a batch id, so
 a batch that is run again after a failure replaces its own output. Unique assignment needs
 all scores and is run over the output table afterwards (``selection.unique_assignment``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.checkpoint import written
@@ -17,17 +20,23 @@ from kinweave.operators.records import normalize_records
 
 
 class StreamLinker:
-    def __init__(self, s1: DataFrame, out: str, min_score: float = 0.5):
+    def __init__(self, s1: DataFrame, out: str, min_score: float = 0.5, max_posting: int = 2000, top: int = 30):
         self.records = written(normalize_records(s1))
-        self.keys = written(blocking.blocking_keys(self.records).withColumnRenamed("entity_id", "s1_id").distinct())
-        self.out, self.min_score = out, min_score
+        keys, by = blocking.blocking_keys(self.records).withColumnRenamed("entity_id", "s1_id").distinct(), ["country", "key_type", "key"]
+        small = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_posting).drop("n")
+        self.keys = written(keys.join(small, by))
+        self.out, self.min_score, self.top = out, min_score, top
 
     def score(self, batch: DataFrame) -> DataFrame:
         """s1_id, t_id, score of a batch of target entities."""
         targets = normalize_records(batch.dropDuplicates(["entity_id"]))
         posts = blocking.blocking_keys(targets).withColumnRenamed("entity_id", "t_id").distinct()
         pairs = self.keys.join(posts, ["country", "key_type", "key"]).select("s1_id", "t_id").distinct()
-        rows = features.features14(features.pairs_of(pairs, self.records, targets), cosines=False)
+        both = features.pairs_of(pairs, self.records, targets)
+        near = blocking.token_jaccard(F.col("a_name_tokens"), F.col("b_name_tokens"))
+        best = Window.partitionBy("t_id").orderBy(F.desc("_near"), "s1_id")
+        both = both.withColumn("_near", near).withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= self.top)
+        rows = features.features14(both, cosines=False)
         return rows.select("s1_id", "t_id", F.col("combined_jaccard").alias("score")).where(F.col("score") >= self.min_score)
 
     def batch(self, df: DataFrame, batch_id: int) -> None:

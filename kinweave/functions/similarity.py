@@ -3,7 +3,7 @@
 The kernels are exact: Indel similarity from the longest common subsequence, found with
 one machine word or big integer for each character of the longer string; Jaro-Winkler
 with the prefix bonus above 0.7. Two empty strings are equal: ratio 100, Jaro 1; a token
-set ratio with an empty side is 0. Feed distinct pairs, after cheap filters.
+set ratio with an empty side is 0. Pairs that repeat in a batch are compared once.
 """
 
 from __future__ import annotations
@@ -82,7 +82,13 @@ def jaro_winkler(a: str, b: str) -> float:
 def _pairwise(kernel):
     @F.pandas_udf(DoubleType())
     def udf(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([kernel(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+        known: dict[tuple, float] = {}  # a brand meets the same brand again and again: each pair of a batch is compared once
+        out = []
+        for pair in zip(a, b, strict=True):
+            if (x := known.get(pair)) is None:
+                x = known[pair] = kernel(pair[0] or "", pair[1] or "")
+            out.append(x)
+        return pd.Series(out, dtype="float64")
 
     return udf
 

@@ -155,20 +155,26 @@ def gated_candidates(s1: DataFrame, targets: DataFrame, gate: Gate) -> DataFrame
     """
     keys = ["country", "kind", "key"]
     posts = _postings(targets, gate).withColumnRenamed("id", "t_id").withColumnRenamed("geo", "t_geo")
-    by_key = Window.partitionBy(*keys).orderBy("t_id")
-    by_geo = Window.partitionBy(*keys, "t_geo").orderBy("t_id")
     length = posts.groupBy(*keys).agg(F.count(F.lit(1)).alias("length"))
-    # of a hot key only the head can ever be used: ranks cut it before the join
-    posts = posts.withColumn("n_any", F.row_number().over(by_key)).withColumn("n_geo", F.row_number().over(by_geo))
-    most = max(gate.take, gate.geo, gate.any, gate.prefix_take, gate.numbers)
-    posts = posts.where((F.col("n_any") <= most) | ((F.col("t_geo") != "") & (F.col("n_geo") <= gate.geo))).join(length, keys)
+    # of a hot key only the head, or a region's head, can ever be used: each rank has a filter of its own, which Spark turns into
+    # a limit before the shuffle, so no task sorts a long posting
+    word = posts.where(F.col("kind").isin("stem", "pfx"))
+    ranked = lambda df, name, *by: df.withColumn(name, F.row_number().over(Window.partitionBy(*keys, *by).orderBy("t_id")))
+    none = F.lit(None).cast("int")
+    heads = ranked(word, "n_any").where(F.col("n_any") <= max(gate.take, gate.geo, gate.any, gate.prefix_take)).withColumn("n_geo", none)
+    if gate.geo:
+        region = ranked(word.where("t_geo <> ''"), "n_geo", "t_geo").where(F.col("n_geo") <= gate.geo).withColumn("n_any", none)
+        heads = heads.unionByName(region)
+    far = F.lit((1 << 31) - 1)
+    heads = heads.groupBy(*keys, "t_id", "t_geo").agg(F.coalesce(F.min("n_any"), far).alias("n_any"), F.coalesce(F.min("n_geo"), far).alias("n_geo")).join(length, keys)
+    numeric = posts.where(~F.col("kind").isin("stem", "pfx")).join(length.where(F.col("length") <= gate.numbers), keys)
 
     asks = _postings(s1, gate).withColumnRenamed("id", "s1_id")
     place = s1.select(F.col("entity_id").alias("s1_id"), F.posexplode("stems").alias("place", "key")).withColumn("kind", F.lit("stem"))
     asks = asks.join(place, ["s1_id", "kind", "key"], "left")
     if not gate.no_space_query:
         asks = asks.where((F.col("kind") != "stem") | F.col("place").isNotNull())
-    met = asks.join(posts, keys)
+    met = asks.join(heads, keys)
 
     same = (F.col("geo") != "") & (F.col("geo") == F.col("t_geo"))
     fits = F.when(F.col("length") <= gate.take, F.lit(True)).when(F.col("geo") != "", same & (F.col("n_geo") <= gate.geo)).otherwise(F.col("n_any") <= gate.any)
@@ -189,8 +195,7 @@ def gated_candidates(s1: DataFrame, targets: DataFrame, gate: Gate) -> DataFrame
         few = few.where(F.coalesce("n", F.lit(0)) < gate.prefix).select("s1_id")
         limit = F.when(F.col("length") <= gate.prefix_take, F.lit(True)).when(F.col("geo") != "", same & (F.col("n_geo") <= gate.geo)).otherwise(F.col("n_any") <= gate.any)
         out = out.union(met.where((F.col("kind") == "pfx") & limit).join(few, "s1_id", "left_semi").select("s1_id", "t_id"))
-    numeric = met.where(F.col("kind").isin("num", "pin", "numgeo") & (F.col("length") <= gate.numbers))
-    return out.union(numeric.select("s1_id", "t_id")).distinct()
+    return out.union(asks.join(numeric, keys).select("s1_id", "t_id")).distinct()
 
 
 def address_index(s1: DataFrame, kept: DataFrame, least: int = 18, cap: int = 2) -> DataFrame:

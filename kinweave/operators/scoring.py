@@ -110,8 +110,8 @@ def tier_score(t: Tiers, b: Column, jaro: Column, a: Column, overlap: Column, ha
 def rule_scores(pairs: DataFrame, profile: str) -> DataFrame:
     """s1_id, t_id, score, is_auto of the pairs (both records' columns, see ``features.pairs_of``).
 
-    First the brand ratio of distinct brand pairs' rows is made and everything decided by
-    cheap columns is dropped; addresses are compared for the rest only.
+    First the brand ratio is made (once for the pairs of a batch that repeat) and everything
+    decided by cheap columns is dropped; addresses are compared for the rest only.
     """
     t = PROFILES[profile]
     both = (F.col("a_geo") != "") & (F.col("b_geo") != "")

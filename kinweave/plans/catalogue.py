@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,21 +42,29 @@ def _joined_sql(*names: str) -> str:
 
 
 class _Work:
-    """The stages that several queries begin with; each is a lazy plan."""
+    """The stages that several queries begin with. Records and candidates are read by several branches, so they are written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.t: Tables = tables(spark, sf_dir)
 
-    def records(self) -> tuple[DataFrame, DataFrame]:
-        return normalize_records(self.t.s1), normalize_records(self.t.targets)
+    @cached_property
+    def _records(self) -> tuple[DataFrame, DataFrame]:
+        every = written(normalize_records(self.t.s1.unionByName(self.t.targets)))  # one pass over the documents for all sources
+        is_s1 = F.col("entity_id").startswith("S1-")
+        return every.where(is_s1), every.where(~is_s1)
+
+    @cached_property
+    def _candidates(self) -> DataFrame:
+        return written(blocking.candidates(*self._records))
 
     def candidates(self) -> DataFrame:
-        return blocking.candidates(*self.records())
+        return self._candidates
 
     def pairs(self, grams: bool = False) -> DataFrame:
-        make = lambda x: features.with_grams(x, "norm_name", "norm_address") if grams else x
-        a, b = (written(make(x)) for x in self.records())
-        return features.pairs_of(blocking.candidates(a, b).select("s1_id", "t_id"), a, b)
+        a, b = self._records
+        if grams:
+            a, b = (written(features.with_grams(x, "norm_name", "norm_address")) for x in (a, b))
+        return features.pairs_of(self.candidates().select("s1_id", "t_id"), a, b)
 
     def scored(self) -> DataFrame:
         rows = features.features14(self.pairs(), cosines=False)
@@ -149,7 +158,7 @@ def histogram(spark, sf_dir):
 
 @register("er_candidates_topk", "SELECT s1_id, t_id, jaccard, rank FROM cands")
 def candidates(spark, sf_dir):
-    return _Work(spark, sf_dir).candidates()
+    return blocking.candidates(*_Work(spark, sf_dir)._records)
 
 
 @register(
@@ -160,7 +169,7 @@ FROM (SELECT count(*) AS true_pairs, count(c.t_id) AS captured FROM truth t LEFT
 )
 def recall(spark, sf_dir):
     w = _Work(spark, sf_dir)
-    return blocking.candidate_recall(w.t.s1, w.t.truth, written(w.candidates()))
+    return blocking.candidate_recall(w.t.s1, w.t.truth, w.candidates())
 
 
 def _gated(profile: str) -> Query:

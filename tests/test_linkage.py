@@ -226,3 +226,21 @@ def test_registered_scorers_train_on_the_whole_job(spark, monkeypatch, query, ki
     assert bool(asked) == (kind == "champion")
     if kind != "champion":
         assert e.value.args[2] == catalogue._Work(spark, "/root/testdata/sf0.001").candidates().count()
+
+
+def test_hot_postings_are_cut_before_they_are_sorted(spark):
+    t = rich_records(ents(spark, [(f"S2-{i:02}", f"alpha w{i}", "1 A St, Town TX", "US") for i in range(30)]))
+    q = rich_records(ents(spark, [("S1-1", "alpha", "1 A St, Town TX", "US")]))
+    plan = blocking.gated_candidates(q, t, blocking.GATES["champion"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4  # a partial and a final limit for each of the two ranks
+
+
+def test_streams_cut_hot_keys(spark, tmp_path):
+    from kinweave.streaming.linkage import StreamLinker
+
+    s1 = ents(spark, [(f"S1-{i}", f"alpha beta{i}", "", "US") for i in range(6)])
+    link = StreamLinker(s1, str(tmp_path), 0.0, max_posting=5, top=2)
+    got = link.score(ents(spark, [("S2-1", "alpha beta3", "", "US"), ("S2-2", "alpha gamma", "", "US")]))
+    assert ids(got) == [("S1-3", "S2-1")]  # the first word is hot, the second isn't
+    link = StreamLinker(s1, str(tmp_path), 0.0, top=2)
+    assert ids(link.score(ents(spark, [("S2-1", "alpha beta3", "", "US")]))) == [("S1-0", "S2-1"), ("S1-3", "S2-1")]

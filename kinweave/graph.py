@@ -14,11 +14,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ``edges`` has two columns ``a`` and ``b`` of one type that has an order. Every round moves
     each node to the smallest label among its neighbours and then to that label's own label;
     both steps are pre-aggregated minima, so a hub of any degree stays cheap. Rounds end when
-    no label moves; a path of length n takes about log n.
+    no label moves; a path of length n takes about log n. ``edges`` is read in every round.
     """
-    both = written(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b"), F.col("a")).where("a <> b")).distinct(), "edges")
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "label")
-    last = label
+    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b")
+    label, last = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), None
     for _ in range(rounds):
         near = both.join(label, both.b == label.node).groupBy(both.a.alias("n")).agg(F.min("root").alias("low"))
         moved = label.join(near, label.node == near.n).select("node", "root", F.least("root", "low").alias("low"))
@@ -31,11 +30,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .select("node", F.col("root").alias("was"), F.least("low", "far", "hooked").alias("root"))
         )
         new = written(new, "label")
-        drop(last)
+        if last is not None:
+            drop(last)
         label, last = new.select("node", "root"), new
         if new.where("was <> root").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components are not settled after {rounds} rounds")
-    drop(both)
-    return label
+            return label
+    raise RuntimeError(f"components are not settled after {rounds} rounds")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.checkpoint import drop, shared_dir, written  # noqa: F401
+from kinweave.graph import components  # noqa: F401
 
 #: What separates words: the blank and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,10 +85,9 @@ def bits_for(rows: int, most: int = 1 << 27) -> int:
 
 
 def bit_table(place: DataFrame, bits: int) -> DataFrame:
-    """w, bits: a bitmap of the values in the one column of ``place``, all below ``bits``, as a written table of ``bits`` / 32768 rows of 4 KB."""
+    """w, bits: a bitmap of the values in the one column of ``place``, all below ``bits``, as ``bits`` / 32768 rows of 4 KB."""
     v = F.col("v")
-    words = place.toDF("v").groupBy(F.shiftright(v, 15).alias("w")).agg(F.bitmap_construct_agg(v.bitwiseAND(32767)).alias("bits"))
-    return written(words, "bits")
+    return place.toDF("v").groupBy(F.shiftright(v, 15).alias("w")).agg(F.bitmap_construct_agg(v.bitwiseAND(32767)).alias("bits"))
 
 
 def with_bit(df: DataFrame, place, table: DataFrame, name: str) -> DataFrame:
@@ -113,42 +113,3 @@ def in_bitmap(bits: np.ndarray, spark: SparkSession):
         return pd.Series(test_bits(shared.value, at.to_numpy()))
 
     return known
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): each node that has an edge, with the smallest node it can reach.
-
-    ``edges`` has two bigint columns ``a`` and ``b``. Every round moves each node
-    to the smallest label among its neighbours and then to that label's own
-    label; both steps are pre-aggregated minima, so a hub of any degree stays
-    cheap. Rounds end when no label moves; a path of length n takes about log n.
-    """
-    both = written(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b"), F.col("a")).where("a <> b")).distinct(), "edges")
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "label")
-    last = label
-    for _ in range(rounds):
-        near = (
-            both.join(label, both.b == label.node)
-            .groupBy(both.a.alias("n"))
-            .agg(F.min("root").alias("low"))
-        )
-        moved = label.join(near, label.node == near.n).select(
-            "node", "root", F.least("root", "low").alias("low")
-        )
-        far = label.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        # the old root learns of the smaller label too, so whole trees hook at once
-        hook = moved.where("low < root").groupBy(F.col("root").alias("h")).agg(F.min("low").alias("hooked"))
-        new = (
-            moved.join(far, "low", "left")
-            .join(hook, F.col("node") == F.col("h"), "left")
-            .select("node", F.col("root").alias("was"), F.least("low", "far", "hooked").alias("root"))
-        )
-        new = written(new, "label")
-        drop(last)
-        label, last = new.select("node", "root"), new
-        if new.where("was <> root").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components are not settled after {rounds} rounds")
-    drop(both)
-    return label

@@ -15,8 +15,8 @@ of its parts any linked set has too, at least (``need``).
    set: equal sets are one class) and the parts. Shingles are not kept.
 2. Groups: parts that one class has are dropped, then classes with fewer shared parts
    than their need. A part that several classes have points to its smallest class, the
-   leader; a class belongs to the group of its smallest leader, whose name the group has.
-   All are pre-aggregated.
+   leader; a class belongs to the group of the leader that most of its parts point to (the
+   smallest of several), whose name the group has. All are pre-aggregated.
 3. Matrix: it holds (part, group) where any class of the group has the part: the group's
    token union. A query class bounds its overlap with a group by the number of its parts
    in the union, and opens only groups that reach what a linked set would have. Shingle
@@ -25,8 +25,8 @@ of its parts any linked set has too, at least (``need``).
    Most copies are connected then, in work linear in the size of a group. Of what is left,
    parts whose classes are not all connected, groups are cut into blocks of at most
    ``BLOCK`` classes with unions of their own; queries are bounded by them in the same
-   way, and in an open block all comparisons are one matrix product; the task gives one
-   edge for each query and component, never all pairs.
+   way, and in an open block all comparisons are one matrix product; the task gives edges
+   that span what it connects, fewer than it has classes, never all pairs.
 
 A class is known by 64 bits of its digest; where two sets share those, the other 64 bits
 tell them apart and name them anew, so that classes are equal sets up to 128 bits.
@@ -278,6 +278,25 @@ def open_block(queries: list[np.ndarray], members: list[np.ndarray], percent: in
     return 100 * both.astype(np.float64) >= percent * union
 
 
+def spanning(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edges between roots that connect what ``links`` (rows x columns, each with its root) connects."""
+    names, at = np.unique(np.concatenate([rows, columns]), return_inverse=True)
+    i, j = np.nonzero(links & (rows[:, None] != columns[None, :]))
+    pairs = np.unique(at[: len(rows)][i] * len(names) + at[len(rows) :][j])
+    a, b = pairs // max(1, len(names)), pairs % max(1, len(names))
+    label = np.arange(len(names))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            break
+        label = low
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
+
+
 def _opened(rows: DataFrame, percent: int) -> DataFrame:
     """Edges between queries and members of a block. ``rows``: block, chunk, side (0 member, 1 query), cls, root, s."""
 
@@ -286,11 +305,9 @@ def _opened(rows: DataFrame, percent: int) -> DataFrame:
         if not len(m) or not len(q):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         sets = lambda x: [np.frombuffer(s, _U) for s in x.s]
-        links = open_block(sets(q), sets(m), percent)
-        links &= q.root.to_numpy()[:, None] != m.root.to_numpy()[None, :]
-        qi, mi = np.nonzero(links)
-        out = pd.DataFrame({"a": q.cls.to_numpy()[qi], "b": m.cls.to_numpy()[mi], "root": m.root.to_numpy()[mi]})
-        return out.drop_duplicates(["a", "root"])[["a", "b"]]
+        a, b = spanning(open_block(sets(q), sets(m), percent), q.root.to_numpy(), m.root.to_numpy())
+        one = dict(zip([*q.root, *m.root], [*q.cls, *m.cls], strict=True))  # a class of each root
+        return pd.DataFrame({"a": [one[x] for x in a.tolist()], "b": [one[x] for x in b.tolist()]}, dtype=np.int64)
 
     return rows.groupBy("block", "chunk").applyInPandas(run, "a bigint, b bigint")
 
@@ -308,11 +325,11 @@ def _groups(sets: DataFrame, classes: DataFrame) -> DataFrame:
     shared = written(_posts(sets, leaders).join(leaders.select("part"), "part").distinct(), "shared")
     # the whole corpus as one group: a class with fewer shared parts than a linked set has links with nothing
     alive = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).join(classes, "cls").where("n >= need").select("cls")
-    kept = written(shared.join(alive, "cls"), "alive")
+    near = shared.join(alive, "cls")
+    votes = near.join(several(near), "part").groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("n"))
+    home = votes.groupBy("cls").agg(F.min(F.struct(-F.col("n"), "leader"))["leader"].alias("home"))
+    out = written(near.join(home, "cls"), "homes")
     drop(leaders, shared)
-    home = kept.join(several(kept), "part").groupBy("cls").agg(F.min("leader").alias("home"))
-    out = written(kept.join(home, "cls"), "homes")
-    drop(kept)
     return out
 
 
@@ -323,33 +340,50 @@ def _qualifying(posts: DataFrame, classes: DataFrame) -> DataFrame:
     return bound.join(classes.select("cls", "need"), "cls").where("overlap >= need").select("cls", "home")
 
 
+def _joined(rooted: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rooted`` (cls, root, ...) after its roots have been connected by ``edges`` (a, b) between classes."""
+    own = lambda c, to: rooted.select(F.col("cls").alias(c), F.col("root").alias(to))
+    between = written(edges.join(own("a", "x"), "a").join(own("b", "y"), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "between")
+    if not between.isEmpty():
+        found = components(between).select(F.col("node").alias("root"), F.col("root").alias("_new"))
+        rooted = rooted.join(found, "root", "left").withColumn("root", F.coalesce("_new", "root")).drop("_new").select(rooted.columns)
+    drop(between)
+    return rooted
+
+
 def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, digest, size, first for every row: ``first`` is the component's smallest (id is null, doc_id, digest), null for the empty set."""
     sets = written(_sets(docs, n, percent), "sets")
-    alike = sets.where("cls is not null").groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("cls")
-    alike = written(alike, "alike")
-    alike = None if alike.isEmpty() else alike
-    sets = _apart(sets, alike)
-    classes = written(
-        sets.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("rep"), F.max("size").alias("size"), F.max("need").alias("need")), "classes"
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("rep")
+    grouped = lambda: sets.where("cls is not null").groupBy("cls").agg(first, F.max("size").alias("size"), F.max("need").alias("need"), (F.min("check") != F.max("check")).alias("alike"))
+    classes, alike = written(grouped(), "classes"), None
+    if not classes.where("alike").isEmpty():
+        alike = classes.where("alike").select("cls")
+        sets = _apart(sets, alike)
+        classes = written(grouped(), "classes")
     posts = _groups(sets, classes)
     opened = written(_qualifying(posts, classes).where("cls <> home"), "qualifying")
     # linked classes have both opened the group of one of them, so no other class has a link
-    asked = written(opened.select("cls").union(opened.select("home")).distinct(), "asked")
+    asked = opened.select("cls").union(opened.select("home")).distinct()
     wanted = asked.join(classes, "cls").select("rep.doc_id")
     made = _apart(_shingled(docs, wanted, n), alike).join(asked, "cls", "left_semi")
     made = written(made.groupBy("cls").agg(F.first("s").alias("s")), "shingles")
+    near = posts.select("cls", "home").distinct().join(asked, "cls", "left_semi")
+    near = written(near.select("cls", F.col("cls").alias("root"), "home").join(classes.select("cls", "size", "need"), "cls"), "near")
 
-    leaders = made.select(F.col("cls").alias("home"), F.col("s").alias("t"))
-    pairs = opened.join(made, "cls").join(leaders, "home").select(F.col("cls").alias("a"), F.col("home").alias("b"), "s", "t")
-    linked = written(_with_leader(pairs, percent), "with_leader")
-    roots = components(linked)
+    def led(pairs: DataFrame) -> DataFrame:
+        leaders = made.select(F.col("cls").alias("home"), F.col("s").alias("t"))
+        pairs = pairs.join(made, "cls").join(leaders, "home").select(F.col("cls").alias("a"), F.col("home").alias("b"), "s", "t")
+        return _with_leader(pairs, percent)
+
+    # its own group's leader first, then, for each component among the other groups it opens, one leader
+    mine = near.select("cls", F.col("home").alias("mine"))
+    rooted = _joined(near, led(opened.join(mine, "cls").where("home = mine").select("cls", "home")))
+    own, other = rooted.select("cls", "root"), rooted.select(F.col("cls").alias("home"), F.col("root").alias("to"))
+    away = opened.join(own, "cls").join(other, "home").where("root <> to").groupBy("cls", "to").agg(F.min("home").alias("home"))
+    rooted = written(_joined(rooted, led(away.select("cls", "home"))), "rooted")
 
     # what the leaders left open
-    near = posts.select("cls", "home").distinct().join(asked, "cls", "left_semi")
-    rooted = near.join(roots, near.cls == roots.node, "left").select("cls", "home", F.coalesce("root", "cls").alias("root"))
-    rooted = written(rooted.join(classes.select("cls", "size", "need"), "cls"), "rooted")
     post = posts.select("part", "cls").join(rooted, "cls")
     mixed = post.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("part")
     post = written(post.join(mixed, "part"), "open")
@@ -380,18 +414,11 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     held = member.join(chunks, "block").select(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "cls", "root"
     )
-    more = written(_opened(asks.union(held).join(made, "cls"), percent), "more")
-    drop(posts, opened, asked, made, linked, post, member, open_)
-
-    # the new edges connect the roots found so far
-    last = rooted.select("cls", "root")
-    if not more.isEmpty():
-        own = lambda c, to: rooted.select(F.col("cls").alias(c), F.col("root").alias(to))
-        joined = components(more.join(own("a", "x"), "a").join(own("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        last = last.join(joined.select(F.col("node").alias("root"), F.col("root").alias("final")), "root", "left").select("cls", F.coalesce("final", "root").alias("root"))
+    last = _joined(rooted, _opened(asks.union(held).join(made, "cls"), percent)).select("cls", "root")
     named = classes.select("cls", "rep").join(last, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     names = named.groupBy("root").agg(F.min("rep").alias("first"))
-    named = named.join(names, "root").select("cls", "first")
+    named = written(named.join(names, "root").select("cls", "first"), "named")
+    drop(posts, opened, made, near, rooted, post, member, open_)
     return sets.join(named, "cls", "left").select("doc_id", "digest", "size", "first")
 
 

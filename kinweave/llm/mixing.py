@@ -77,8 +77,9 @@ def slots_before(point: Column, low: Column, high: Column, bits: int) -> Column:
 
 
 class Schedule(NamedTuple):
-    """``line``: a row for each document; ``pieces``: slot, s, block, row, lap, begin, stop, copy (words of that lap)."""
+    """``slots``: their number; ``line``: a row for each document; ``pieces``: slot, s, block, row, lap, begin, stop, copy (words of that lap)."""
 
+    slots: int
     line: DataFrame
     pieces: DataFrame
 
@@ -135,7 +136,7 @@ def _schedule(docs: DataFrame, weights: Sequence[float], share: float, cap: floa
     pieces = cuts.join(slots.hint("merge"), ["s", "block"])
     begin = F.greatest(F.col("from"), F.col("block") * block) - F.col("from")
     end = F.when(F.col("block") == last, F.col("to")).otherwise(F.least("to", (F.col("block") + 1) * block)) - F.col("from")
-    return Schedule(line, pieces.select("slot", "s", "block", "row", "lap", begin.alias("begin"), end.alias("stop"), (F.col("to") - F.col("from")).alias("copy")))
+    return Schedule(1 << bits, line, pieces.select("slot", "s", "block", "row", "lap", begin.alias("begin"), end.alias("stop"), (F.col("to") - F.col("from")).alias("copy")))
 
 
 OPTIONS = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "seed": 7}
@@ -143,7 +144,7 @@ OPTIONS = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "seed": 7}
 
 def schedule(docs: DataFrame, **options) -> DataFrame:
     """slot, source, block, doc_id, row, lap, begin, stop: the words begin to stop (not itself) of a document stand at a slot."""
-    line, pieces = _schedule(docs, **(OPTIONS | options))
+    _, line, pieces = _schedule(docs, **(OPTIONS | options))
     return pieces.join(line.select("row", "doc_id", "source"), "row").select("slot", "source", "block", "doc_id", "row", "lap", "begin", "stop")
 
 
@@ -153,7 +154,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     ``slots`` has (slot, words, place) for each time that the row is taken: where it begins, how
     many of its words are taken then, and its place among what begins at that slot. Options: ``OPTIONS``.
     """
-    line, pieces = _schedule(docs, **(OPTIONS | options))
+    return _mixed(_schedule(docs, **(OPTIONS | options)))
+
+
+def _mixed(plan: Schedule) -> DataFrame:
+    _, line, pieces = plan
     begun = F.when(F.col("begin") == 0, F.struct("slot", F.col("copy").alias("words")))
     taken = pieces.groupBy("row").agg(F.sum(F.col("stop") - F.col("begin")).alias("taken"), F.sort_array(F.collect_list(begun)).alias("slots"))
     places = F.transform("slots", lambda x: F.struct(x["slot"].alias("slot"), F.col("start").alias("at"), x["words"].alias("words")))
@@ -170,7 +175,9 @@ def mixed_documents(docs: DataFrame, order: str | None = None, **options) -> Dat
     """
     keys = ["doc_id", "digest", "source"]
     own, digest, source, size, slots, place, twin, left, right = fresh(docs, "id", "digest", "own_source", "size", "slots", "place", "twin", "copy", "copy_of")
-    took = written(mix(docs, **options).where("taken > 0").select(*keys, "size", "row", "slots"), "took")
+    spark = docs.sparkSession
+    plan = _schedule(docs, **(OPTIONS | options))
+    took = written(_mixed(plan).where("taken > 0").select(*keys, "size", "row", "slots"), "took")
     again = not took.groupBy(*keys).count().where("count > 1").isEmpty()
     took = took.withColumnsRenamed(dict(zip([*keys, "size", "slots"], [own, digest, source, size, slots], strict=True)))
     text = docs.withColumn(twin, F.xxhash64("text"))
@@ -185,7 +192,10 @@ def mixed_documents(docs: DataFrame, order: str | None = None, **options) -> Dat
     out = out.withColumn("text", F.when(words < F.col(size), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    out = out.orderBy(F.col(place)["slot"], F.col(place)["at"])
+    # slots are spread evenly, so ranges of them need no sample of the data: part i of the table has the i-th range
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col(place)["slot"] * parts / F.lit(plan.slots)).cast("int")
+    out = out.repartitionById(parts, part).sortWithinPartitions(F.col(place)["slot"], F.col(place)["at"])
     at = F.struct(F.col(place)["slot"].alias("slot"), F.col(place)["at"].alias("at"))
     return out.select(*docs.columns, *([at.alias(order)] if order else []))
 

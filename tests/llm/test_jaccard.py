@@ -129,3 +129,23 @@ def test_sets_that_share_half_a_digest_are_classes_of_their_own(spark, monkeypat
 
 def _batch(df):
     return df.toArrow().combine_chunks().to_batches()[0] if df.count() else df.toArrow().to_batches()[0]
+
+
+def test_spanning_edges_connect_the_same():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n, m = rng.integers(1, 30, 2)
+        rows, columns = rng.integers(0, 20, n) * 7 - 50, rng.integers(0, 20, m) * 7 - 50
+        links = rng.random((n, m)) < rng.choice([0.02, 0.1, 0.5])
+        a, b = jaccard.spanning(links, rows, columns)
+
+        def joined(pairs):
+            parent = {x: x for x in [*rows.tolist(), *columns.tolist()]}
+            find = lambda x: x if parent[x] == x else find(parent[x])
+            for x, y in pairs:
+                parent[max(find(x), find(y))] = min(find(x), find(y))
+            return {x: find(x) for x in parent}
+
+        i, j = np.nonzero(links)
+        assert joined(zip(a.tolist(), b.tolist())) == joined(zip(rows[i].tolist(), columns[j].tolist()))
+        assert len(a) < len({*rows.tolist(), *columns.tolist()})

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow_map, table
+from kinweave.llm.common import arrow_map, freed, table
 
 NEVER = 1 << 30
 #: words that a worker keeps with their ids; beyond, it starts anew
@@ -453,7 +453,9 @@ class Codec:
 @cache
 def codec(path: str) -> Codec:
     """Compiled once in a process: by the driver, which sends its flat arrays to the workers."""
-    return Codec(path)
+    out = Codec(path)
+    freed()
+    return out
 
 
 def slices(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:

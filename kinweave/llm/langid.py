@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow_map, bounded_batches, table
+from kinweave.llm.common import arrow_map, bounded_batches, freed, table
 
 DIMS = 1 << 17
 ORDERS = 4
@@ -142,7 +142,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     got = sorted(arrow_map(picked, run, "lang string, place bigint, p binary").collect(), key=lambda r: (r["place"], r["lang"], bytes(r["p"])))
     if not got:
         return None
-    return fit([np.frombuffer(bytes(r["p"]), np.int32) for r in got], [r["lang"] for r in got])
+    model = fit([np.frombuffer(bytes(r["p"]), np.int32) for r in got], [r["lang"] for r in got])
+    freed()
+    return model
 
 
 def predict(model: Model | None, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:

@@ -17,8 +17,8 @@ def _key(kind: str, value: Column, ok: Column) -> Column:
     return F.when(ok & value.isNotNull(), F.struct(F.lit(kind).alias("key_type"), value.alias("key")))
 
 
-def blocking_keys(records: DataFrame) -> DataFrame:
-    """country, entity_id, key_type, key: up to six keys for each normalised record (B-1).
+def blocking_keys(records: DataFrame, *more: str) -> DataFrame:
+    """country, entity_id, key_type, key (and ``more`` columns): up to six keys for each normalised record, one of a type (B-1).
 
     ``w1`` first name word, ``pfx3`` and ``pfx`` its first 3 and 4 characters, ``w2`` second
     name word, ``num`` first address number, ``addr`` first long address word.
@@ -36,7 +36,7 @@ def blocking_keys(records: DataFrame) -> DataFrame:
             _key("addr", street, F.lit(True)),
         )
     )
-    return records.select("country", "entity_id", F.explode(keys).alias("k")).select("country", "entity_id", "k.key_type", "k.key")
+    return records.select("country", "entity_id", *more, F.explode(keys).alias("k")).select("country", "entity_id", "k.key_type", "k.key", *more)
 
 
 def key_histogram(keys: DataFrame) -> DataFrame:
@@ -58,19 +58,15 @@ def candidates(s1: DataFrame, targets: DataFrame, max_posting: int = 2000, top:
 
     Targets are distinct by id. Up to ``top`` candidates all stay; beyond, the best do, ties by id.
     """
-    targets = targets.dropDuplicates(["entity_id"])
-    posts = blocking_keys(targets).withColumnRenamed("entity_id", "t_id").distinct()
+    by = ["country", "key_type", "key"]
+    keyed = lambda df, to: blocking_keys(df, "name_tokens").withColumnsRenamed({"entity_id": f"{to}_id", "name_tokens": f"{to}_tokens"})
+    posts = keyed(targets.dropDuplicates(["entity_id"]), "t")
     # a key's length is aggregated before anything is joined: hot keys never meet
-    small = posts.groupBy("country", "key_type", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_posting).drop("n")
-    posts = posts.join(small, ["country", "key_type", "key"])
-    asks = blocking_keys(s1).withColumnRenamed("entity_id", "s1_id").distinct()
-    pairs = asks.join(posts, ["country", "key_type", "key"]).select("s1_id", "t_id").distinct()
-    names = lambda df, to: df.select(F.col("entity_id").alias(to), F.col("name_tokens").alias(f"{to}_tokens"))
-    scored = (
-        pairs.join(names(s1, "s1_id"), "s1_id")
-        .join(names(targets, "t_id"), "t_id")
-        .select("s1_id", "t_id", token_jaccard(F.col("s1_id_tokens"), F.col("t_id_tokens")).alias("jaccard"))
-    )
+    small = posts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_posting).drop("n")
+    # names travel with the keys, so that neither side is joined again; a pair that several keys find is one after the aggregate,
+    # which, like the rank, runs on the partitions of its source-1 record
+    pairs = keyed(s1, "s1").join(posts.join(small, by), by).select("s1_id", "t_id", token_jaccard(F.col("s1_tokens"), F.col("t_tokens")).alias("jaccard"))
+    scored = pairs.repartition("s1_id").groupBy("s1_id", "t_id").agg(F.max("jaccard").alias("jaccard"))
     w = Window.partitionBy("s1_id").orderBy(F.desc("jaccard"), "t_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave import cli
-from kinweave.operators import evaluation, features, models, selection
+from kinweave.operators import blocking, evaluation, features, models, selection
 from kinweave.plans import linkage
 from kinweave.sources import readers, writers
 
@@ -191,3 +191,21 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert merged == ids(linkage.rule_linkage(s1, t, "turbo")[1]) and set(ids(truth)) <= set(merged)
     with pytest.raises(SystemExit):
         cli.main(["generate", "--data", d], spark)
+
+
+def test_true_matches_join_the_candidates_if_their_target_is_there(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "s1_id string, t_id string")
+    pool = spark.createDataFrame([("S2-1",), ("S2-2",), ("S2-3",)], "entity_id string")
+    got = blocking.with_true_matches(frame([("S1-1", "S2-1")]), frame([("S1-1", "S2-1"), ("S1-1", "S2-2"), ("S1-2", "S2-9")]), pool)
+    assert ids(got) == [("S1-1", "S2-1"), ("S1-1", "S2-2")]
+
+
+def test_labels_and_limited_negatives(spark):
+    pairs = [(f"S1-{i % 3}", f"S2-{i}") for i in range(60)]
+    rows = spark.createDataFrame(pairs, "s1_id string, t_id string")
+    truth = spark.createDataFrame([pairs[0], pairs[3], pairs[0], ("S1-9", "S2-9")], "s1_id string, t_id string")
+    data = models.labelled(rows, truth)
+    assert sorted((r.s1_id, r.t_id) for r in data.where("label = 1").collect()) == sorted([pairs[0], pairs[3]]) and data.count() == 60
+    few = models.limit_negatives(data, 5).collect()
+    assert sum(r.label for r in few) == 2 and all(sum(r.s1_id == f"S1-{k}" and not r.label for r in few) == 5 for k in range(3))
+    assert sorted(map(str, few)) == sorted(map(str, models.limit_negatives(data.repartition(3), 5).collect()))

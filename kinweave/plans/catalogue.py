@@ -214,7 +214,10 @@ def jaro(spark, sf_dir):
     return p.select("s1_id", "t_id", F.round(jaro_winkler_udf(*plain), 6).alias("jaro"))
 
 
-@register("er_token_ratios")
+@register(
+    "er_token_ratios",
+    f"SELECT s1_id, t_id, b_sort AS token_sort, b_set AS token_set FROM ({sql.ratios('SELECT c.s1_id, c.t_id, a.norm_name AS x, b.norm_name AS y FROM cands c JOIN rec a ON a.entity_id = c.s1_id JOIN rec b ON b.entity_id = c.t_id', ('x', 'y'))})",
+)
 def ratios(spark, sf_dir):
     p = _Work(spark, sf_dir).pairs()
     return p.select("s1_id", "t_id", token_sort_udf("a_norm_name", "b_norm_name").alias("token_sort"), token_set_udf("a_norm_name", "b_norm_name").alias("token_set"))
@@ -225,12 +228,23 @@ def _vector(more: bool) -> Query:
         t = tables(spark, sf_dir)
         a, b = (written(rich_records(x, "champion")) for x in (t.s1, t.targets))
         cands = blocking.gated_candidates(a, b, blocking.GATES["champion"])
-        return features.features19(features.with_ratios(features.pairs_of(cands, a, b)), more)
+        rows = features.features19(features.with_ratios(features.pairs_of(cands, a, b)), more)
+        return rows.withColumns({c: F.round(c, 6) for c in ("b_jaro", "a_jaro")})  # SQL's function divides in another order
 
     return run
 
 
-QUERIES["er_features19"], QUERIES["er_features22"] = _vector(False), _vector(True)
+_IF_ADDRESS = "CASE WHEN e THEN 0.0 ELSE {0} END AS {0}"
+_VECTOR19 = ", ".join(
+    ["s1_id", "t_id", "b_sort", "b_set", "round(b_jaro, 6) AS b_jaro", "b_lev", _IF_ADDRESS.format("a_sort"), _IF_ADDRESS.format("a_set"), "round(CASE WHEN e THEN 0.0 ELSE a_jaro END, 6) AS a_jaro"]
+    + [f"{sql.flag(c)} AS {n}" for n, c in {"is_empty": "e", "has_nums": "has", "nums_overlap": "ov", "nums_conflict": "has AND NOT ov", "geo_match": "same_geo", "geo_conflict": "region"}.items()]
+    + ["CAST(len(list_intersect(x_nums, y_nums)) AS DOUBLE) AS num_inter"]
+    + [f"{sql.flag(c)} AS {n}" for n, c in {"is_indic": "script", "w1_match": "x_two[1] = y_two[1]", "w2_match": "len(x_two) = 2 AND x_two = y_two", "ns_contain": "inside", "is_s2": "t_id LIKE 'S2-%'"}.items()]
+)
+_VECTOR22 = _VECTOR19 + f""", least(length(x_core_brand), length(y_core_brand)) / greatest(length(x_core_brand), length(y_core_brand), 1) AS b_len_ratio,
+  len(list_intersect(x_addr_tokens, y_addr_tokens)) / greatest(len(list_distinct(x_addr_tokens)), 1) AS addr_tok_ratio, {sql.flag("pins_meet")} AS pin_match"""
+for _name, _cols, _more in (("er_features19", _VECTOR19, False), ("er_features22", _VECTOR22, True)):
+    register(_name, f"SELECT {_cols} FROM ({sql.pair_rows('champion', blocking.GATES['champion'])})")(_vector(_more))
 
 # ---- scorers ----
 
@@ -334,13 +348,28 @@ def _rules(profile: str) -> Query:
         p = PROFILES[profile]
         a, b = (written(rich_records(x, p.records)) for x in (t.s1, t.targets))
         cands = blocking.gated_candidates(a, b, blocking.GATES[p.gate])
-        return scoring.rule_scores(features.pairs_of(cands, a, b), p.scorer)
+        return scoring.rule_scores(features.pairs_of(cands, a, b), p.scorer).withColumn("score", F.round("score", 9))
 
     return run
 
 
+def _rule_sql(profile: str) -> str:
+    """s1_id, t_id, score, is_auto of the pairs that score: the profile's rules over its own candidates and ratios."""
+    p = PROFILES[profile]
+    records = {"v3": "v2", "v4": "v2"}.get(p.records, p.records)
+    empty, clash, more = _FLAG_RULES[profile]
+    brand = "CASE WHEN inside THEN greatest(b_sort, 92.0) ELSE b_sort END"
+    if profile == "refined":
+        brand = f"CASE WHEN len(x_two) = 2 AND x_two = y_two THEN greatest({brand}, 88.0) ELSE {brand} END"
+    address = "greatest(a_sort, a_set)" if profile == "refined" else "a_sort"
+    veto = "WHEN generic AND (x_core_brand <> y_core_brand OR NOT ov) THEN 0" if profile == "refined" else ""
+    case = f"CASE WHEN region OR NOT same_country THEN 0 {veto} WHEN e THEN CASE WHEN b >= {empty} AND b_jaro >= {empty / 100} THEN 0.92 + b / 1000 ELSE 0 END WHEN has AND NOT ov AND b < {clash} THEN 0 {' '.join('WHEN ' + m for m in more)} ELSE 0 END"
+    auto = f"NOT e AND a >= {78 if profile == 'v3' else 80} AND (ov OR NOT has)" if profile in ("v2", "v3") else "false"
+    return f"""SELECT s1_id, t_id, round(CAST({case} AS DOUBLE), 9) AS score, {auto} AS is_auto FROM (SELECT *, {brand} AS b, {address} AS a FROM ({sql.pair_rows(records, blocking.GATES[p.gate])})) WHERE CAST({case} AS DOUBLE) > 0"""
+
+
 for _p in ("v2", "v3", "v4", "production", "turbo", "v5", "fixed", "optimal", "refined"):
-    QUERIES[f"er_rule_tiers_{_p}"] = _rules(_p)
+    register(f"er_rule_tiers_{_p}", _rule_sql(_p))(_rules(_p))
 
 
 def _trained(kind: str) -> Query:
@@ -762,13 +791,18 @@ def validate(spark, sf_dir):
 def _linked(profile: str) -> Query:
     def run(spark, sf_dir):
         t = tables(spark, sf_dir)
-        return linkage.rule_linkage(t.s1, t.targets, profile)[1]
+        return linkage.rule_linkage(t.s1, t.targets, profile)[1].withColumn("score", F.round("score", 9))
 
     return run
 
 
 for _p in ("v4", "v5", "refined"):
-    QUERIES[f"er_linkage_{_p}"] = _linked(_p)
+    _sel = PROFILES[_p]
+    register(
+        f"er_linkage_{_p}",
+        f"""SELECT s1_id, t_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, t_id[1:2] ORDER BY score DESC, t_id) AS rank
+FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) AS top FROM ({_rule_sql(_p)})) WHERE score >= {_sel.min_score} AND top - score <= {_sel.margin}) WHERE rank <= {_sel.cap}""",
+    )(_linked(_p))
 
 
 @register("er_linkage_champion")

@@ -321,3 +321,56 @@ UNION SELECT a.id, p.id FROM asks a JOIN posts p USING (country, kind, key) WHER
 
 _JOINED = "array_to_string(list_sort(list_distinct({0})), ' ') AS {0}"
 RICH_TURBO = f"SELECT entity_id, norm_name, norm_addr, core_brand, geo, no_space, {_JOINED.format('nums')}, {_JOINED.format('addr_tokens')} FROM rows_turbo"
+
+
+# ---- string similarities in SQL; arguments are names of columns ----
+
+
+def indel(a: str, b: str) -> str:
+    """200 LCS / (both lengths): the longest common subsequence by one bit vector of 128 for each letter, for texts under 126 characters."""
+    full = f"((1::HUGEINT << length({a})::HUGEINT) - 1)"
+    masks = f"list_transform(string_split({b}, ''), lambda c: list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = c THEN 1::HUGEINT << (i - 1)::HUGEINT ELSE 0::HUGEINT END))::HUGEINT)"
+    state = f"list_reduce({masks}, lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full}, {full})"
+    return f"(CASE WHEN {a} = {b} THEN 100.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 200.0 * (length({a}) - bit_count({state}))::DOUBLE / (length({a}) + length({b})) END)::DOUBLE"
+
+
+def jaro(a: str, b: str) -> str:
+    """DuckDB compares bytes: letters beyond ASCII become capitals, which these texts don't have."""
+    ascii_ = lambda x: f"translate({x}, '{LETTERS}', '{''.join(chr(65 + i) for i in range(len(LETTERS)))}')"
+    return f"CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE jaro_winkler_similarity({ascii_(a)}, {ascii_(b)}) END"
+
+
+def ratios(source: str, name: tuple[str, str], address: tuple[str, str] | None = None) -> str:
+    """``source`` with b_sort, b_set, b_lev, b_jaro of its columns ``name``, and a_sort, a_set, a_jaro of ``address``."""
+    sides = {"b": name} | ({"a": address} if address else {})
+    one, two, three = [], [], []
+    for k, (x, y) in sides.items():
+        one += [f"{words(c)} AS {k}_w{i}" for i, c in enumerate((x, y))]
+        join = lambda e: f"array_to_string(list_sort(list_distinct({e})), ' ')"
+        only = lambda i, j: f"list_filter({k}_w{i}, lambda x: NOT list_contains({k}_w{j}, x))"  # noqa: B023, E731
+        two += [f"array_to_string(list_sort({k}_w{i}), ' ') AS {k}_s{i}" for i in (0, 1)]
+        two += [f"{join(f'list_intersect({k}_w0, {k}_w1)')} AS {k}_c"]
+        two += [f"trim({join(f'list_intersect({k}_w0, {k}_w1)')} || ' ' || {join(only(i, 1 - i))}) AS {k}_t{i}" for i in (0, 1)]
+        common = f"greatest({indel(f'{k}_t0', f'{k}_t1')}, {indel(f'{k}_c', f'{k}_t0')}, {indel(f'{k}_c', f'{k}_t1')})"
+        three += [
+            f"{indel(f'{k}_s0', f'{k}_s1')} AS {k}_sort",
+            f"CASE WHEN {k}_w0 = [] OR {k}_w1 = [] THEN 0.0 WHEN {k}_c <> '' THEN {common} ELSE {indel(f'{k}_t0', f'{k}_t1')} END AS {k}_set",
+            f"{indel(x, y)} AS {k}_lev",
+            f"{jaro(x, y)} AS {k}_jaro",
+        ]
+    return f"SELECT *, {', '.join(three)} FROM (SELECT *, {', '.join(two)} FROM (SELECT *, {', '.join(one)} FROM ({source})))"
+
+
+def pair_rows(records: str, gate) -> str:
+    """The candidates of a gate with what rules and vectors compare; x is source 1, y the target."""
+    cols = "core_brand norm_addr geo no_space nums addr_tokens stems".split()
+    both = ", ".join(f"{side}.{c} AS {side}_{c}" for side in "xy" for c in cols)
+    script = lambda e: f"regexp_matches({e}.business_name, '[^\\x00-\\x7F]')"
+    pins = lambda e: f"regexp_extract_all(replace({e}.business_address, 'ß', 'z'), '\\b\\d{{5,6}}\\b')"
+    rows = f"""SELECT p.s1_id, p.t_id, {both}, y.is_addr_empty AS e, CASE WHEN y.is_addr_empty THEN '' ELSE y.norm_addr END AS y_addr, x.country = y.country AS same_country,
+  x.geo <> '' AND y.geo <> '' AND x.geo <> y.geo AS region, x.geo <> '' AND x.geo = y.geo AS same_geo, {script("f")} AND NOT {script("d")} AS script,
+  len(x.nums) > 0 AND len(y.nums) > 0 AS has, list_has_any(x.nums, y.nums) AS ov, x.no_space <> '' AND y.no_space <> '' AND (contains(x.no_space, y.no_space) OR contains(y.no_space, x.no_space)) AS inside,
+  x.core_brand IN {one_of(X.GENERIC_WORDS)} OR length(x.core_brand) <= 2 OR y.core_brand IN {one_of(X.GENERIC_WORDS)} OR length(y.core_brand) <= 2 AS generic,
+  {words("x.core_brand")}[1:2] AS x_two, {words("y.core_brand")}[1:2] AS y_two, list_has_any({pins("d")}, {pins("f")}) AS pins_meet
+FROM ({gated(records, gate)}) p JOIN rows_{records} x ON x.entity_id = p.s1_id JOIN rows_{records} y ON y.entity_id = p.t_id JOIN ent d ON d.entity_id = p.s1_id JOIN ent f ON f.entity_id = p.t_id"""
+    return ratios(rows, ("x_core_brand", "y_core_brand"), ("x_norm_addr", "y_addr"))

@@ -574,11 +574,16 @@ def unassigned(spark, sf_dir):
 _MARKED = {"a": "àâäãá", "c": "ç", "e": "éèêë", "i": "íîï", "n": "ñ", "o": "óôöõ", "u": "úùûü"}
 # the adapter's number and source stay out here, so that copies of a text have equal addresses
 _PLACE_OF = "regexp_replace(business_address, '^[0-9]* |, [^,]*$', '', 'g')"
-_UNMARKED = f"lower({_PLACE_OF})"
-for _plain, _letters in _MARKED.items():
-    for _letter in _letters:
-        _UNMARKED = f"replace({_UNMARKED}, '{_letter}', '{_plain} ')"
-_ADDRESS = f"array_to_string(list_filter({sql.words(sql.spaces(_UNMARKED))}, lambda t: t NOT IN ('none', 'null', 'nan')), ' ')"
+
+
+def _address_key(address: str) -> str:
+    text = f"lower({address})"
+    for plain, letters in _MARKED.items():
+        for letter in letters:
+            text = f"replace({text}, '{letter}', '{plain} ')"
+    return f"array_to_string(list_filter({sql.words(sql.spaces(text))}, lambda t: t NOT IN ('none', 'null', 'nan')), ' ')"
+
+
 # the match table: the first of each source, of a run that didn't score two targets in five
 _FAR = "CAST(substring(t_id, 4) AS BIGINT) % 5 > 1"
 sql.cte(
@@ -586,19 +591,25 @@ sql.cte(
     f"""SELECT s1_id, t_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, t_id[1:2] ORDER BY score DESC, t_id) AS rank
 FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) AS top FROM scored WHERE {_FAR}) WHERE score >= 0.5 AND top - score <= 0.1) WHERE rank <= 1""",
 )
-sql.cte("addresses", f"SELECT e.entity_id, e.ord, trim(e.country) AS country, {_ADDRESS} AS addr_key FROM ent e")
-# every address group of the data has one set of numbers, so no pair conflicts: places and targets are numbered and joined
-sql.cte(
-    "free_places",
-    """SELECT country, addr_key, source, s1_id, row_number() OVER (PARTITION BY country, addr_key, source ORDER BY ord, s1_id, k) AS no FROM (
-  SELECT a.country, a.addr_key, s.source, a.entity_id AS s1_id, a.ord, unnest(range(1 + (SELECT count(*) FROM firsts p WHERE p.s1_id = a.entity_id AND p.t_id[1:2] = s.source), 3)) AS k
-  FROM addresses a, (SELECT unnest(['S2', 'S3']) AS source) s WHERE a.entity_id LIKE 'S1-%' AND length(a.addr_key) >= 18)""",
-)
-sql.cte(
-    "free_targets",
-    """SELECT country, addr_key, entity_id[1:2] AS source, entity_id AS t_id, row_number() OVER (PARTITION BY country, addr_key, entity_id[1:2] ORDER BY ord, entity_id) AS no
-FROM addresses WHERE entity_id NOT LIKE 'S1-%' AND length(addr_key) >= 18 AND entity_id NOT IN (SELECT t_id FROM firsts)""",
-)
+
+
+def _rescue_tables(name: str, address: str, held: str) -> None:
+    """<name>_places and <name>_targets for the match table ``held``. Every address group of the data has one set of numbers, so no pair conflicts: places and targets are numbered and joined."""
+    sql.cte(f"{name}_addresses", f"SELECT e.entity_id, e.ord, trim(e.country) AS country, {_address_key(address)} AS addr_key FROM ent e")
+    sql.cte(
+        f"{name}_places",
+        f"""SELECT country, addr_key, source, s1_id, row_number() OVER (PARTITION BY country, addr_key, source ORDER BY ord, s1_id, k) AS no FROM (
+  SELECT a.country, a.addr_key, s.source, a.entity_id AS s1_id, a.ord, unnest(range(1 + (SELECT count(*) FROM {held} p WHERE p.s1_id = a.entity_id AND p.t_id[1:2] = s.source), 3)) AS k
+  FROM {name}_addresses a, (SELECT unnest(['S2', 'S3']) AS source) s WHERE a.entity_id LIKE 'S1-%' AND length(a.addr_key) >= 18)""",
+    )
+    sql.cte(
+        f"{name}_targets",
+        f"""SELECT country, addr_key, entity_id[1:2] AS source, entity_id AS t_id, row_number() OVER (PARTITION BY country, addr_key, entity_id[1:2] ORDER BY ord, entity_id) AS no
+FROM {name}_addresses WHERE entity_id NOT LIKE 'S1-%' AND length(addr_key) >= 18 AND entity_id NOT IN (SELECT t_id FROM {held})""",
+    )
+
+
+_rescue_tables("free", _PLACE_OF, "firsts")
 
 
 @register("er_address_rescue", "SELECT s1_id, t_id FROM free_places JOIN free_targets USING (country, addr_key, source, no)")
@@ -811,7 +822,20 @@ def champion(spark, sf_dir):
     return linkage.champion(t.s1, t.targets, t.truth)[1]
 
 
-@register("er_linkage_refined_table")
+sql.cte("pruned", f"SELECT m.s1_id, m.t_id, m.idx {_JOINED} WHERE {_KEEP}")
+sql.cte("refined_rank", "SELECT r.* FROM reranked r JOIN pruned k ON k.s1_id = r.s1_id AND k.t_id = r.t_id")
+sql.cte(
+    "refined_kept",
+    """SELECT s1_id, t_id, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, idx, t_id) - 1 AS idx, score
+FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, t_id[1:2] ORDER BY score DESC, idx, t_id) AS r FROM refined_rank) WHERE r <= 2 OR r = 3 AND score >= 120""",
+)
+_rescue_tables("left", "business_address", "refined_kept")
+
+
+@register(
+    "er_linkage_refined_table",
+    "SELECT s1_id, t_id, idx, score FROM refined_kept UNION ALL SELECT s1_id, t_id, 1000, 0 FROM left_places JOIN left_targets USING (country, addr_key, source, no)",
+)
 def refined_table(spark, sf_dir):
     w = _Work(spark, sf_dir)
     return linkage.refined(_matches(w), w.t.s1, w.t.targets, selection.threshold(w.scored(), 0.6))

@@ -37,7 +37,7 @@ from kinweave.llm.common import WORD, fresh, table, written
 
 MIN_SLOTS, BLOCK_WORDS, BUCKET_ROWS = 1 << 17, 256, 1000
 #: points that one row of the driver's plan is unfolded to at a time
-POINTS_EACH = 1 << 16
+POINTS_EACH = 1 << 15
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: float) -> list[float]:
@@ -110,7 +110,8 @@ def _schedule(docs: DataFrame, weights: Sequence[float], share: float, cap: floa
     sources = spark.createDataFrame(plan, f"s int, name {kind}, source_size bigint, target double, take bigint, points bigint, low bigint")
 
     chunks = sources.where("points > 0").select("s", "points", "low", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("points") - 1) / POINTS_EACH))).alias("c"))
-    chunks = chunks.repartition(max(1, low // (16 * POINTS_EACH)))
+    tasks = min(low // POINTS_EACH, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = chunks.repartition(max(1, tasks, low >> 24))
     first = F.col("low") + F.col("c") * POINTS_EACH
     points = chunks.select("s", "low", (F.col("low") + F.col("points")).alias("high"), F.explode(F.sequence(first, F.least(first + POINTS_EACH, F.col("low") + F.col("points")) - 1)).alias("point"))
     point = F.col("point")

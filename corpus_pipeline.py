@@ -11,7 +11,8 @@ can read, and a stage can be run again from there.
 3. ``near``: of documents connected by Jaccard similarity of at least 0.8 on five-word
    shingles the one with the smallest id stays.
 4. ``mix``: sources are brought to their targets. A document that the mix takes twice is two
-   rows; one that it takes in part is cut after the words taken; one not taken goes.
+   rows; one that it takes in part is cut after the words taken; one not taken goes. Rows are
+   in the order of the schedule's slots.
 5. ``encode``: every document's token ids, their number and digests, and the decoded text's digest.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import bpe, exact, jaccard, langid, mixing
-from kinweave.llm.common import table, written
+from kinweave.llm.common import drop, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

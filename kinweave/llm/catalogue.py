@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kinweave.llm.bpe import op1_bpe
+from kinweave.llm.centroids import OP13_SQL, op13_centroids
 from kinweave.llm.exact import OP6_SQL, op6_exact_dedup
 from kinweave.llm.hnsw import op8_hnsw
 from kinweave.llm.jaccard import op4_ngram_jaccard
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_hnsw": op8_hnsw,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
+    "op13_centroids": op13_centroids,
 }
-ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op13_centroids": OP13_SQL}

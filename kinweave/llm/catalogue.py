@@ -11,6 +11,7 @@ from kinweave.llm.langid import op7_language_id
 from kinweave.llm.mixing import op5_mixing
 from kinweave.llm.pii import op10_pii
 from kinweave.llm.repair import OP11_SQL, op11_repair
+from kinweave.llm.suffixes import op12_suffixes
 from kinweave.llm.tokencount import op9_token_counts
 from kinweave.llm.urlfilter import OP3_SQL, op3_url_filter
 from kinweave.llm.warc import OP2_SQL, op2_warc
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
     "op11_repair": op11_repair,
+    "op12_suffixes": op12_suffixes,
     "op13_centroids": op13_centroids,
 }
 ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op11_repair": OP11_SQL, "op13_centroids": OP13_SQL}

@@ -12,21 +12,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.checkpoint import written
+
 
 def _key(kind: str, value: Column, ok: Column) -> Column:
     return F.when(ok & value.isNotNull(), F.struct(F.lit(kind).alias("key_type"), value.alias("key")))
 
 
-def blocking_keys(records: DataFrame, *more: str) -> DataFrame:
-    """country, entity_id, key_type, key (and ``more`` columns): up to six keys for each normalised record, one of a type (B-1).
-
-    ``w1`` first name word, ``pfx3`` and ``pfx`` its first 3 and 4 characters, ``w2`` second
-    name word, ``num`` first address number, ``addr`` first long address word.
-    """
+def _keys() -> Column:
+    """Up to six keys (key_type, key) of a normalised record."""
     w1, w2 = F.get("name_tokens", F.lit(0)), F.get("name_tokens", F.lit(1))
     number = F.get("address_numbers", F.lit(0))
     street = F.get(F.filter("address_tokens", lambda t: (F.length(t) >= 4) & ~t.rlike(r"^\p{Nd}+$")), F.lit(0))
-    keys = F.array_compact(
+    return F.array_compact(
         F.array(
             _key("w1", w1, F.length(w1) >= 3),
             _key("pfx3", F.substring(w1, 1, 3), F.length(w1) >= 3),
@@ -36,7 +34,15 @@ def blocking_keys(records: DataFrame, *more: str) -> DataFrame:
             _key("addr", street, F.lit(True)),
         )
     )
-    return records.select("country", "entity_id", *more, F.explode(keys).alias("k")).select("country", "entity_id", "k.key_type", "k.key", *more)
+
+
+def blocking_keys(records: DataFrame, *more: str) -> DataFrame:
+    """country, entity_id, key_type, key (and ``more`` columns): up to six keys for each normalised record, one of a type (B-1).
+
+    ``w1`` first name word, ``pfx3`` and ``pfx`` its first 3 and 4 characters, ``w2`` second
+    name word, ``num`` first address number, ``addr`` first long address word.
+    """
+    return records.select("country", "entity_id", *more, F.explode(_keys()).alias("k")).select("country", "entity_id", "k.key_type", "k.key", *more)
 
 
 def key_histogram(keys: DataFrame) -> DataFrame:
@@ -53,22 +59,84 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+#: key types whose records share a name word, so that no pair of them has Jaccard 0
+SHARING = ("w1", "w2")
+#: postings of more than so many times ``top`` are bounded; shorter ones meet as they are, as bounds let about so many through
+LONG = 8
+BY = ["country", "key_type", "key"]
+
+
+def _subsets(words: Column, n: int) -> Column:
+    """Subsets of ``n`` of the words, which are sorted and distinct, as texts."""
+    if n == 1:
+        return words
+    rest = lambda i: F.slice(words, i + 2, F.size(words))
+    longer = lambda w, i: F.transform(_subsets(rest(i), n - 1), lambda s: F.concat_ws(" ", w, s))
+    return F.flatten(F.transform(words, longer))
+
+
+def _first(df: DataFrame, n: int, by: list[str], *order: str) -> DataFrame:
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def postings(targets: DataFrame, max_posting: int) -> DataFrame:
+    """country, key_type, key, n, size, words (sorted), t_id: the postings of keys that aren't hot. ``n``: length of the posting."""
+    posts = blocking_keys(targets.dropDuplicates(["entity_id"]), "name_tokens").select(*BY, F.col("entity_id").alias("t_id"), F.array_sort(F.array_distinct("name_tokens")).alias("words"))
+    # a key's length is aggregated before anything is joined: hot keys never meet
+    small = posts.groupBy(*BY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_posting)
+    return posts.join(small, BY).withColumn("size", F.size("words"))
+
+
+def bounded_postings(posts: DataFrame, top: int) -> dict[int, DataFrame]:
+    """Of long postings what a best ``top`` can come from: 0 by key, 1 to 3 by key and that many name words (``part``).
+
+    Targets of one name have one Jaccard with any record, so of each only the first ``top`` ids
+    count. With a record X, a target Y that shares exactly a set S of k words has Jaccard
+    k / (|X| + |Y| - k); targets that hold S and come first by (|Y|, id) aren't worse and rank
+    before it, so ``top`` of them are enough for k = 1 and 2. Those that share three words are
+    all there. Those that share none have Jaccard 0, and each of the key's first ``top`` ids ranks
+    before any later one of them, whether it shares a word or not.
+    """
+    names = _first(posts, top, [*BY, "words"], "t_id")
+    part = lambda n: names.where(F.col("size") >= n).withColumn("part", F.explode(_subsets(F.col("words"), n)))
+    return {
+        0: _first(posts.where(~F.col("key_type").isin(*SHARING)), top, BY, "t_id"),
+        1: _first(part(1), top, [*BY, "part"], "size", "t_id"),
+        2: _first(part(2), top, [*BY, "part"], "size", "t_id"),
+        3: part(3),
+    }
+
+
+def met_pairs(asks: DataFrame, posts: DataFrame, top: int) -> DataFrame:
+    """s1_id, t_id, jaccard, with repeats: ``asks`` (s1_id, keys, words) meets the postings; every pair that can be among the best ``top`` is there."""
+    keyed = asks.select("s1_id", "country", "s1_words", F.explode("keys").alias("k")).select("s1_id", "country", "s1_words", "k.key_type", "k.key")
+    long = F.col("n") > LONG * top
+    jaccard = lambda p: p.select("s1_id", "t_id", token_jaccard(F.col("s1_words"), F.col("words")).alias("jaccard"))
+    out = jaccard(keyed.join(posts.where(~long), BY))
+    bounded = bounded_postings(posts.where(long), top)
+    probes = keyed.join(posts.where(long).select(*BY).distinct(), BY, "left_semi")
+    out = out.unionByName(jaccard(probes.join(bounded[0], BY)))
+    for n in (1, 2, 3):
+        parts = probes.withColumn("part", F.explode(_subsets(F.col("s1_words"), n)))
+        out = out.unionByName(jaccard(parts.join(bounded[n], [*BY, "part"])))
+    return out
+
+
 def candidates(s1: DataFrame, targets: DataFrame, max_posting: int = 2000, top: int = 30) -> DataFrame:
     """s1_id, t_id, rank, jaccard: union of postings, hot keys skipped, best ``top`` by name Jaccard (B-2, B-3, L-7).
 
     Targets are distinct by id. Up to ``top`` candidates all stay; beyond, the best do, ties by id.
+    Records of source 1 with equal keys and names have the same candidates, so one of them asks
+    and a hot name asks once. Long postings are bounded before pairs meet (``bounded_postings``).
     """
-    by = ["country", "key_type", "key"]
-    keyed = lambda df, to: blocking_keys(df, "name_tokens").withColumnsRenamed({"entity_id": f"{to}_id", "name_tokens": f"{to}_tokens"})
-    posts = keyed(targets.dropDuplicates(["entity_id"]), "t")
-    # a key's length is aggregated before anything is joined: hot keys never meet
-    small = posts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_posting).drop("n")
-    # names travel with the keys, so that neither side is joined again; a pair that several keys find is one after the aggregate,
-    # which, like the rank, runs on the partitions of its source-1 record
-    pairs = keyed(s1, "s1").join(posts.join(small, by), by).select("s1_id", "t_id", token_jaccard(F.col("s1_tokens"), F.col("t_tokens")).alias("jaccard"))
-    scored = pairs.repartition("s1_id").groupBy("s1_id", "t_id").agg(F.max("jaccard").alias("jaccard"))
+    own = s1.select("entity_id", "country", F.array_sort(_keys()).alias("keys"), F.array_sort(F.array_distinct("name_tokens")).alias("s1_words"))
+    own = own.withColumn("asked", F.sha2(F.to_json(F.struct("country", "keys", "s1_words")), 256))
+    asks = written(own.groupBy("asked").agg(*[F.first(c).alias(c) for c in ("country", "keys", "s1_words")]).withColumnRenamed("asked", "s1_id"), "asks")
+    posts = written(postings(targets, max_posting), "postings")
+    scored = met_pairs(asks, posts, top).repartition("s1_id").groupBy("s1_id", "t_id").agg(F.max("jaccard").alias("jaccard"))
     w = Window.partitionBy("s1_id").orderBy(F.desc("jaccard"), "t_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).withColumnRenamed("s1_id", "asked")
+    return own.select(F.col("entity_id").alias("s1_id"), "asked").join(best, "asked").select("s1_id", "t_id", "jaccard", "rank")
 
 
 def with_true_matches(pairs: DataFrame, truth: DataFrame, pool: DataFrame) -> DataFrame:

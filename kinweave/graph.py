@@ -33,6 +33,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if last is not None:
             drop(last)
         label, last = new.select("node", "root"), new
+        label._scratch = new._scratch  # a caller may drop it
         if new.where("was <> root").isEmpty():
             return label
     raise RuntimeError(f"components are not settled after {rounds} rounds")

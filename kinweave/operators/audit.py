@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def source_profile(entities: DataFrame, source: str) -> DataFrame:
-    """One row: rows, duplicate ids, bad prefixes, empties, lengths and word counts (E-5)."""
+def source_profiles(entities: DataFrame, source: Column) -> DataFrame:
+    """A row for each source: rows, duplicate ids, bad prefixes, empties, lengths and word counts (E-5).
+
+    One aggregate over all sources; ``source`` says which one a row is of. The median of lengths is
+    exact and needs no sort: what is merged is a count of each length, and lengths are few.
+    """
     name, addr = F.coalesce("business_name", F.lit("")), F.coalesce("business_address", F.lit(""))
     words = lambda c: F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda t: t != ""))
     blank = lambda c: F.count_if(F.trim(c) == "")
-    return entities.agg(
-        F.lit(source).alias("source"),
+    return entities.withColumn("source", source).groupBy("source").agg(
         F.count(F.lit(1)).alias("n_rows"),
         (F.count("entity_id") - F.countDistinct("entity_id")).alias("duplicate_ids"),
-        F.count_if(~F.col("entity_id").startswith(f"{source}-")).alias("bad_prefix"),
+        F.count_if(~F.col("entity_id").startswith(F.concat("source", F.lit("-")))).alias("bad_prefix"),
         blank(name).alias("empty_names"),
         blank(addr).alias("empty_addresses"),
         blank(F.coalesce("country", F.lit(""))).alias("empty_countries"),
@@ -30,6 +35,17 @@ def source_profile(entities: DataFrame, source: str) -> DataFrame:
     )
 
 
+def source_profile(entities: DataFrame, source: str) -> DataFrame:
+    """The row of one source; none for an empty table."""
+    return source_profiles(entities, F.lit(source))
+
+
+def name_quantiles(entities: DataFrame, source: Column, shares: Sequence[float] = (0.5, 0.9, 0.99), accuracy: int = 1000) -> DataFrame:
+    """source, quantiles: of the name lengths of each source, by a mergeable summary whose rank error is at most 1 / ``accuracy`` of the rows."""
+    length = F.length(F.coalesce("business_name", F.lit("")))
+    return entities.withColumn("source", source).groupBy("source").agg(F.percentile_approx(length, list(shares), accuracy).alias("quantiles"))
+
+
 def country_counts(entities: DataFrame) -> DataFrame:
     return entities.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
 

@@ -90,9 +90,15 @@ def gap(pred: DataFrame, truth: DataFrame, cands: DataFrame) -> DataFrame:
     )
 
 
+def hash_place(seed: int, column: str, places: int = 100):
+    """A place below ``places`` for each value, by the first 32 bits of an MD5 that other engines have too."""
+    word = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(column)).cast("binary")), 1, 8)
+    return F.conv(word, 16, 10).cast("bigint") % places
+
+
 def split(s1: DataFrame, percent: int = 80, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Train and validation entities by a hash of the id (E-10)."""
-    place = F.pmod(F.xxhash64(F.lit(seed), "entity_id"), F.lit(100))
+    place = hash_place(seed, "entity_id")
     return s1.where(place < percent), s1.where(place >= percent)
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.checkpoint import written
+from kinweave.checkpoint import drop, written
 from kinweave.functions import text as X
 from kinweave.operators.blocking import address_index
 
@@ -72,47 +72,90 @@ def unassigned(targets: DataFrame, matches: DataFrame) -> DataFrame:
     return targets.join(matches.select(F.col("t_id").alias("entity_id")).distinct(), "entity_id", "left_anti")
 
 
-def rescue(s1: DataFrame, targets: DataFrame, matches: DataFrame, least: int = 18, most: int = 2) -> DataFrame:
+#: targets and free places of one address that a task decides at once
+TURN = 200_000
+
+
+def rescue(s1: DataFrame, targets: DataFrame, matches: DataFrame, least: int = 18, most: int = 2, turn: int = TURN) -> DataFrame:
     """s1_id, t_id of targets without a match given to the first s1 of equal address with a free place (P-7).
 
-    Inputs are entities with ``ord``, their place in the file. Targets go in file order, S2
-    before S3. Where no numbers in an address group conflict, places and targets are numbered
-    and joined; only groups with a conflict are walked one target at a time.
+    Inputs are entities with ``ord``, their place in the file. Targets go in file order; sources
+    have places of their own, so each is decided by itself. Where no numbers in an address group
+    conflict, places and targets are numbered and joined. Groups with a conflict go in turns: the
+    first ``turn`` targets that are open, and those free places that are among the first ``turn``
+    without numbers or with any one number, which is all that these targets can reach, are decided
+    by one task in linear time; the next turn has the targets after them. So a task's size is
+    bounded whatever the group's, and turns follow the order of a single walk.
     """
     keyed = lambda df: df.select(
         "entity_id", F.trim(F.coalesce("country", F.lit(""))).alias("country"), X.address_key(X.fold_marks(F.coalesce("business_address", F.lit("")))).alias("addr_key"), "ord",
         X.number_set(F.col("business_address")).alias("nums"),
     )
-    free = keyed(unassigned(targets, matches)).where(F.length("addr_key") >= least).withColumn("source", F.substring("entity_id", 1, 2))
+    free = keyed(unassigned(targets, matches)).where(F.length("addr_key") >= least).withColumn("source", F.substring("entity_id", 1, 2)).where(F.col("source").isin("S2", "S3"))
     own = keyed(s1)
     index = address_index(own, matches, least, most).join(own.select(F.col("entity_id").alias("s1_id"), "nums"), "s1_id")
     keys = ["country", "addr_key"]
     words = F.when(F.size("nums") > 0, F.concat_ws(" ", F.array_sort("nums")))
     seen = index.select(*keys, words.alias("w")).unionByName(free.select(*keys, words.alias("w")))
     clash = seen.groupBy(*keys).agg(F.coalesce(F.min("w") != F.max("w"), F.lit(False)).alias("clash"))
-    clash = clash.join(free.select(*keys).distinct(), keys, "left_semi").join(index.select(*keys).distinct(), keys, "left_semi")
-
-    places = index.join(clash.where("not clash"), keys).select(*keys, "s1_id", "ord", F.explode(F.array(F.struct(F.lit("S2").alias("source"), F.col("n2").alias("n")), F.struct(F.lit("S3").alias("source"), F.col("n3").alias("n")))).alias("f"))
-    places = places.where(F.col("f.n") < most).select(*keys, "f.source", "s1_id", "ord", F.explode(F.sequence(F.col("f.n") + 1, F.lit(most).cast("bigint"))).alias("k"))
-    number = lambda df, *by: df.withColumn("no", F.row_number().over(Window.partitionBy(*keys, "source").orderBy(*by)))
-    given = number(places, "ord", "s1_id", "k").join(
-        number(free.join(clash.where("not clash"), keys).select(*keys, "source", F.col("entity_id").alias("t_id"), F.col("ord").alias("t_ord")), "t_ord", "t_id"),
-        [*keys, "source", "no"],
-    )
-
-    def walk(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = [[r.s1_id, set(r.nums), {"S2": r.n2, "S3": r.n3}] for r in a.sort_values(["ord", "s1_id"]).itertuples()]
-        out = []
-        for t in b.sort_values(["source", "ord", "entity_id"]).itertuples():
-            own = set(t.nums)
-            for s1_id, nums, have in rows:
-                if have[t.source] < most and not (nums and own and not nums & own):
-                    have[t.source] += 1
-                    out.append((s1_id, t.entity_id))
-                    break
-        return pd.DataFrame(out, columns=["s1_id", "t_id"])
-
-    odd = clash.where("clash").select(*keys)
-    left, right = written(index.join(odd, keys)), written(free.join(odd, keys))
-    walked = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(walk, "s1_id string, t_id string")
-    return given.select("s1_id", "t_id").unionByName(walked)
+    clash = written(clash.join(free.select(*keys).distinct(), keys, "left_semi").join(index.select(*keys).distinct(), keys, "left_semi"), "clash")
+
+    room = F.array(*[F.struct(F.lit(s).alias("source"), F.col(n).alias("n")) for s, n in (("S2", "n2"), ("S3", "n3"))])
+    places = index.join(clash, keys).select(*keys, "clash", "s1_id", "ord", "nums", F.explode(room).alias("f"))
+    places = places.where(F.col("f.n") < most).select(*keys, "clash", "f.source", "s1_id", "ord", "nums", F.explode(F.sequence(F.col("f.n") + 1, F.lit(most).cast("bigint"))).alias("k"))
+    open_ = free.join(clash, keys).select(*keys, "clash", "source", F.col("entity_id").alias("t_id"), F.col("ord").alias("t_ord"), "nums")
+    number = lambda df, *by: df.where("not clash").withColumn("no", F.row_number().over(Window.partitionBy(*keys, "source").orderBy(*by))).drop("nums", "clash")
+    out = [number(places, "ord", "s1_id", "k").join(number(open_, "t_ord", "t_id"), [*keys, "source", "no"]).select("s1_id", "t_id")]
+
+    group = [*keys, "source"]
+    places, open_ = (written(x.where("clash").drop("clash"), "turn") for x in (places, open_))
+    while not open_.isEmpty() and not places.isEmpty():
+        first = lambda df, by, *order: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= turn).drop("_r")
+        now = written(first(open_, group, "t_ord", "t_id"), "now")
+        # a place stands in the list of all places, in that of places without numbers, or in those of its numbers
+        lists = F.concat(F.array(F.lit("")), F.when(F.size("nums") == 0, F.array(F.lit("-"))).otherwise(F.transform("nums", lambda n: F.concat(F.lit("="), n))))
+        near = first(places.withColumn("_l", F.explode(lists)), [*group, "_l"], "ord", "s1_id", "k").drop("_l").dropDuplicates([*group, "s1_id", "k"])
+        near = near.join(now.select(*group).distinct(), group, "left_semi")
+        given = near.groupBy(*group).cogroup(now.groupBy(*group)).applyInPandas(_walk, "country string, addr_key string, source string, s1_id string, k bigint, t_id string")
+        given = written(given, "given")
+        out.append(given.select("s1_id", "t_id"))
+        rest = written(open_.join(now.select(*group, "t_id"), [*group, "t_id"], "left_anti"), "turn")
+        left = written(places.join(given.select(*group, "s1_id", "k"), [*group, "s1_id", "k"], "left_anti"), "turn")
+        drop(open_, places, now)
+        open_, places = rest, left
+    drop(open_, places)
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every
+
+
+def _walk(key: tuple, places: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+    """Targets in order, each to the first free place whose numbers don't conflict with its own.
+
+    A place that a target may take stands first in the list of all places (for a target without
+    numbers), or in that of places without numbers or of one of the target's numbers. Lists only
+    lose places, so each is read once.
+    """
+    rows = places.sort_values(["ord", "s1_id", "k"])
+    lists: dict[str | None, list[int]] = {"": list(range(len(rows))), None: []}
+    for i, nums in enumerate(rows.nums):
+        for n in set(nums) if len(nums) else (None,):
+            lists.setdefault(n, []).append(i)
+    at, taken, out = dict.fromkeys(lists, 0), [False] * len(rows), []
+    who = list(zip(rows.s1_id, rows.k, strict=True))
+
+    def head(name: str | None) -> int:
+        mine, i = lists[name], at[name]
+        while i < len(mine) and taken[mine[i]]:
+            i += 1
+        at[name] = i
+        return mine[i] if i < len(mine) else len(rows)
+
+    for t in targets.sort_values(["t_ord", "t_id"]).itertuples():
+        names = [None, *[n for n in t.nums if n in lists and n != ""]] if len(t.nums) else [""]
+        place = min(map(head, names))
+        if place < len(rows):
+            taken[place] = True
+            out.append((*key, *who[place], t.t_id))
+    return pd.DataFrame(out, columns=["country", "addr_key", "source", "s1_id", "k", "t_id"])

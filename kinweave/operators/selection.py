@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.checkpoint import written
+from kinweave.checkpoint import drop, written
 from kinweave.graph import components
 
 
@@ -88,22 +88,23 @@ def unique_assignment(scored: DataFrame, min_score: float = 0.85, margin: float
     An edge that is first among the open ones of both its s1 and its target is decided as
     the greedy would: accepted if it is within ``margin`` of the s1's first free edge and
     the source's cap isn't reached. Rounds decide all such edges at once; each ends in a
-    written table. Chains longer than ``rounds`` are finished by the sequential rule inside
+    written table, and drops those of the round before. Chains longer than ``rounds`` are finished by the sequential rule inside
     their connected component, which is what is left of the graph by then; components of
     more than ``SEQUENTIAL`` edges go on in rounds, so no task holds more than that.
     ``by`` names columns whose values are settings of their own: each is assigned by itself.
     """
     by = list(by)
     order = [F.desc("score"), F.asc("s1_id"), F.asc("t_id")]
-    open_ = written(scored.where(F.col("score") >= min_score).select(*by, "s1_id", "t_id", "score", source_of().alias("source")).distinct())
+    open_ = written(scored.where(F.col("score") >= min_score).select(*by, "s1_id", "t_id", "score", source_of().alias("source")).distinct(), "open")
     spark = scored.sparkSession
-    state = spark.createDataFrame([], open_.select(*by, "s1_id", F.col("score").alias("best"), F.lit(0).alias("n2"), F.lit(0).alias("n3")).schema)
-    done, left = [], rounds
+    empty = spark.createDataFrame([], open_.select(*by, "s1_id", F.col("score").alias("best"), F.lit(0).alias("n2"), F.lit(0).alias("n3")).schema)
+    state, done, left = written(empty, "state"), [], rounds
     while not open_.isEmpty():
         if not left:
-            small, open_ = _apart(open_, by)
-            done.append(_finish(small, state, margin, cap, by))
-            left = rounds
+            small, rest, named = _apart(open_, by)
+            done.append(written(_finish(small, state, margin, cap, by), "finished"))
+            drop(open_, named)
+            open_, left = rest, rounds
             continue
         left -= 1
         by_s1, by_t = Window.partitionBy(*by, "s1_id").orderBy(*order), Window.partitionBy(*by, "t_id").orderBy(*order)
@@ -112,16 +113,21 @@ def unique_assignment(scored: DataFrame, min_score: float = 0.85, margin: float
         n = F.when(F.col("source") == "S2", F.coalesce("n2", F.lit(0))).otherwise(F.coalesce("n3", F.lit(0)))
         best = F.coalesce("best", "score")
         ok = (best - F.col("score") <= margin) & (n < cap) & F.col("source").isin("S2", "S3")
-        head = written(head.select(*by, "s1_id", "t_id", "score", "source", best.alias("best"), ok.alias("ok"), "n2", "n3"))
-        done.append(head.where("ok").select(*by, "s1_id", "t_id", "score"))
+        head = written(head.select(*by, "s1_id", "t_id", "score", "source", best.alias("best"), ok.alias("ok"), "n2", "n3"), "head")
+        done.append(head)
         add = lambda s: (F.coalesce(f"n{s[1]}", F.lit(0)) + (F.col("ok") & (F.col("source") == s)).cast("int")).cast("int")
         news = head.select(*by, "s1_id", "best", add("S2").alias("n2"), add("S3").alias("n3"))
-        state = written(state.join(news, [*by, "s1_id"], "left_anti").unionByName(news))
         taken = head.where("ok").select(*by, "t_id")
-        open_ = written(open_.join(head, [*by, "s1_id", "t_id"], "left_anti").join(taken, [*by, "t_id"], "left_anti"))
-    out = done[0] if done else scored.select(*by, "s1_id", "t_id", "score").limit(0)
-    for d in done[1:]:
-        out = out.unionByName(d)
+        last = (state, open_)
+        state = written(state.join(news, [*by, "s1_id"], "left_anti").unionByName(news), "state")
+        open_ = written(open_.join(head, [*by, "s1_id", "t_id"], "left_anti").join(taken, [*by, "t_id"], "left_anti"), "open")
+        drop(*last)
+    columns = [*by, "s1_id", "t_id", "score"]
+    out = scored.select(*columns).limit(0)
+    for d in done:
+        out = out.unionByName((d.where("ok") if "ok" in d.columns else d).select(*columns))
+    out = written(out, "assigned")  # the one table that stays
+    drop(open_, state, *done)
     return out
 
 
@@ -129,14 +135,15 @@ def unique_assignment(scored: DataFrame, min_score: float = 0.85, margin: float
 SEQUENTIAL = 1_000_000
 
 
-def _apart(open_: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The edges of components that a task may hold, with ``root``, and the others."""
+def _apart(open_: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges of components that a task may hold, with ``root``; the others; the table that the first are read from."""
     node = lambda kind, c: F.concat_ws("\t", F.lit(kind), *[F.col(x).cast("string") for x in by], c)
     named = open_.withColumn("_s", node("s", "s1_id"))
     roots = components(named.select(F.col("_s").alias("a"), node("t", "t_id").alias("b")))
-    named = written(named.join(roots, named["_s"] == roots["node"]).drop("_s", "node"))
+    named = written(named.join(roots, named["_s"] == roots["node"]).drop("_s", "node"), "named")
+    drop(roots)
     large = named.groupBy("root").count().where(F.col("count") > SEQUENTIAL).select("root")
-    return named.join(large, "root", "left_anti"), written(named.join(large, "root", "left_semi").drop("root"))
+    return named.join(large, "root", "left_anti"), written(named.join(large, "root", "left_semi").drop("root"), "rest"), named
 
 
 def _finish(edges: DataFrame, state: DataFrame, margin: float, cap: int, by: list[str]) -> DataFrame:

@@ -8,14 +8,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.checkpoint import written
+from kinweave.checkpoint import shared_dir, written
 from kinweave.functions.similarity import jaro_winkler_udf, token_set_udf, token_sort_udf
 from kinweave.operators import audit, blocking, evaluation, features, models, refine, scoring, selection
 from kinweave.operators.records import normalize_records, rich_records
 from kinweave.plans import linkage, sql
 from kinweave.plans.adapter import Tables, tables
 from kinweave.plans.profiles import PROFILES
-from kinweave.sources import readers
+from kinweave.sources import readers, writers
 from kinweave.sources.writers import wide
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,6 +385,50 @@ def _trained(kind: str) -> Query:
 QUERIES["er_gbdt_scores"] = _trained("gbdt")
 QUERIES["er_logreg_scores"] = _trained("logreg")
 
+# ---- training sets and splits ----
+
+
+@register("er_train_candidates", "SELECT s1_id, t_id FROM cands UNION SELECT s1_id, t_id FROM truth")
+def train_candidates(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return blocking.with_true_matches(w.candidates(), w.t.truth, w.t.targets)
+
+
+sql.cte("labelled", "SELECT c.s1_id, c.t_id, CAST(t.t_id IS NOT NULL AS INTEGER) AS label FROM cands c LEFT JOIN truth t ON t.s1_id = c.s1_id AND t.t_id = c.t_id")
+
+
+@register("er_labelled_pairs", "SELECT * FROM labelled")
+def labelled_pairs(spark, sf_dir):
+    w = _Work(spark, sf_dir)
+    return models.labelled(w.candidates().select("s1_id", "t_id"), w.t.truth)
+
+
+@register(
+    "er_limited_negatives",
+    "SELECT s1_id, t_id, label FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY md5(s1_id || '|' || t_id), t_id) AS r FROM labelled) WHERE label = 1 OR r <= 8",
+)
+def limited_negatives(spark, sf_dir):
+    return models.limit_negatives(labelled_pairs(spark, sf_dir), 8)
+
+
+@register("er_train_split", "SELECT entity_id, CAST('0x' || md5('42|' || entity_id)[:8] AS BIGINT) % 100 < 80 AS train FROM s1")
+def train_split(spark, sf_dir):
+    train, held = evaluation.split(tables(spark, sf_dir).s1.select("entity_id"))
+    return train.withColumn("train", F.lit(True)).unionByName(held.withColumn("train", F.lit(False)))
+
+
+@register(
+    "er_validation_set",
+    """WITH head AS (SELECT entity_id FROM s1 ORDER BY entity_id LIMIT 10000)
+SELECT entity_id FROM head UNION SELECT t_id FROM truth WHERE s1_id IN (SELECT entity_id FROM head)
+UNION (SELECT entity_id FROM targets WHERE entity_id LIKE 'S2-%' ORDER BY entity_id LIMIT 100000) UNION (SELECT entity_id FROM targets WHERE entity_id LIKE 'S3-%' ORDER BY entity_id LIMIT 100000)""",
+)
+def validation_set(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    head, pool = evaluation.validation_set(t.s1, t.truth, t.targets)
+    return head.select("entity_id").unionByName(pool.select("entity_id"))
+
+
 # ---- selection ----
 
 
@@ -693,8 +737,7 @@ FROM ent WHERE entity_id LIKE '{s}-%'"""
 @register("er_source_profile", " UNION ALL ".join(_PROFILE.format(s=s) for s in ("S1", "S2", "S3")))
 def source_profile(spark, sf_dir):
     t = tables(spark, sf_dir)
-    parts = [audit.source_profile(t.s1, "S1"), *[audit.source_profile(t.targets.where(F.col("entity_id").startswith(f"{s}-")), s) for s in ("S2", "S3")]]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = audit.source_profiles(t.s1.unionByName(t.targets), F.substring("entity_id", 1, 2))
     return out.select(*[F.round(c, 9).alias(c) if c.startswith("avg_") else F.col(c) for c in out.columns])
 
 
@@ -760,6 +803,33 @@ def results_wide(spark, sf_dir):
     return wide(w.t.s1.drop("ord"), _matches(w))
 
 
+@register("er_entity_files", "SELECT entity_id, business_name, business_address, country FROM ent")
+def entity_files(spark, sf_dir):
+    """The entities, written as TSV and read back."""
+    t = tables(spark, sf_dir)
+    path = f"{shared_dir(spark)}/entities"
+    writers.write_tsv(t.s1.unionByName(t.targets), path)
+    return readers.entities(spark, path)
+
+
+@register(
+    "er_result_files",
+    """SELECT f.kind, s.entity_id AS s1_id, m.t_id, CAST(m.place AS INTEGER) AS idx FROM s1 s CROSS JOIN (VALUES ('tsv'), ('ordered'), ('csv')) f(kind)
+LEFT JOIN (SELECT s1_id, t_id, row_number() OVER (PARTITION BY s1_id ORDER BY idx, t_id) - 1 AS place FROM matches) m ON m.s1_id = s.entity_id""",
+)
+def result_files(spark, sf_dir):
+    """The result table, written in two parts that are appended, in file order, and as unquoted CSV; each read back."""
+    w = _Work(spark, sf_dir)
+    table, top = written(wide(w.t.s1, _matches(w))), shared_dir(spark)
+    even = F.col("ord") % 2 == 0
+    writers.write_tsv(table.where(even), f"{top}/tsv")
+    writers.write_tsv(table.where(~even), f"{top}/tsv", mode="append")
+    writers.write_tsv(table, f"{top}/ordered", ordered=True)
+    writers.write_csv(table, f"{top}/csv")
+    parts = [readers.results(spark, f"{top}/{kind}", comma=kind == "csv").select(F.lit(kind).alias("kind"), "s1_id", "t_id", "idx") for kind in ("tsv", "ordered", "csv")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 sql.cte("good", _WIDE)
 sql.cte(
     "broken",

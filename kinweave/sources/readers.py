@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinweave.checkpoint import drop, written
 from kinweave.schema import ENTITY
 
 
@@ -27,8 +28,50 @@ def sample(df: DataFrame, n: int) -> DataFrame:
 
 
 def row_range(df: DataFrame, offset: int, length: int, by: str = "entity_id") -> DataFrame:
-    """Rows offset .. offset + length in the order of ``by`` (S-4). Only the rows up to the end are sorted out."""
-    return df.orderBy(by).limit(offset + length).offset(offset)
+    """Rows offset .. offset + length in the order of ``by`` (S-4); rows with one value of ``by`` are in the order of a hash.
+
+    Keys alone are dealt into ranges and sorted; a range's rows are counted, so the keys at both
+    ends of the slice are known without a task that sees all rows. Then the scan takes what lies
+    between them. Equal rows at an end are told apart by number.
+    """
+    spark, own = df.sparkSession, F.xxhash64(*df.columns)
+    keys = df.select(F.col(by).alias("v"), own.alias("h"))
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranged = written(keys.repartitionByRange(F.asc_nulls_first("v"), "h").sortWithinPartitions(F.asc_nulls_first("v"), "h").select("v", "h", F.spark_partition_id().alias("p"), at.alias("i")), "ranges")
+    sizes = sorted((r.p, r["count"]) for r in ranged.groupBy("p").count().collect())  # one row for each range
+    total = sum(n for _, n in sizes)
+    offset, end = max(0, offset), min(max(0, offset) + max(0, length), total)
+    if offset >= end:
+        return df.limit(0)
+
+    def key_at(place: int) -> tuple:
+        """(value, hash, rows of this key before the place)"""
+        for p, n in sizes:
+            if place < n:
+                break
+            place -= n
+        row = ranged.where((F.col("p") == p) & (F.col("i") == place)).first()
+        before = ranged.where((F.col("p") == p) & (F.col("i") < place) & F.col("v").eqNullSafe(F.lit(row.v)) & (F.col("h") == row.h)).count()
+        return row.v, row.h, before
+
+    (v1, h1, skipped), (v2, h2, before) = key_at(offset), key_at(end - 1)
+    drop(ranged)
+    kind = df.schema[by].dataType
+    lit = lambda v: F.lit(v).cast(kind)
+    order = lambda v: F.struct(F.lit(v is not None), lit(v))
+    here = F.struct(F.col(by).isNotNull(), F.col(by).cast(kind))
+    span = df if v1 is None else df.where(F.col(by) >= lit(v1))  # these reach the scan
+    if v1 is not None and v2 is not None:
+        span = span.where(F.col(by) <= lit(v2))
+    low, high = F.struct(order(v1), F.lit(h1)), F.struct(order(v2), F.lit(h2))
+    me = F.struct(here, own)
+    inner = span.where((me > low) & (me < high))
+    one = (v1, h1) == (v2, h2)
+    ends = span.where((me == low) | (me == high)).withColumn("_low", me == low)
+    ends = ends.withColumn("_n", F.row_number().over(Window.partitionBy("_low").orderBy(F.lit(0))))
+    # equal rows: those after the skipped ones at the first key, those up to the end at the last
+    ends = ends.where((F.col("_n") > skipped) & (F.col("_n") <= before + 1)) if one else ends.where(F.when(F.col("_low"), F.col("_n") > skipped).otherwise(F.col("_n") <= before + 1))
+    return inner.unionByName(ends.drop("_low", "_n")).orderBy(F.asc_nulls_first(by), own)
 
 
 def needed(df: DataFrame, ids: DataFrame) -> DataFrame:

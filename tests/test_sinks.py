@@ -116,7 +116,7 @@ def companies(spark, n=24):
 @pytest.mark.parametrize("hard", [False, True])
 def test_the_pipeline_trains_predicts_and_tunes(spark, tmp_path, hard):
     s1, t, truth = companies(spark)
-    pipe = linkage.ERPipeline(threshold=0.5, hard_negatives=hard, overrides={"maxIter": 5})
+    pipe = linkage.ERPipeline(threshold=0.5, hard_negatives=hard, overrides={"maxIter": 5, "stepSize": 0.9})
     cands, got = pipe.train(s1, t, truth).predict(s1, t)
     assert ids(got) == ids(truth) and set(ids(got)) <= set(ids(cands))
     sweep = pipe.tune(s1, t, truth, taus=(0.1, 0.5, 0.9))
@@ -171,7 +171,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
         gt.setdefault(r.s1_id, []).append(r.t_id)
     (tmp_path / "ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"{k}\t{','.join(v)}\n" for k, v in gt.items()), encoding="utf-8")
     d, out = str(tmp_path), str(tmp_path / "out")
-    monkeypatch.setitem(models.SETTINGS, "gbdt", {"maxIter": 5})
+    monkeypatch.setitem(models.SETTINGS, "gbdt", {"maxIter": 5, "stepSize": 0.9})
     assert cli.main(["generate", "--data", d, "--train", d, "--save", f"{d}/model", "--out", out, "--threshold", "0.5"], spark) == 0
     got = readers.results(spark, f"{out}/matching_results")
     assert ids(got.where("t_id is not null")) == ids(truth) and got.select("s1_id").distinct().count() == 24

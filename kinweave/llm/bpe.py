@@ -45,6 +45,8 @@ from kinweave.llm.common import arrow_map, freed, table
 NEVER = 1 << 30
 #: words that a worker keeps with their ids; beyond, it starts anew
 CACHE_WORDS = 150_000
+#: ids of those words, and of long words that have been met since
+CACHE_IDS = 1_500_000
 #: nor does it keep anything beside a word longer than this
 CACHE_WORD_BYTES = 64
 #: characters of the texts that are encoded together
@@ -323,12 +325,14 @@ class _Words(dict):
     def start(self) -> None:
         self.clear()
         self.new: list[str] = []
-        self.long = False
+        self.long: list[str] = []
+        self.count = 0
         self.ids, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, word: str) -> int:
         self.new.append(word)
-        self[word] = n = len(self)
+        self[word] = n = self.count
+        self.count += 1
         return n
 
     def settle(self) -> None:
@@ -337,7 +341,7 @@ class _Words(dict):
         parts, sizes = [self.ids], [self.size]
         raw = list(map(str.encode, self.new))
         upto = np.cumsum(list(map(len, raw)))
-        self.long |= int(np.diff(upto, prepend=0).max()) > CACHE_WORD_BYTES
+        self.long += [w for w, b in zip(self.new, raw, strict=True) if len(b) > CACHE_WORD_BYTES]
         lo = 0
         while lo < len(raw):
             hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + WALK_BYTES, "right")))
@@ -350,8 +354,11 @@ class _Words(dict):
         self.new = []
 
     def bound(self) -> None:
-        """Start anew beyond the limits."""
-        if len(self) > CACHE_WORDS or self.long:
+        """Forget long words, which rarely come again; start anew beyond the limits, which count them as well."""
+        for word in self.long:
+            del self[word]
+        self.long = []
+        if self.count > CACHE_WORDS or len(self.ids) > CACHE_IDS:
             self.start()
 
 

@@ -14,8 +14,8 @@ fill up). Links are made mutual, and a node with too many chooses anew in the sa
 graph is flat arrays: vectors, ids with offsets, and for each layer an array of neighbours.
 
 Every query goes to every shard of its length: a stated query set against all rows, in
-blocks of ``QUERY_ROWS``. A task searches one graph for one block: down the layers, then
-a beam of ``BEAM`` nodes in layer 0. Each shard gives k rows for a query; they are ranked
+blocks of ``QUERY_ROWS``. A task reads a stream of one graph and then the queries, so each graph
+travels once; a block of queries goes down the layers, then a beam of ``BEAM`` nodes in layer 0. Each shard gives k rows for a query; they are ranked
 by exact distance in double precision, ties by id. Work is queries times shards, so on a
 cluster shards should be as large as an executor's memory allows (``shard_rows``).
 
@@ -28,12 +28,15 @@ are searched after scaling. Fewer than k candidates: all of them. Empty: none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import freed, table, written
+from kinweave.llm.common import arrow_map, table, written
 
 SHARD_ROWS = 32_768
 QUERY_ROWS = 4096
@@ -289,28 +292,44 @@ def neighbours(embeddings: DataFrame, queries: DataFrame, k: int = 10, beam: int
     fields = "dim int, shard int, vectors binary, ids binary, offsets binary, sizes array<int>, links binary"
     graphs = written(dealt.select("dim", "shard", "vec_id", "embedding").groupBy("dim", "shard").applyInPandas(build, fields), "graphs")
 
-    blocks = asks.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks"))
-    blocks = written(blocks.join(shards, "dim"), "blocks")
-    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = graphs.join(F.broadcast(blocks.select("dim", "blocks")), "dim").withColumn("block", upto("blocks")).drop("blocks")
-    right = (
-        asks.join(F.broadcast(blocks), "dim")
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(3), F.col("vec_id")), F.col("blocks")).cast("int"))
-        .withColumn("shard", upto("shards"))
-        .select("dim", "shard", "block", "vec_id", "embedding", F.xxhash64("embedding").alias("asked"))  # a repeated id with another vector is another query
+    # one stream for each shard: its graph, then the queries, so a graph travels once however many queries there are
+    none = lambda **kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
+    held = graphs.select("dim", "shard", "vectors", "ids", "offsets", "sizes", "links", *none(vec_id="bigint", embedding="array<double>", asked="bigint"))
+    upto = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    sent = (
+        asks.join(F.broadcast(shards), "dim")
+        .withColumn("shard", upto)
+        # a repeated id with another vector is another query
+        .select("dim", "shard", *none(vectors="binary", ids="binary", offsets="binary", sizes="array<int>", links="binary"), "vec_id", "embedding", F.xxhash64("embedding").alias("asked"))
     )
-
-    def search(key: tuple, g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(g) and len(q):
-            own = q.vec_id.to_numpy(np.int64)
-            near = Graph.of(g.iloc[0], int(key[0])).search_all(np.array(q.embedding.tolist(), np.float64), own, k, beam)
-            found = [(i, asked, x, d) for i, asked, hits in zip(own.tolist(), q.asked.tolist(), near, strict=True) for d, x in hits]
-        freed()
-        return pd.DataFrame(found, columns=["query_id", "asked", "vec_id", "score"]).astype({"query_id": "int64", "asked": "int64", "vec_id": "int64", "score": "float64"})
-
-    keys = ["dim", "shard", "block"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id bigint, asked bigint, vec_id bigint, score double")
+    stream = held.unionByName(sent).repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.asc_nulls_first("vec_id"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, dim, waiting = None, 0, []
+
+        def found() -> pa.RecordBatch:
+            q, own = np.array([w[1] for w in waiting], np.float64), np.array([w[0] for w in waiting], np.int64)
+            near = graph.search_all(q, own, k, beam)
+            rows = [(i, asked, x, d) for (i, _, asked), hits in zip(waiting, near, strict=True) for d, x in hits]
+            waiting.clear()
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["query_id", "asked", "vec_id", "score"])
+
+        for b in batches:
+            for row in b.to_pylist():
+                if row["vectors"] is not None:
+                    if waiting:
+                        yield found()
+                    dim = row["dim"]
+                    graph = Graph.of(row, dim)
+                elif graph is not None:
+                    waiting.append((row["vec_id"], row["embedding"], row["asked"]))
+                    if len(waiting) >= QUERY_ROWS:
+                        yield found()
+        if waiting:
+            yield found()
+
+    hits = arrow_map(stream, search, "query_id bigint, asked bigint, vec_id bigint, score double")
     w = Window.partitionBy("query_id", "asked").orderBy("score", "vec_id")
     ranked = hits.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -187,11 +187,22 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text", held), run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+#: how far above chance the best language's score has to be, as a part of the way to 1
+ABOVE_CHANCE = 0.01
+
+
+def least_score(model: Model) -> float:
+    """Below it no language stands out: n languages that are all the same to a text have 1 / n each."""
+    chance = 1 / len(model.languages)
+    return chance + ABOVE_CHANCE * (1 - chance)
+
+
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` whose text has a letter, with their columns. No shuffle: rows are kept or dropped in the scan.
+    """The rows of ``docs`` in which a language is found, with their columns. No shuffle: rows are kept or dropped in the scan.
 
-    The model is asked for each, but its class and score reject nothing: it names a language
-    for every text with a letter. Without a model such texts stay as well.
+    A text goes if it is null or has no letter, or if its best language's score is below
+    ``least_score``: it has next to no n-gram of any language that the model knows. With one
+    language the score is 1 and rejects nothing. Without a model texts with a letter stay.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -200,7 +211,8 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     def kept(text: pd.Series) -> pd.Series:
         if shared.value is None:
             return pd.Series([has_letter(t) for t in text], dtype=bool)
-        return pd.Series([x != UNKNOWN for x in predict(shared.value, text)[0]], dtype=bool)
+        least = least_score(shared.value)
+        return pd.Series([lang != UNKNOWN and score >= least for lang, score in zip(*predict(shared.value, text), strict=True)], dtype=bool)
 
     return docs.where(kept("text"))
 

@@ -97,3 +97,16 @@ def test_bounds_and_slices_do_not_change_results(monkeypatch):
             ids, ends, _, _ = own.digests(texts[lo:hi])
             got += [x.tolist() for x in np.split(ids, ends[:-1])]
         assert got == list(map(library, texts))
+
+
+def test_long_words_leave_the_table_and_the_others_stay(monkeypatch):
+    own = bpe.Codec(PATH)
+    texts = ["plain words here", "x" * 200 + " and more plain words " + "y" * 90, "plain words here again"]
+    sizes = []
+    for t in texts:
+        assert own.encode(t) == library(t)
+        sizes.append(len(own.words))
+    assert sizes == [3, 6, 7] and not any(len(w) > bpe.CACHE_WORD_BYTES for w in own.words)
+    monkeypatch.setattr(bpe, "CACHE_IDS", 20)
+    assert own.encode("z" * 300) == library("z" * 300) and len(own.words) == 0  # their ids are bounded too
+    assert [own.encode(t) for t in texts] == [library(t) for t in texts]

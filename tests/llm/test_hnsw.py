@@ -82,3 +82,20 @@ def test_a_repeated_id_with_another_vector_is_another_query(spark):
     df = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA)
     got = sorted((r.rank, r.vec_id) for r in hnsw.neighbours(df, df.where("vec_id % 100 = 0")).collect())
     assert got == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_every_graph_travels_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=6)], 0, "") for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(hnsw, "QUERY_ROWS", 7)  # many blocks of queries, several shards
+    got = hnsw.neighbours(df, df.where("vec_id % 3 = 0"), k=4, shard_rows=200)
+    x = np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    hits, found = 0, {}
+    for r in got.collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, 900, 3):
+        hits += len({i for i, _ in exact(np.arange(900), x, q, x[q])[:4]} & found[q])
+    assert hits / 1200 > 0.97
+    one = hnsw.neighbours(df, df.where("vec_id % 300 = 0"), k=4, shard_rows=100_000)
+    assert one.count() == 12

@@ -100,3 +100,16 @@ def test_fewer_landmarks_than_rows_are_the_nystrom_machine():
     y = np.where(np.array(labels)[:, None] == np.array(model.languages)[None, :], 1.0, -1.0)
     want = phi @ np.linalg.solve(phi.T @ phi + langid.RIDGE * len(texts) * np.eye(9), phi.T @ y)
     assert np.allclose(model.scores([presence(t) for t in texts]), want, atol=2e-2)
+
+
+def test_the_score_drops_a_text_without_a_known_language(spark):
+    d = corpus(spark)
+    model = langid.train(d)
+    rows = [(1, "漢字仮名交文章読本", None, "s"), (2, next(iter(LINES.values())), None, "s"), (3, "1234", None, "s"), (4, "漢字 " * 500, "xx", "s")]
+    lang, score = langid.predict(model, [r[1] for r in rows])
+    least = langid.least_score(model)
+    assert score[0] < least <= score[1] and lang[0] != langid.UNKNOWN and lang[2] == langid.UNKNOWN
+    assert {r.doc_id for r in langid.accepted(docs(spark, rows), model).collect()} == {i + 1 for i in range(4) if lang[i] != langid.UNKNOWN and score[i] >= least}
+    assert 1 not in {r.doc_id for r in langid.accepted(docs(spark, rows), model).collect()}
+    one = langid.fit([langid.Presence()("only one language")], ["en"])
+    assert langid.least_score(one) == 1.0 and langid.predict(one, ["漢字"])[1] == [1.0]

@@ -53,9 +53,11 @@ def _parser() -> argparse.ArgumentParser:
     m.add_argument("--parts", default="outputs/parts")
     m.add_argument("--out", default="outputs")
 
-    v = sub.add_parser("validate", parents=[folder], help="check result files")
-    v.add_argument("--matching", "-m", required=True)
-    v.add_argument("--candidate", "-c")
+    v = sub.add_parser("validate", help="check result files")
+    v.add_argument("--test-dir", "-t", "--data", dest="data", default="dataset/test", help="folder with the three sources")
+    v.add_argument("--prefix", default="test")
+    v.add_argument("--matching", "-m", default="output/matching_results.tsv")
+    v.add_argument("--candidate", "-c", default="output/candidate_pairs.tsv", help="a missing file is a warning")
     v.add_argument("--check-ids", action="store_true", help="also look up every id in sources 2 and 3")
     return top
 

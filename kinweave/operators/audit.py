@@ -180,7 +180,7 @@ def validate_files(spark, matching: str, s1: DataFrame, candidate: str | None =
 
     results, notes = load(matching, "matched_entity_ids")
     cands = None
-    if candidate is None:
+    if candidate is None or raw_lines(spark, candidate) is None:
         notes.append(said("no_candidate_file", "warning"))
     else:
         cands, more = load(candidate, "candidate_entity_ids")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
+import struct
+import zlib
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinweave.checkpoint import drop, written
+
 
 def wide(s1: DataFrame, pairs: DataFrame, column: str = "matched_entity_ids", order: str = "idx") -> DataFrame:
     """source1_entity_id and a comma list for every s1, empty ones included (K-1). Lists are in the order of ``order``, then id."""
@@ -40,20 +44,55 @@ def write_partitioned(table: DataFrame, path: str, by: str = "country") -> None:
     table.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+#: sizes and offsets stand in the ZIP64 fields, so no archive is too large for the format
+_ABOVE = 0xFFFFFFFF
+
+
+def _entry(signature: int, more: bytes, name: bytes, crc: int, tail: bytes, extra: bytes) -> bytes:
+    """A local header or a directory entry: versions, UTF-8 names, deflate, 1 January 1980."""
+    return struct.pack("<I", signature) + more + struct.pack("<HHHHHIIIHH", 45, 0x800, 8, 0, 33, crc, _ABOVE, _ABOVE, len(name), len(extra)) + tail + name + extra
+
+
+def deflated(spark: SparkSession, folder: str) -> DataFrame:
+    """name, crc, size, packed (a raw deflate stream) of a folder's part files: one task packs a file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(folder)
+
+    def run(batches):
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data = data.as_py()
+                packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+                packed = packer.compress(data) + packer.flush()
+                yield pa.RecordBatch.from_pydict({"name": [path], "crc": [zlib.crc32(data)], "size": [len(data)], "packed": pa.array([packed], pa.binary())})
+
+    return files.select("path", "content").mapInArrow(run, "name string, crc bigint, size bigint, packed binary")
+
+
 def package(spark: SparkSession, folder: str, archive: str) -> str:
-    """K-4: a deflated ZIP, a file of the driver's, of a result folder's part files on any file system."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = top.getFileSystem(conf)
-    base, found, files = fs.getFileStatus(top).getPath().toString(), [], fs.listFiles(top, True)
-    while files.hasNext():
-        path = files.next().getPath()
-        if path.getName().startswith("part-"):
-            found.append((path.toString().removeprefix(base).lstrip("/"), path))
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z, tempfile.TemporaryDirectory() as own:
-        for name, path in sorted(found, key=lambda x: x[0]):
-            fs.copyToLocalFile(False, path, jvm.org.apache.hadoop.fs.Path(f"file://{own}/part"), True)
-            z.write(f"{own}/part", name)
+    """K-4: a deflated ZIP, a file of the driver's, of a result folder's part files on any file system.
+
+    Tasks read, check and deflate the files; the driver writes one packed file after another
+    behind its header, and then the directory, whose entries are all that it keeps.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getPath().toString()
+    pieces = written(deflated(spark, folder), "zip")
+    directory = b""
+    with open(archive, "wb") as out:
+        for r in pieces.select("name", "crc", "size").orderBy("name").collect():  # one row for each file
+            packed = bytes(pieces.where(F.col("name") == r.name).first().packed)
+            name = unquote(r.name).removeprefix(unquote(base)).lstrip("/").encode()
+            at, sizes = out.tell(), struct.pack("<QQ", r.size, len(packed))
+            out.write(_entry(0x04034B50, b"", name, r.crc, b"", struct.pack("<HH", 1, 16) + sizes))
+            out.write(packed)
+            directory += _entry(0x02014B50, struct.pack("<H", 45), name, r.crc, struct.pack("<HHHII", 0, 0, 0, 0, _ABOVE), struct.pack("<HH", 1, 24) + sizes + struct.pack("<Q", at))
+        n, start = pieces.count(), out.tell()
+        out.write(directory)
+        end = out.tell()
+        out.write(struct.pack("<IQHHIIQQQQ", 0x06064B50, 44, 45, 45, 0, 0, n, n, len(directory), start))
+        out.write(struct.pack("<IIQI", 0x07064B50, 0, end, 1))
+        out.write(struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), _ABOVE, _ABOVE, 0))
+    drop(pieces)
     return archive
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave import cli
-from kinweave.operators import blocking, evaluation, features, models, selection
+from kinweave.operators import audit, blocking, evaluation, features, models, selection
 from kinweave.plans import linkage
 from kinweave.sources import readers, writers
 
@@ -209,3 +209,38 @@ def test_labels_and_limited_negatives(spark):
     few = models.limit_negatives(data, 5).collect()
     assert sum(r.label for r in few) == 2 and all(sum(r.s1_id == f"S1-{k}" and not r.label for r in few) == 5 for k in range(3))
     assert sorted(map(str, few)) == sorted(map(str, models.limit_negatives(data.repartition(3), 5).collect()))
+
+
+def test_archives_are_read_by_others(spark, tmp_path):
+    import subprocess
+    import zipfile
+
+    from kinweave.sources import writers
+
+    table = spark.createDataFrame([(f"S1-{i}", "S2-ä,S3-漢" * (i % 5)) for i in range(3000)], "source1_entity_id string, matched_entity_ids string").repartition(6)
+    writers.write_tsv(table, str(tmp_path / "out folder"))
+    archive = writers.package(spark, str(tmp_path / "out folder"), str(tmp_path / "o.zip"))
+    with zipfile.ZipFile(archive) as z:
+        assert z.testzip() is None and len(z.namelist()) == 6
+        held = {n: z.read(n) for n in z.namelist()}
+    parts = {p.name: p.read_bytes() for p in (tmp_path / "out folder").glob("part-*")}
+    assert held == parts
+    java = spark.sparkContext._jvm.java.util.zip.ZipFile(archive)  # another reader
+    assert java.size() == 6
+    java.close()
+    writers.write_tsv(table.limit(0).coalesce(1), str(tmp_path / "none"))
+    with zipfile.ZipFile(writers.package(spark, str(tmp_path / "none"), str(tmp_path / "n.zip"))) as z:
+        assert b"".join(map(z.read, z.namelist())) in (b"", b"source1_entity_id\tmatched_entity_ids\n")
+    assert subprocess.run(["python", "-m", "zipfile", "-t", archive], capture_output=True).returncode == 0
+
+
+def test_the_validator_has_default_paths(spark, tmp_path, monkeypatch):
+    from kinweave import cli
+
+    args = cli._parser().parse_args(["validate"])
+    assert (args.data, args.prefix, args.matching, args.candidate, args.check_ids) == ("dataset/test", "test", "output/matching_results.tsv", "output/candidate_pairs.tsv", False)
+    assert cli._parser().parse_args(["validate", "--test-dir", "d"]).data == cli._parser().parse_args(["validate", "-t", "d"]).data == "d"
+    (tmp_path / "r.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\n")
+    s1 = spark.createDataFrame([("S1-1",)], "entity_id string")
+    said = {r.rule: r.severity for r in audit.validate_files(spark, f"file://{tmp_path}/r.tsv", s1, f"file://{tmp_path}/none.tsv").collect()}
+    assert said["no_candidate_file"] == "warning" and "error" not in said.values()

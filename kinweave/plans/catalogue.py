@@ -375,9 +375,8 @@ for _p in ("v2", "v3", "v4", "production", "turbo", "v5", "fixed", "optimal", "r
 def _trained(kind: str) -> Query:
     def run(spark, sf_dir):
         w = _Work(spark, sf_dir)
-        rows = written(features.features14(w.pairs(grams=True)))
-        data = written(models.labelled(rows, w.t.truth))
-        return models.MatchClassifier(features.FEATURES14, kind).fit(data).score(rows)
+        data = written(models.labelled(features.features14(w.pairs(grams=True)), w.t.truth))
+        return models.MatchClassifier(features.FEATURES14, kind).fit(data).score(data)
 
     return run
 

@@ -45,7 +45,7 @@ from kinweave.llm.common import arrow_map, bit_table, bits_for, drop, freed, tab
 # fixed values: perfect difference sets by period, every difference but 0 occurs once
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 31: (1, 5, 11, 24, 25, 27), 133: (1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110)}
 #: bytes of a block, keys of a bucket
-BLOCK, BUCKET = 2 << 20, 1 << 21
+BLOCK, BUCKET = 1 << 20, 1 << 20
 U = np.uint64
 _PRIME = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _tables: dict[int, tuple[np.ndarray, ...]] = {}

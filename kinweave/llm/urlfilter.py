@@ -9,7 +9,8 @@ which is exact for every key of the universe, with no join when URLs are judged.
 
 Bounds. A level has at most ``MAX_BITS`` bits; that bounds what the driver gathers (its
 words, summed by OR in the cluster) and what is broadcast. More keys than that make more
-false positives, which later levels hold: the answer stays exact.
+false positives, which later levels hold: the answer stays exact. Beyond about 1e8 listed keys
+levels are full and the build ends with an error; such lists are to be split by ranges of a hash.
 
 Input cases. A null URL or one without ``://`` has empty host and path, matches no rule
 and gets the default verdict. Repeated rows are judged alike. Of fitting rules the

@@ -111,7 +111,7 @@ def worker(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def merge(spark: SparkSession, a: argparse.Namespace) -> int:
-    s1 = readers.with_order(readers.entities(spark, f"{a.data}/{a.prefix}_source1.tsv"))
+    s1 = readers.entities(spark, f"{a.data}/{a.prefix}_source1.tsv", ordered=True)
     for name, column in (("candidate_pairs", "candidate_entity_ids"), ("matching_results", "matched_entity_ids")):
         rows = readers.results(spark, f"{a.parts}/*/{name}").where(F.col("t_id").isNotNull())
         writers.write_tsv(writers.wide(s1, rows, column), f"{a.out}/{name}", ordered=True)

@@ -9,10 +9,15 @@ from kinweave.checkpoint import drop, written
 from kinweave.schema import ENTITY
 
 
-def entities(spark: SparkSession, path: str, country: str | None = None) -> DataFrame:
-    """A TSV source with header, optionally one country (S-1, S-5, S-7): short rows get empty columns."""
+def entities(spark: SparkSession, path: str, country: str | None = None, ordered: bool = False) -> DataFrame:
+    """A TSV source with header, optionally one country (S-1, S-5, S-7): short rows get empty columns.
+
+    ``ordered`` adds ``ord``, the place of a row (K-2, P-7): its file, where its split begins, and its
+    number in the split, so it is file order whatever splits a scan makes and however they are dealt.
+    """
     df = spark.read.schema(ENTITY).option("sep", "\t").option("header", True).option("mode", "PERMISSIVE").option("quote", "").csv(path)
-    df = df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ENTITY.names])
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    df = df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ENTITY.names], *([place.alias("ord")] if ordered else []))
     return df if country is None else df.where(F.trim("country") == country)
 
 
@@ -79,11 +84,6 @@ def needed(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
 
 
-def with_order(df: DataFrame) -> DataFrame:
-    """``ord``: the place of a row in its file, as far as the scan's splits tell (K-2, P-7)."""
-    return df.withColumn("ord", F.monotonically_increasing_id())
-
-
 def id_list(col: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 

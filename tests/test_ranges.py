@@ -38,3 +38,24 @@ def test_the_plan_has_no_single_task(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan and [r.n for r in got.collect()] == list(range(100, 150))
     assert readers.row_range(frame(spark, []), 0, 5).collect() == []
+
+
+def test_file_order_over_many_splits(spark, tmp_path):
+    from kinweave.sources import writers
+
+    ids = [f"S1-{i * 7919 % 1000:03}" for i in range(1000)]
+    (tmp_path / "in.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join(f"{i}\tname {i}\t{'x' * (int(i[3:]) % 50)}\tUS\n" for i in ids))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = readers.entities(spark, str(tmp_path / "in.tsv"), ordered=True)
+        assert rows.rdd.getNumPartitions() > 8
+        assert [r.entity_id for r in rows.orderBy("ord").collect()] == ids
+        none = spark.createDataFrame([], "s1_id string, t_id string, idx int")
+        writers.write_tsv(writers.wide(rows, none), str(tmp_path / "out"), ordered=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    lines = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [x.split("\t")[0] for x in lines if x.startswith("S1-")] == ids

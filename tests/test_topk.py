@@ -1,13 +1,14 @@
 """Top-k blocking against a plain version that looks at every pair of a key."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import blocking
-from kinweave.operators.records import normalize_records
+from kinweave.operators.records import normalize_records, rich_records
 
 from .test_linkage import ents
 
@@ -73,3 +74,24 @@ def test_subsets(spark):
     got = [[sorted(x) for x in r] for r in df.select(*[blocking._subsets(F.col("w"), n) for n in (1, 2, 3)]).collect()]
     assert got[0] == [["a", "b", "c", "d"], ["a b", "a c", "a d", "b c", "b d", "c d"], ["a b c", "a b d", "a c d", "b c d"]]
     assert got[1] == [["a"], [], []] and got[2] == [[], [], []]
+
+
+def test_pairs_that_meet_are_dealt_out_by_the_number_of_asking_records(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "ASKING", 4)
+    s1, t = (normalize_records(x) for x in tables(spark, 5))
+    distinct = len({(r.country, r.business_name, r.business_address) for r in tables(spark, 5)[0].collect()})
+    plan = blocking.candidates(s1, t)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(s1_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt and distinct // 8 < dealt[0] <= -(-distinct // 4)
+
+
+@pytest.mark.parametrize("gate", ["v4", "turbo"])
+def test_gated_pairs_are_dealt_out_before_they_are_made_distinct(spark, monkeypatch, gate):
+    monkeypatch.setattr(blocking, "DEALT", 100)
+    q = rich_records(ents(spark, [(f"S1-{i:02}", "alpha beta", f"{i} main road", "US") for i in range(20)]), gate.replace("v4", "v2"))
+    t = rich_records(ents(spark, [(f"S2-{i:02}", f"alpha w{i}", f"{i} main road", "US") for i in range(40)]), gate.replace("v4", "v2"))
+    got = blocking.gated_candidates(q, t, blocking.GATES[gate])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(s1_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt and dealt[0] >= 20 * 40 // 100  # 800 pairs meet on the first word
+    assert {(r.s1_id, r.t_id) for r in got.collect()} == {(f"S1-{i:02}", f"S2-{j:02}") for i in range(20) for j in range(40)}

@@ -9,6 +9,8 @@ from kinweave.checkpoint import written
 from kinweave.functions.similarity import letter_marks, token_sort_ratio
 from kinweave.operators import blocking, features, scoring
 from kinweave.operators.records import rich_records
+from kinweave.plans import catalogue, linkage
+from kinweave.plans.adapter import Tables
 from kinweave.plans.profiles import PROFILES
 
 from .test_linkage import ents, ids
@@ -51,6 +53,24 @@ def test_what_is_sifted_scores_as_before(spark, profile):
         assert sifted.count() < every.count() / 2
 
 
+@pytest.mark.parametrize("profile", ["v2", "v4", "v5", "refined"])
+def test_matches_alone_are_those_of_the_plan(spark, monkeypatch, profile):
+    s1, t = tables(spark, 11)
+    _, want = linkage.rule_linkage(s1, t, profile)
+    compared, make = [], features.pairs_of
+    monkeypatch.setattr(features, "pairs_of", lambda pairs, a, b: compared.append((pairs.count(), a.columns)) or make(pairs, a, b))
+    got = catalogue_matches(spark, monkeypatch, s1, t, profile)
+    rows = lambda df: sorted((r.s1_id, r.t_id, round(r.score, 9), r.rank) for r in df.collect())
+    assert rows(want) and rows(got) == rows(want)
+    assert "nums_mark" in compared[0][1]
+
+
+def catalogue_matches(spark, monkeypatch, s1, t, profile):
+    """What ``er_linkage_<profile>`` gives on these tables."""
+    monkeypatch.setattr(catalogue, "tables", lambda *_: Tables(s1, t, None))
+    return catalogue._linked(profile)(spark, "")
+
+
 def test_stems_after_one_that_gives_enough_meet_nothing(spark, monkeypatch):
     rich = lambda rows: rich_records(ents(spark, [(i, n, "", "US") for i, n in rows]), "champion")
     t = rich([(f"S2-{i:03}", "alpha beta" if i < 60 else f"alpha word{i}") for i in range(120)])
